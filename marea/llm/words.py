@@ -46,7 +46,7 @@ class WordTokenizer:
         return [self.one(t) for t in texts]
 
 
-_MADE: dict[str, WordTokenizer] = {}
+_MADE: dict[object, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str):
@@ -61,3 +61,18 @@ def word_tokenizer(path: str):
         return _MADE[path].encode
 
     return get
+
+
+def plain_word_tokenizer(path: str):
+    """As word_tokenizer, with the strings of special tokens read as ordinary text."""
+
+    def get():
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if (path, "plain") not in _MADE:
+            _MADE[path, "plain"] = WordTokenizer(path)
+            _MADE[path, "plain"].tokenizer.encode_special_tokens = True
+        return _MADE[path, "plain"].encode
+
+    return get
