@@ -102,24 +102,36 @@ def heavy_slots(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray
     return counts.ravel() > mean + 8 * np.sqrt(mean) + 32
 
 
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, at least twice n, so that bitmaps of like sizes fold to one width."""
+    return 1 << min(17, max(8, (2 * n - 1).bit_length()))
+
+
+def signature(s: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap, as bytes, of the low bits of a set's hashes."""
+    bits = np.zeros(width, bool)
+    bits[(s & _U(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap at a smaller width: its parts, combined by OR."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, width // 8), axis=0)
+
+
 class SignatureTree:
     """Members of a group in an order that puts like ones together, under nodes with OR-combined bitmaps and size ranges."""
 
-    LEAF, BITS = 16, 2048
+    LEAF = 16
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, size: np.ndarray, least: np.ndarray, bitmaps: list[np.ndarray], sets: list[np.ndarray] | None = None):
+        """bitmaps are of one width; without sets, what may be linked counts as linked."""
         self.sets = sets
-        self.size = np.array([len(s) for s in sets])
-        least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        self.order = np.lexsort((self.size, least))
-        maps = np.zeros((len(sets), self.BITS), bool)
-        for row, k in enumerate(self.order):
-            maps[row, (sets[k] & _U(self.BITS - 1)).astype(np.int64)] = True
-        self.size = self.size[self.order]
-        self.maps = np.packbits(maps, axis=1).view(np.uint64)
-        self.excess = self.size - maps.sum(1)  # shingles that share a bit with another of the set
-        level = [(a, min(a + self.LEAF, len(sets))) for a in range(0, len(sets), self.LEAF)]
-        self.nodes = [self._node(a, b, ()) for a, b in level]
+        self.order = np.lexsort((size, least))
+        self.size = size[self.order]
+        self.maps = np.stack([bitmaps[k] for k in self.order]).view(np.uint64)
+        self.excess = self.size - np.bitwise_count(self.maps).sum(1, dtype=np.int64)  # shingles that share a bit with another of the set
+        self.nodes = [self._node(a, min(a + self.LEAF, len(size)), ()) for a in range(0, len(size), self.LEAF)]
         top = list(range(len(self.nodes)))
         while len(top) > 1:
             above = []
@@ -175,14 +187,73 @@ class SignatureTree:
             p, q = a[p], b[q]
             if labels[p] == labels[q]:
                 continue
-            s, t = self.sets[self.order[p]], self.sets[self.order[q]]
-            s, t = (s, t) if len(s) <= len(t) else (t, s)
-            at = np.searchsorted(t, s)
-            shared = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-            if 7 * shared >= 3 * (len(s) + len(t)):
+            if self.sets is None or similar(self.sets[self.order[p]], self.sets[self.order[q]]):
                 labels[labels == labels[q]] = labels[p]
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """If 100 * intersection >= 75 * union, of two sorted sets."""
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    at = np.searchsorted(t, s)
+    return 7 * int((t[np.minimum(at, len(t) - 1)] == s).sum()) >= 3 * (len(s) + len(t))
+
+
+def link_sets(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """labels (equal: linked before) after all links between the sets."""
+    size = np.array([len(s) for s in sets])
+    width = width_of(int(np.median(size)))
+    least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+    return SignatureTree(size, least, [signature(s, width) for s in sets], sets).link(labels)
+
+
+def may_link_sets(size: np.ndarray, least: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Labels that are equal at least where sets could be linked, from sizes and bitmaps (each of width_of its size) alone."""
+    labels = np.arange(len(size))
+    band = np.floor(np.log(size) / np.log(4 / 3) + 1e-9).astype(int)  # sizes that can be linked are in one band or in neighbours
+    for b in np.unique(band):
+        at = np.flatnonzero((band == b) | (band == b + 1))
+        if len(at) < 2:
+            continue
+        width = min(8 * len(bitmaps[k]) for k in at)
+        new = SignatureTree(size[at], least[at], [folded(bitmaps[k], width) for k in at]).link(labels[at])
+        for old, now in set(zip(labels[at].tolist(), new.tolist(), strict=True)):
+            if old != now:
+                labels[labels == old] = now
+    return labels
+
+
+def _narrowed(members: DataFrame, made: DataFrame, part: int) -> DataFrame:
+    """Groups (g, doc) cut down to members that sizes and bitmaps let be linked; groups of more than part members stay as they are."""
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    sized = members.join(sizes, "g")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def solve() -> Iterator[pd.DataFrame]:
+            if len(held) < 2:
+                return
+            doc, n, low, maps = (list(c) for c in zip(*held, strict=True))
+            doc, labels = np.array(doc), may_link_sets(np.array(n), np.array(low), [np.frombuffer(m, np.uint8) for m in maps])
+            first = np.full(len(doc), np.iinfo(np.int64).max)
+            np.minimum.at(first, labels, doc)
+            many = np.bincount(labels, minlength=len(doc))[labels] > 1
+            if many.any():
+                yield pd.DataFrame({"g": first[labels][many], "doc": doc[many]})
+
+        for batch in batches:
+            for g, *row in batch[["g", "doc", "n", "low", "map"]].itertuples(index=False):
+                if g != key:
+                    yield from solve()
+                    key, held = g, []
+                held.append(row)
+        yield from solve()
+
+    small = sized.where(F.col("m") <= part).select("g", "doc").join(made, "doc").repartition("g").sortWithinPartitions("g", "doc")
+    kept = small.mapInPandas(run, "g long, doc long").unionByName(sized.where(F.col("m") > part).select("g", "doc"))
+    return written(kept.distinct(), "groups")
+
+
 def _linked(groups: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) inside each group of rows (g, part, doc, text[, label]); a part is read whole by one task."""
 
@@ -191,7 +262,7 @@ def _linked(groups: DataFrame, width: int) -> DataFrame:
             return None
         ids = np.array(docs, np.int64)
         start = np.unique(np.array(labels, np.int64), return_inverse=True)[1].reshape(-1)
-        end = SignatureTree([shingles(t, width) for t in texts]).link(start)
+        end = link_sets([shingles(t, width) for t in texts], start)
         first = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(first, end, ids)
         own = first[end]
@@ -232,7 +303,7 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            n, keys, cut, ends = [], [], [], [0]
+            n, keys, cut, ends, low, maps = [], [], [], [0], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, width)
                 late = last[(s >> shift).astype(np.int64)]
@@ -241,10 +312,13 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
                 head = np.concatenate([s[~late], s[late]])[: len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0]
                 cut.append(head)
                 ends.append(ends[-1] + len(head))
+                low.append(int(s[0]) >> 1 if len(s) else None)
+                maps.append(signature(s, width_of(len(s))).tobytes() if len(s) else None)
             flat = np.concatenate(cut).view(np.int64) if cut else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc", "n", "key", "head"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(low, pa.int64()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
-    made = written(rows.mapInArrow(features, "doc long, n long, key binary, head array<long>"), "shingles")
+    names = ["doc", "n", "key", "low", "map", "head"]
+    made = written(rows.mapInArrow(features, "doc long, n long, key binary, low long, map binary, head array<long>"), "shingles")
     own = made.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("doc"))
     entries = made.join(own, ["key", "doc"], "left_semi").select("doc", F.explode("head").alias("member"))
 
@@ -262,7 +336,8 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
         pairs = np.unique(np.stack([center[many], doc[many]]), axis=1)
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["g", "doc"])
 
-    members = written(entries.repartition("member").mapInArrow(buckets, "g long, doc long").distinct(), "groups")
+    met = written(entries.repartition("member").mapInArrow(buckets, "g long, doc long").distinct(), "buckets")
+    members = _narrowed(met, made.select("doc", "n", "low", "map"), part)
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     dealt = members.join(sizes, "g").select("g", "doc", "m", F.ceil(F.col("m") / part).cast("int").alias("parts"), F.xxhash64("doc").alias("h"))
     everywhere = (F.col("doc") == F.col("g")) | (F.pmod("h", F.col("m")) < 16)  # pivots, in all parts of a large group
