@@ -3,7 +3,7 @@
 1. A document's set is the 64-bit hashes of its distinct word shingles. Equal sets are one class, represented by the
    smallest id.
 2. Candidates. Two sets this similar share one of their first n - ceil(t n) + 1 members under any common order. The order
-   puts members that are frequent in the corpus last (frequency by a fixed-size count sketch over all documents), so that
+   puts members that are frequent in the corpus last (by the counts of a fixed-size sketch over all documents), so that
    a common passage hardly ever brings documents together. All classes that share a member form a bucket; a bucket joins
    the group named after its smallest class. All pairs that can be similar meet in a group, and the many buckets of one
    family of copies collapse into one.
@@ -63,10 +63,11 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def heavy_slots(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray:
-    """For each of 2**log2 slots of the hash range, if its members occur far above the mean; counted over all documents.
+def slot_levels(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray:
+    """For each of 2**log2 slots of the hash range, how often its members occur, from 0 (least) to 255; counted over all documents.
 
-    The driver gets 2**log2 numbers, whatever the corpus.
+    The driver gets 2**log2 numbers, whatever the corpus. Where slots hold many members, a frequent one still lifts its
+    slot above others, so that members of low slots are the rarer ones.
     """
     shift, part = _U(64 - log2), 1 << 12
 
@@ -98,8 +99,8 @@ def heavy_slots(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray
     counts = np.zeros((max(1, (1 << log2) // part), min(part, 1 << log2)), np.int64)
     for k, c in zip(summed["part"], summed["counts"], strict=True):
         counts[k] = np.frombuffer(c, np.int64)
-    mean = counts.mean()
-    return counts.ravel() > mean + 8 * np.sqrt(mean) + 32
+    counts = counts.ravel()
+    return np.searchsorted(np.unique(np.quantile(counts, np.arange(1, 256) / 256)), counts, side="left").astype(np.uint8)
 
 
 def width_of(n: int) -> int:
@@ -254,6 +255,15 @@ def _narrowed(members: DataFrame, made: DataFrame, part: int) -> DataFrame:
     return written(kept.distinct(), "groups")
 
 
+def _likely(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """The rows of texts whose doc is in wanted, and a few others: a bitmap of hashed ids, of bits / 64 rows at most, spares the rest the shuffle."""
+    slot = lambda: F.pmod(F.xxhash64(F.col("doc"), F.lit(1)), F.lit(bits))
+    marks = wanted.select(slot().alias("s")).select(F.floor(F.col("s") / 64).alias("block"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("bit"))
+    marks = marks.groupBy("block").agg(F.bit_or("bit").alias("marks"))
+    known = texts.withColumn("s", slot()).withColumn("block", F.floor(F.col("s") / 64))
+    return known.join(F.broadcast(marks), "block").where("shiftrightunsigned(marks, CAST(s % 64 AS INT)) & 1 = 1").select("doc", "text")
+
+
 def _linked(groups: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) inside each group of rows (g, part, doc, text[, label]); a part is read whole by one task."""
 
@@ -296,20 +306,19 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    heavy = heavy_slots(rows, "text", width, log2)
-    bits = spark.sparkContext.broadcast(np.packbits(heavy))  # 2**log2 bits
+    levels = spark.sparkContext.broadcast(slot_levels(rows, "text", width, log2))  # 2**log2 bytes
     shift = _U(64 - log2)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.unpackbits(bits.value).astype(bool)
+        level = levels.value
         for batch in batches:
             n, keys, cut, ends, low, maps = [], [], [], [0], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, width)
-                late = last[(s >> shift).astype(np.int64)]
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                head = np.concatenate([s[~late], s[late]])[: len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0]
+                rare_first = np.argsort(level[(s >> shift).astype(np.int64)], kind="stable")
+                head = s[rare_first[: len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0]]
                 cut.append(head)
                 ends.append(ends[-1] + len(head))
                 low.append(int(s[0]) >> 1 if len(s) else None)
@@ -320,23 +329,25 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     names = ["doc", "n", "key", "low", "map", "head"]
     made = written(rows.mapInArrow(features, "doc long, n long, key binary, low long, map binary, head array<long>"), "shingles")
     own = made.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("doc"))
-    entries = made.join(own, ["key", "doc"], "left_semi").select("doc", F.explode("head").alias("member"))
+    entries = made.join(own, ["key", "doc"], "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.explode("head").alias("member"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not got:
             return
-        doc, member = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((doc, member))
-        doc, member = doc[order], member[order]
-        start = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+        doc, n, member = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((n, member))
+        doc, n, member = doc[order], n[order], member[order]
+        # A bucket falls apart where sizes make a step that no pair can bridge.
+        start = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (3 * n[1:].astype(np.int64) > 4 * n[:-1])])
         length = np.diff(np.r_[start, len(member)])
-        center = np.repeat(doc[start], length)
-        many = np.repeat(length > 1, length) & np.repeat(doc[start] != doc[start + length - 1], length)
+        center = np.repeat(np.minimum.reduceat(doc, start), length)
+        many = center != doc
         pairs = np.unique(np.stack([center[many], doc[many]]), axis=1)
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["g", "doc"])
 
     met = written(entries.repartition("member").mapInArrow(buckets, "g long, doc long").distinct(), "buckets")
+    met = met.unionByName(met.select("g", F.col("g").alias("doc")).distinct())
     members = _narrowed(met, made.select("doc", "n", "low", "map"), part)
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     dealt = members.join(sizes, "g").select("g", "doc", "m", F.ceil(F.col("m") / part).cast("int").alias("parts"), F.xxhash64("doc").alias("h"))
@@ -344,7 +355,7 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     at = F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("h", "parts").cast("int")))
     dealt = dealt.select("g", "doc", F.explode(at).alias("part"))
     texts = rows.where("doc is not null and text is not null")
-    found = written(_linked(dealt.join(texts, "doc").withColumn("label", F.col("doc")), width), "links")
+    found = written(_linked(dealt.join(_likely(texts, dealt), "doc").withColumn("label", F.col("doc")), width), "links")
     joined = components(found)
 
     large = members.join(sizes.where(F.col("m") > part), "g").select("g", "doc")
@@ -362,7 +373,7 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
         with_inner = F.transform(F.sequence(F.lit(0), inner - 1), lambda b: own_part * (1 << 20) + b)
         with_other = F.transform(F.sequence(F.lit(0), outer - 1), lambda b: F.least(own_part, b) * (1 << 20) + (1 << 19) + F.greatest(own_part, b))
         blocks = open_.select("g", "doc", "label", F.explode(F.when(in_main, with_outer).otherwise(F.concat(with_inner, with_other))).alias("part"))
-        more = _linked(blocks.join(texts, "doc"), width)
+        more = _linked(blocks.join(_likely(texts, blocks), "doc"), width)
         stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = components(stars.unionByName(more))
 
