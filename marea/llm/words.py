@@ -2,48 +2,79 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-#: Words a worker remembers; the memo is emptied beyond that, which changes no result.
-MEMO = 500_000
+#: Words of a generation of a worker's memo; of the one before, those met again are carried over. No result depends on it.
+MEMO = 600_000
+
 
-#: A comma or full stop between a letter and white space is a token of its own either way, so it can be set apart.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])").sub
+def _is_word(w: str) -> bool:
+    """Letters only that normalisation keeps letters: one pre-token, in any company of white space."""
+    return w.isalpha() and max(w) < "\u0250" and "\u0130" not in w
 
 
 class WordTokenizer:
     """encode(texts) gives, per text, what tokenizers gives for it without special tokens, as little-endian 32-bit ids.
 
-    Only for tokenizers that drop white space and lower-case (word_bpe_49k.json): there, words between ASCII white space
-    are encoded independently, so each distinct one is encoded once a worker. Texts are ASCII-lowered beforehand only
-    where all of the text is ASCII and no special token can arise.
+    Only for tokenizers that drop white space, lower-case, and mark the ends of words (word_bpe_49k.json): there, words
+    between ASCII white space are encoded independently, so each distinct one is encoded once a worker. Plain words are
+    encoded many at a time and told apart by their last pieces; a comma or full stop after one is a token of its own.
+    Texts are ASCII-lowered beforehand only where all of the text is ASCII and no special token can arise.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
-
-    def one(self, text: str) -> bytes:
-        raw, memo = text.encode(), self.memo
-        if len(raw) == len(text) and b"<|" not in raw:
-            raw = raw.lower()
-        words = _STOP(rb" \1", raw).split()
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            new = [w for w in set(words) if w not in memo]
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
-            return b"".join(map(memo.__getitem__, words))
+        self.before: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes], split: list[list[bytes]]) -> None:
+        """Puts new words, and after a change of generation all words of split, into the memo."""
+        if len(self.memo) > MEMO:
+            self.memo, self.before = {}, self.memo
+            words = set().union(*split)
+        memo, stems, plain, other = self.memo, [], set(), []
+        for w in [w for w in words if w in self.before]:
+            memo[w] = self.before[w]
+        for w in words.difference(memo):
+            if w.isalpha() or _is_word(text := w.decode()):
+                plain.add(w)
+            elif w[-1] in b".," and (w[:-1].isalpha() or _is_word(text[:-1])):
+                stems.append(w)
+                plain.add(w[:-1])
+            else:
+                other.append(text)
+        if stems:
+            other += [".", ","]
+            plain = plain.difference(memo)
+        if plain:
+            joined = list(plain)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(joined).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(joined, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), strict=True):
+                memo[w], at = raw[at:end], end
+        for text, made in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[text.encode()] = np.array(made.ids, "<u4").tobytes()
+        for w in stems:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        raw = text.encode()
+        return (raw.lower() if len(raw) == len(text) and b"<|" not in raw else raw).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts]
+        out: list[bytes] = []
+        for at in range(0, len(texts), 256):
+            split = [self._words(t) for t in texts[at : at + 256]]
+            if new := set().union(*split).difference(self.memo):
+                self._learn(new, split)
+            out += [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        return out
 
 
 _MADE: dict[object, WordTokenizer] = {}
