@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 #: Words of a generation of a worker's memo; of the one before, those met again are carried over. No result depends on it.
-MEMO = 600_000
+MEMO = 1_000_000
+
+#: Punctuation that, after a word and before white space, is a token run of its own; no quote and nothing that begins a special token.
+_TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
 
 
 def _is_word(w: str) -> bool:
@@ -18,7 +21,7 @@ class WordTokenizer:
 
     Only for tokenizers that drop white space, lower-case, and mark the ends of words (word_bpe_49k.json): there, words
     between ASCII white space are encoded independently, so each distinct one is encoded once a worker. Plain words are
-    encoded many at a time and told apart by their last pieces; a comma or full stop after one is a token of its own.
+    encoded many at a time and told apart by their last pieces; punctuation after one is a run of its own.
     Texts are ASCII-lowered beforehand only where all of the text is ASCII and no special token can arise.
     """
 
@@ -37,20 +40,20 @@ class WordTokenizer:
         if len(self.memo) > MEMO:
             self.memo, self.before = {}, self.memo
             words = set().union(*split)
-        memo, stems, plain, other = self.memo, [], set(), []
+        memo, stems, plain, tails, other = self.memo, [], set(), set(), []
         for w in [w for w in words if w in self.before]:
             memo[w] = self.before[w]
         for w in words.difference(memo):
-            if w.isalpha() or _is_word(text := w.decode()):
-                plain.add(w)
-            elif w[-1] in b".," and (w[:-1].isalpha() or _is_word(text[:-1])):
-                stems.append(w)
-                plain.add(w[:-1])
+            stem = w.rstrip(_TAIL)
+            if stem.isalpha() or (stem and not stem.isascii() and _is_word(stem.decode())):
+                plain.add(stem)
+                if len(stem) < len(w):
+                    tails.add(w[len(stem) :])
+                    stems.append((w, stem, w[len(stem) :]))
             else:
-                other.append(text)
-        if stems:
-            other += [".", ","]
-            plain = plain.difference(memo)
+                other.append(w.decode())
+        plain = plain.difference(memo)
+        other += [t.decode() for t in tails.difference(memo)]
         if plain:
             joined = list(plain)
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(joined).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -59,8 +62,8 @@ class WordTokenizer:
                 memo[w], at = raw[at:end], end
         for text, made in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             memo[text.encode()] = np.array(made.ids, "<u4").tobytes()
-        for w in stems:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        for w, stem, tail in stems:
+            memo[w] = memo[stem] + memo[tail]
 
     @staticmethod
     def _words(text: str) -> list[bytes]:
