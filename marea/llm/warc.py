@@ -150,7 +150,8 @@ def captures(files: DataFrame) -> DataFrame:
                 out.insert(0, "run", uri)
                 yield out
 
-    return written(files.repartition("file").mapInPandas(read, f"run string, seq long, {CAPTURE}"), "runs")
+    dealt = files.repartition(max(1, files.count()), "file")  # by number: adaptive merging would see only names, not what they stand for
+    return written(dealt.mapInPandas(read, f"run string, seq long, {CAPTURE}"), "runs")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
