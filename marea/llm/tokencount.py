@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_dir
+from .shared import filesystem, new_dir, written
 
 #: Bytes of a block of a token file.
 BLOCK = 4 << 20
@@ -72,7 +72,8 @@ def count_tokens(files: DataFrame, separator: int, block: int = BLOCK) -> DataFr
                 first, last = (found[0], len(ids) - 1 - found[-1]) if len(found) else (len(ids), 0)
                 yield pd.DataFrame({"file": [uri], "at": [at], "found": [len(found)], "head": [first], "tail": [last], "gaps": [gaps.astype(np.int64)]})
 
-    dealt = files.select("file").distinct().mapInPandas(blocks, "file string, at long").repartition(F.col("file"), F.col("at"))
+    found_blocks = written(files.select("file").distinct().mapInPandas(blocks, "file string, at long"), "blocks")
+    dealt = found_blocks.repartition(max(1, -(-found_blocks.count() // 4)), "file", "at")  # about four blocks a task
     seen = dealt.mapInPandas(scan, "file string, at long, found long, head long, tail long, gaps array<long>")
     order = Window.partitionBy("file").orderBy("at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
