@@ -177,6 +177,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     folder = new_dir(docs.sparkSession, "media")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = store(texts, text_file, folder, "doc_id", "text")
+    n_shards = rows.select("shard").distinct().count()
+    rows = rows.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "offset")  # a shard's size is bounded
     headers = read_ranges(rows, lambda b: dict(zip(("width", "height", "bits"), png_header(b), strict=True)), "width int, height int, bits int", HEADER)
     full = read_ranges(headers, payload_features, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
     return full.withColumn("media_bytes", F.col("length"))
