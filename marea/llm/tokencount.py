@@ -92,4 +92,5 @@ def count_tokens(files: DataFrame, separator: int, block: int = BLOCK) -> DataFr
 def token_counts(docs: DataFrame, tokenizer: Callable, separator: int, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens of every row (null text: 0), counted in files that know no documents; one row per input row."""
     names = write_token_files(docs, tokenizer, separator, new_dir(docs.sparkSession, "tokens"), id_col, text_col)
-    return names.join(count_tokens(names, separator, block), ["file", "n"]).select("doc_id", "n_tokens")
+    # Files of names compress to far less than they hold, which would make the planner broadcast them.
+    return names.hint("merge").join(count_tokens(names, separator, block), ["file", "n"]).select("doc_id", "n_tokens")
