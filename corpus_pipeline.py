@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marea.llm import jaccard, langid, linededup, packing, words
-from marea.llm.shared import new_dir, table
+from marea.llm.shared import bounded_batches, new_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter, or too near two codewords to tell, go."""
+    bounded_batches(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     told = docs.withColumn("__told", langid.predict(F.col("text"), model))
     return told.where((F.col("__told.lang_pred") != "und") & ~F.col("__told.ambiguous")).select(*COLUMNS)
@@ -21,6 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line chunks that an earlier one has; those of which no word is left go."""
+    bounded_batches(spark)
     cut = linededup.dedup_lines(docs)
     gone = (F.col("lines_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -29,6 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of similar documents."""
+    bounded_batches(spark)
     found = jaccard.classes(docs)
     others = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
@@ -36,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens at most."""
+    bounded_batches(spark)
     return packing.pack(docs, words.word_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
 
 

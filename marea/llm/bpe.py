@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens a task remembers; the memo is emptied beyond that, which changes no result.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def load_ranks(path: str) -> list[bytes]:

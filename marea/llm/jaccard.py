@@ -29,7 +29,7 @@ from .graph import components
 from .shared import written
 
 #: Words whose hash a worker remembers; the memo is emptied beyond that, which changes no result.
-MEMO = 500_000
+MEMO = 250_000
 _memo: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -324,6 +324,8 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
                 low.append(int(s[0]) >> 1 if len(s) else None)
                 maps.append(signature(s, width_of(len(s))).tobytes() if len(s) else None)
             flat = np.concatenate(cut).view(np.int64) if cut else np.empty(0, np.int64)
+            if len(_memo) > MEMO // 2:
+                _memo.clear()  # workers are kept and soon do other work
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(low, pa.int64()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
     names = ["doc", "n", "key", "low", "map", "head"]

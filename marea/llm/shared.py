@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets Arrow batches hold so many rows at most: texts may be long, and a worker holds a batch several times over."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marea-{name}-{uuid.uuid4().hex}"
 
@@ -49,6 +56,7 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

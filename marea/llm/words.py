@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words of a generation of a worker's memo; of the one before, those met again are carried over. No result depends on it.
-MEMO = 1_000_000
+MEMO = 800_000
 
 #: Punctuation that, after a word and before white space, is a token run of its own; no quote and nothing that begins a special token.
 _TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
@@ -40,6 +40,8 @@ class WordTokenizer:
         if len(self.memo) > MEMO:
             self.memo, self.before = {}, self.memo
             words = set().union(*split)
+        elif len(self.memo) > MEMO // 2:
+            self.before = {}
         memo, stems, plain, tails, other = self.memo, [], set(), set(), []
         for w in [w for w in words if w in self.before]:
             memo[w] = self.before[w]
