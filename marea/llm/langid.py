@@ -39,8 +39,10 @@ def ngram_slots(text: str) -> Iterator[np.ndarray]:
 
 def codewords(k: int, bits: int = 24, seed: int = 5) -> np.ndarray:
     """k codewords of +1 and -1: all splits of up to 5 languages, else random columns with both values, rows apart."""
+    if k < 2:
+        return np.zeros((k, 0))
     if k <= 5:
-        columns = [(1, *c) for c in itertools.product((1, -1), repeat=max(0, k - 1)) if -1 in c]
+        columns = [(1, *c) for c in itertools.product((1, -1), repeat=k - 1) if -1 in c]
         return np.array(columns, np.float64).reshape(-1, k).T
     rng, best = np.random.default_rng(seed), None
     for _ in range(200):

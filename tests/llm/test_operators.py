@@ -1,0 +1,264 @@
+"""The ten operators on small fixtures with nulls, empty and long texts, ties and repeats, against brute force."""
+
+import hashlib
+import html as entities
+import random
+import re
+import tarfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from marea.llm import bpe, graph, html, jaccard, langid, linededup, media, packing, tokencount, topk, warc, words
+from marea.llm.shared import filesystem, new_dir
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+R = random.Random(7)
+VOCAB = ["".join(R.choice("abcdeoirst") for _ in range(R.randint(1, 7))) for _ in range(300)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) + r.choice(["", "", ",", "."]) for _ in range(n))
+
+
+BASE = prose(120, 1)
+TEXTS = [None, "", "  \n ", "one two", "one two", "ONE\tTWO", "a b c d e", BASE, BASE, BASE.upper(), BASE + " tail", "x " + BASE, prose(118, 3), "é" * 3000, "don't  I'LL\n\nstop!! <|endoftext|> ñandú ßtraße 12345 \U0001f600", prose(9000, 4), " ".join(BASE.split()[:100]), "\x1c\x85 odd\x0bspace"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", i) for i, t in enumerate(TEXTS)] + [(7, BASE, None, 0), (None, BASE, None, 1), (None, None, "en", 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n long").repartition(3).cache()
+
+
+def no_rows(spark, docs):
+    return spark.createDataFrame([], docs.schema)
+
+
+def test_bpe_is_tiktoken_and_round_trips(spark, docs):
+    import tiktoken
+
+    ranks = bpe.load_ranks(RANKS)
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in enumerate(ranks)}, special_tokens={})
+    rows = docs.select("*", bpe.encode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids")).withColumn("raw", bpe.decode(F.col("ids"), RANKS, public_tokenizers.PATTERN)).collect()
+    for r in rows:
+        assert list(r.ids) == t.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode()
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect())
+    assert got == Counter((r.doc_id, len(r.ids), hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()) for r in rows)
+    assert bpe.round_trip(no_rows(spark, docs), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def reference_ids(text, plain=False):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = plain
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_word_tokenizer_is_the_library():
+    texts = [t or "" for t in TEXTS] + ["".join(R.choice("abcÉéß'.,! \n12AZ<|>endoftext-́") for _ in range(200)) for _ in range(200)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.word_tokenizer(WORDS)()(texts)] == [reference_ids(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", [500, 4_000_000])
+def test_packing_covers_every_token_once(spark, docs, block):
+    rows = packing.pack(docs, words.word_tokenizer(WORDS), block_tokens=block).collect()
+    wanted = Counter()
+    for r in docs.collect():
+        wanted[r.doc_id, len(reference_ids(r.text)) + 1] += len(reference_ids(r.text)) + 1
+    got = Counter()
+    windows = defaultdict(list)
+    for r in rows:
+        got[r.doc_id, r.doc_tokens] += r.length
+        windows[r.sequence_id].append((r.offset, r.length))
+        if r.doc_id not in (None, 7):
+            ids = np.array(reference_ids(TEXTS[r.doc_id]) + [1], "<u4")
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert got == wanted
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(no_rows(spark, docs), words.word_tokenizer(WORDS)).count() == 0
+
+
+def test_best_fit_and_padding():
+    r = random.Random(3)
+    pieces = [(i, 0, 700 if i % 3 else r.randint(1, 2048)) for i in range(2000)]
+    fitted = packing.best_fit_decreasing(pieces, 2048)
+    assert Counter(p for w in fitted for p in w) == Counter(pieces) and all(sum(p[2] for p in w) <= 2048 for w in fitted)
+    filled = packing.fill_gaps(fitted, 2048, 0.01)
+    total = sum(p[2] for p in pieces)
+    assert sum(p[2] for w in filled for p in w) == total and all(sum(p[2] for p in w) <= 2048 for w in filled)
+    assert len(filled) * 2048 - total <= max(2048, 0.01 * total)
+
+
+def brute_classes(rows):
+    def shingles(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [(r.doc_id, shingles(r.text)) for r in rows]
+    ids = sorted({i for i, _ in sets if i is not None})
+    at = {i: i for i in ids}
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, a in sets:
+        for j, b in sets:
+            if None not in (i, j) and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                at[y] = x
+    out = Counter()
+    for i, s in sets:
+        same = [top(j) for j, t in sets if j is not None and t == s and s]
+        out[i, len(s), top(i) if i is not None else min(same, default=None)] += 1
+    return out
+
+
+@pytest.mark.parametrize("part", [2000, 3])
+def test_jaccard_is_brute_force(spark, docs, part):
+    near = []
+    for k in range(24):  # a family of near copies, not all near each other
+        w = BASE.split()
+        for x in random.Random(k).sample(range(len(w)), k % 5):
+            w[x] = f"w{k}{x}"
+        near.append((100 + k, " ".join(w), None, 0))
+    both = docs.unionByName(spark.createDataFrame(near, docs.schema))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(both, log2=12, part=part).collect())
+    assert got == brute_classes(both.collect())
+    assert jaccard.classes(no_rows(spark, docs), log2=12).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (40, 40), (50, 51), (51, 50)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30, 32: 30, 50: 50, 51: 50}
+
+
+def test_langid(spark):
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "éèêëñ", "dd": "klmno"}
+    rows = [(i, " ".join("".join(R.choice(letters[k]) for _ in range(5)) for _ in range(12)), k, 0) for i, k in enumerate(list(letters) * 30)]
+    rows += [(1000, None, "aa", 0), (1001, "", "aa", 0), (1002, "123 !!", "bb", 0), (1003, "abc", None, 0), (None, "fgh fgh", "bb", 0), (1004, "abcde " * 40_000, "aa", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, lang, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str("" if i is None else i).encode()) % 5 == 0) and 0 <= got[i].score <= 1
+        if not t or i == 1002:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+        elif lang:
+            assert got[i].lang_pred == lang
+    assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.identify(spark.createDataFrame([], df.schema)).count() == 0
+    code = langid.codewords(9)
+    assert code.shape[0] == 9 and len({tuple(c) for c in code}) == 9
+
+
+def test_topk_is_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.125]) for _ in range(4)]) for i in range(160)] + [(161, None), (162, [1.0, None, 0.0, 1.0]), (150, [0.1, 0.2, 0.3, 0.4]), (163, [1.0, float("nan"), 0.0, 0.0]), (164, [2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (200, [float("inf"), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, shard=16, tile=2).collect())
+    good = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    wanted = []
+    for q in {i for i, _ in good if i % 50 == 0}:
+        vq = min(v for i, v in good if i == q)
+        best = sorted(((-sum(a * b for a, b in zip(vq, v, strict=True)), i) for i, v in good if i != q and len(v) == len(vq)))[:5]
+        wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(wanted)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_media_round_trip(spark, docs):
+    rows = media.text_media(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        raw = (TEXTS[r.doc_id] or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert r.height * 64 == r.payload_bytes and r.media_sha256 == r.digest and r.media_bytes == r.length
+    with tarfile.open(filesystem(rows[0].shard)[1]) as t:
+        assert all(hashlib.sha256(t.extractfile(m).read()).hexdigest() == m.name for m in t)
+    assert media.text_media(no_rows(spark, docs)).count() == 0
+
+
+def test_line_dedup(spark):
+    passage = prose(60, 11)
+    a = "\n".join(f"line {k} {VOCAB[k]}" for k in range(40))
+    rows = [(1, a, 0), (2, "new start\n" + a + "\nnew end", 0), (3, f"before\n{passage}\nafter", 0), (4, f"other\n{passage}\nwords", 0), (5, None, 0), (6, "", 0), (7, "Les.", 0), (8, "Les.", 0), (9, a, 0), (9, a, 0), (None, a, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines_total long").repartition(3)
+    got = defaultdict(list)
+    for r in linededup.dedup_lines(df).collect():
+        got[r.doc_id].append(r)
+    text = {k: v[0].text for k, v in got.items()}
+    assert sum(map(len, got.values())) == len(rows)
+    assert text[1] == a and text[None] == a and text[5] is None and text[6] == "" and text[7] == text[8] == "Les."
+    assert text[2].startswith("new start") and text[2].endswith("new end") and len(text[2]) < 0.4 * len(a)  # cuts find each other again
+    assert passage in text[3] and text[4] == "other\nwords"
+    assert [r.lines_removed for r in got[9]] == [got[9][0].lines_removed] * 2 and got[9][0].lines_removed >= 36
+    assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    page = "<p>" + "x" * 200
+    rows = [(1, "http://A.com/b", page), (2, "http://a.com/b", page), (3, None, page), (4, "https://b.org:80/?q=1", "short"), (5, "u\r\nWARC-Type: revisit", "short"), (6, "", None), (0, "http://c.net", page), (None, "http://a.com", page), (2, "http://a.com/b", page), (2, "http://a.com/c", "é" * 500_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.archive(df).collect()
+    wanted = Counter()
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        first = 0 if h == page and i else None
+        wanted[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if first is not None else "response", first] += 1
+    assert Counter(tuple(r[:5]) for r in got) == wanted
+    merged = warc.merge_runs(warc.captures(warc.write_archives(df, new_dir(spark, "t"))))
+    placed = merged.select("_metadata.file_name", "_metadata.row_index", "url_key", "timestamp").collect()
+    history = [tuple(r)[2:] for r in sorted(placed)]
+    assert history == sorted(history) and len(history) == len(rows)
+    assert warc.archive(df.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    for k in range(9):
+        runs = [sorted((random.Random(i * 9 + k).randint(0, 9), i, j) for j in range(i)) for i in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+@pytest.mark.parametrize("block", [64, 4 << 20])
+def test_token_counts(spark, docs, block):
+    got = Counter((r.doc_id, r.n_tokens) for r in tokencount.token_counts(docs, words.plain_word_tokenizer(WORDS), 49_407, block).collect())
+    assert got == Counter((r.doc_id, len(reference_ids(r.text, True))) for r in docs.collect())
+    assert tokencount.token_counts(no_rows(spark, docs), words.plain_word_tokenizer(WORDS), 49_407).count() == 0
+
+
+def test_html(spark):
+    boiler = "Sign in to read all of our stories every single day"
+    rows = [
+        (1, "http://h.com/1", "<html><body><nav><a>Menu</a></nav><article><h1>T &amp; t</h1><p>One<b>two\n  three<br>four<p>Five<div class='comments'><p>me too</div><aside>ad</aside></article><footer>f</footer>"),
+        (2, "http://h.com/2", f"<body><div><p>{boiler}</p><p>Unique words of the second page here</p></div><div class=ad>buy</div>"),
+        (3, "http://h.com/3", f"<body><div><p>{boiler}</p><p>Other words that only page three has</p></div>"),
+        (4, "http://else.org", f"<p>{boiler}</p><script>var t='</p>'</script><p>x < y &lt; z"),
+        (5, None, None),
+        (6, "", ""),
+        (2, "http://h.com/2", "<main><p>Main text</main><p>out"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = Counter((r.page_id, r.text, r.n_chars) for r in html.main_text(df).collect())
+    texts = [(1, "T & t\n\nOnetwo three four\n\nFive"), (2, "Unique words of the second page here"), (3, "Other words that only page three has"), (4, f"{boiler}\n\nx < y < z"), (5, ""), (6, ""), (2, "Main text")]
+    assert got == Counter((i, t, len(t)) for i, t in texts)
+    assert html.main_text(df.limit(0)).count() == 0
+    assert entities.unescape("&amp;") == "&"
