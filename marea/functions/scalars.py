@@ -76,3 +76,50 @@ def phase_of(rank: Column, total: Column) -> Column:
 
 def regime_of(x: Column, q25: Column, q75: Column, q95: Column) -> Column:
     return F.when(x <= q25, "LOW").when(x <= q75, "NORMAL").when(x <= q95, "ELEVATED").otherwise("EXTREME")
+
+
+def projected_samples(level: Column, velocity: Column, acceleration: Column, strength: Column, persistence: Column, uncertainty: Column, reversal: Column, length: Column, half_life: Column) -> Column:
+    """The samples of forward_samples with what decays by half_life over their tau, and what grows as that goes."""
+    part = lambda s: F.pow(F.lit(2.0), -s["tau"] / half_life)
+    return F.transform(
+        forward_samples(level, velocity, acceleration, length),
+        lambda s: F.struct(
+            s["tau"].alias("tau"),
+            s["level"].alias("level"),
+            (velocity * part(s)).alias("velocity"),
+            clamp(uncertainty + (1 - part(s)) * 0.15, 0.0, 1.0).alias("uncertainty"),
+            clamp(strength * part(s), 0.0, 1.0).alias("strength"),
+            clamp(persistence * part(s), 0.0, 1.0).alias("persistence"),
+            clamp(reversal + (1 - part(s)) * 0.1, 0.0, 1.0).alias("reversal"),
+        ),
+    )
+
+
+def motion_phase(p1: Column, p2: Column, q1: Column, epsilon: float) -> Column:
+    """Phase of a motion from velocity, acceleration and projected velocity."""
+    still = F.when(q1 > epsilon, "TURNING_UP").when(q1 < -epsilon, "TURNING_DOWN").otherwise("NEAR_STATIONARY")
+    rising = F.when(q1 <= -epsilon, "TURNING_DOWN").when(p2 > 0, "UP_ACCELERATING").otherwise("UP_DECELERATING")
+    falling = F.when(q1 >= epsilon, "TURNING_UP").when(p2 > 0, "DOWN_DECELERATING").otherwise("DOWN_ACCELERATING")
+    return F.when(F.abs(p1) <= epsilon, still).when(p1 > 0, rising).otherwise(falling)
+
+
+def raw_colour(phase: Column, q1: Column, confidence: Column, epsilon: float) -> Column:
+    up, down = phase.isin("UP_ACCELERATING", "TURNING_UP") & (q1 > epsilon), phase.isin("DOWN_ACCELERATING", "TURNING_DOWN") & (q1 < -epsilon)
+    return F.when(confidence == "LOW", "AMBER").when(up, "GREEN").when(down, "RED").otherwise("AMBER")
+
+
+def target_rule(emergency: Column, enabled: Column, trading: Column, unsafe: Column, state: Column, candidate: Column, direction: Column) -> Column:
+    """The first rule that applies, from emergency to a qualified candidate."""
+    of_open = F.when(candidate.isNull(), "R34").when(candidate != "QUALIFIED", "R35").when(direction == "FLAT", "R36").when(direction == "UPWARD", "R40").when(direction == "DOWNWARD", "R41").otherwise("R34")
+    of_state = F.when(state == "CLOSED", "R31").when(state == "OPENING", "R32").when(state == "CLOSING", "R33").when(state == "OPEN", of_open).otherwise("R34")
+    return F.when(emergency, "R10").when(~enabled, "R20").when(~trading, "R21").when(unsafe, "R30").otherwise(of_state)
+
+
+def target_position(rule: Column, has: Column) -> Column:
+    return F.when(rule.isin("R20", "R21"), has).when(rule == "R40", "LONG").when(rule == "R41", "SHORT").otherwise("FLAT")
+
+
+def transition_intent(has: Column, wants: Column, pending: Column) -> Column:
+    """What a change of position takes; a pending target overrules."""
+    free = F.when(has == wants, "NO_CHANGE").when(has == "FLAT", "OPEN").when(wants == "FLAT", "CLOSE").otherwise("REVERSE")
+    return F.when(pending == "NONE", free).when(pending == wants, "NO_CHANGE").otherwise("RETARGET")

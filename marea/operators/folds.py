@@ -11,17 +11,20 @@ Step = Callable[[dict, dict], tuple[dict, dict]]
 
 
 def hysteresis_step(state: dict, row: dict, open_at: float = 0.75, close_at: float = 0.55, to_open: int = 3, to_close: int = 2) -> tuple[dict, dict]:
-    """CLOSED opens after to_open rows at open_at or more; OPEN closes after to_close rows under close_at. OPENING and CLOSING are the ways there."""
+    """CLOSED opens by way of OPENING after to_open rows at open_at or more; OPEN closes by way of CLOSING after to_close rows at close_at or less. A null score is low."""
     if open_at < close_at:
         raise ValueError("open_at is below close_at")
-    gate, n, x = state.get("gate", "CLOSED"), state.get("n", 0), row["score"]
-    if gate in ("CLOSED", "OPENING"):
-        n = n + 1 if x is not None and x >= open_at else 0
-        gate = "OPEN" if n >= to_open else "OPENING" if n else "CLOSED"
+    gate, x = state.get("gate", "CLOSED"), row["score"]
+    shut = gate in ("CLOSED", "OPENING")
+    goes = (x is not None and x >= open_at) if shut else (x is None or x <= close_at)
+    if not goes:
+        gate, n = "CLOSED" if shut else "OPEN", 0
+    elif gate in ("CLOSED", "OPEN"):
+        gate, n = "OPENING" if shut else "CLOSING", 1
     else:
-        n = n + 1 if x is None or x < close_at else 0
-        gate = "CLOSED" if n >= to_close else "CLOSING" if n else "OPEN"
-    n = 0 if gate in ("OPEN", "CLOSED") else n
+        n = state.get("n", 1) + 1
+        if n >= (to_open if shut else to_close):
+            gate, n = "OPEN" if shut else "CLOSED", 0
     return {"gate": gate, "n": n}, {"gate": gate}
 
 
@@ -35,19 +38,6 @@ def ema_step(state: dict, row: dict, rate: float = 0.05) -> tuple[dict, dict]:
     return {"ref": ref, "scale": scale}, {"ref": ref, "scale": scale}
 
 
-def kinematics_step(state: dict, row: dict, most: float = 5.0) -> tuple[dict, dict]:
-    """Level, velocity and acceleration of the price in units of the running scale, each clipped; clips are counted."""
-    state, made = {**state, **ema_step(state, row)[0]}, {}
-    level = (row["price"] - state["ref"]) / state["scale"]
-    velocity = level - state.get("level", level)
-    acceleration = velocity - state.get("velocity", velocity)
-    clips = state.get("clips", 0)
-    for name, x in (("level", level), ("velocity", velocity), ("acceleration", acceleration)):
-        made[name] = max(-most, min(most, x))
-        clips += made[name] != x
-    return {**state, **made, "clips": clips}, {**made, "clips": clips}
-
-
 def debounce_step(state: dict, row: dict, confirm: int = 2) -> tuple[dict, dict]:
     """A colour that changes only once the new label has come confirm times running; reset where the day changes."""
     if state.get("day") != row["day"]:
@@ -62,24 +52,29 @@ def debounce_step(state: dict, row: dict, confirm: int = 2) -> tuple[dict, dict]
     return state, {"colour": state["colour"]}
 
 
-def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq") -> DataFrame:
-    """Each entity's rows through step, in order: key, order and the columns of out.
+def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False) -> DataFrame:
+    """Each entity's rows through step, in order: key, order, the columns of carry and those of out.
 
     Rows are sorted by Spark and folded as they stream through, so an entity of any length holds one state in memory.
+    in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has.
     """
+    carry = carry or []
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, {}
         for batch in batches:
             rows = []
-            for k, o, *values in batch.itertuples(index=False):
+            table = batch.astype(object).where(batch.notna(), None)
+            for k, o, *values in table.itertuples(index=False):
                 if k != last:
                     last, state = k, {}
-                state, made = step(state, dict(zip(columns, values, strict=True)))
-                rows.append((k, o, *(made[n] for n in names)))
-            yield pd.DataFrame(rows, columns=[key, order, *names])
+                state, made = step(state, dict(zip([*columns, *carry], values, strict=True)))
+                rows.append((k, o, *values[len(columns) :], *(made[n] for n in names)))
+            yield pd.DataFrame(rows, columns=[key, order, *carry, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    dealt = df.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
-    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {out}")
+    dealt = df.select(key, order, *columns, *carry)
+    dealt = dealt if in_order else dealt.repartition(key).sortWithinPartitions(key, order)
+    carried = "".join(f"{c} {kinds[c]}, " for c in carry)
+    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")

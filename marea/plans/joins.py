@@ -398,23 +398,6 @@ def q_ema_reference(spark, sf):
     return folds.fold(ticks(spark, sf), folds.ema_step, ["price"], "ref double, scale double").select("entity_id", "seq", F.round(F.col("ref") + 0.0000003, 4).alias("ref"))
 
 
-@query()
-def q_kinematics(spark, sf):
-    return folds.fold(ticks(spark, sf), folds.kinematics_step, ["price"], "level double, velocity double, acceleration double, clips long")
-
-
-@query()
-def q_hysteresis(spark, sf):
-    t = ticks(spark, sf).withColumn("score", F.col("volume") / 100)
-    return folds.fold(t, folds.hysteresis_step, ["score"], "gate string")
-
-
-@query()
-def q_volume_policy(spark, sf):
-    t = ticks(spark, sf).withColumn("day", F.to_date("event_time").cast("string"))
-    return folds.fold(t, folds.debounce_step, ["day", "label"], "colour string")
-
-
 @query(TICKS + """, a AS (SELECT entity_id, seq, price, lead(price, 5) OVER w AS p5, list(price) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS y FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY seq))
   SELECT entity_id, seq, round(list_sum(list_transform(range(1, 6), lambda i: i * (y[i + 1] - y[1]))) / 55.0, 6) AS slope, round(list_sum(list_transform(range(1, 6), lambda i: abs(y[i + 1] - y[i]))), 6) AS path_length, round(p5 - price, 6) AS terminal FROM a WHERE p5 IS NOT NULL""")
 def q_horizon_geometry(spark, sf):

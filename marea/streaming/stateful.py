@@ -22,15 +22,17 @@ def stream_fold(stream: DataFrame, step: Step, columns: list[str], out: str, key
     def run(keys: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last, state = (held.get[0], json.loads(held.get[1])) if held.exists else (None, {})
         rows = []
-        for _, row in pd.concat(list(frames)).sort_values(order).iterrows():
-            if last is not None and row[order] <= last:
-                rows.append((keys[0], int(row[order]), True, *[None] * len(names)))
+        table = pd.concat(list(frames)).sort_values(order)[[order, *columns]]
+        table = table.astype(object).where(table.notna(), None)  # plain Python values, so that the state can be written as JSON
+        for at, *values in table.itertuples(index=False):
+            if last is not None and at <= last:
+                rows.append((keys[0], at, True, *[None] * len(names)))
                 continue
-            state, made = step(state, {c: row[c] for c in columns})
-            last = int(row[order])
+            state, made = step(state, dict(zip(columns, values, strict=True)))
+            last = at
             rows.append((keys[0], last, False, *(made[n] for n in names)))
         if last is not None:
-            held.update((last, json.dumps(state, default=str)))
+            held.update((last, json.dumps(state)))
         yield pd.DataFrame(rows, columns=[key, order, "late", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
