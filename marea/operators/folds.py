@@ -75,6 +75,8 @@ def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "en
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     dealt = df.select(key, order, *columns, *carry)
-    dealt = dealt if in_order else dealt.repartition(key).sortWithinPartitions(key, order)
+    if not in_order:  # by number: adaptive merging would see small rows, not the work a step is
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(parts, key).sortWithinPartitions(key, order)
     carried = "".join(f"{c} {kinds[c]}, " for c in carry)
     return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")
