@@ -1,10 +1,10 @@
-"""Removal of line chunks that repeat across the corpus.
+"""Removal of lines that repeat across the corpus in the company of a neighbour.
 
-A document's lines are cut into chunks at places their content chooses: after a line where a rolling hash over the last
-lines' hashes hits a residue, so that an insertion moves only nearby cuts. A line of at least min_words words is a chunk
-of its own (a passage pasted among other lines must not hide in theirs). Chunks of several lines, and passages, that
-occur more than once are kept at their first place (smallest id, then position) and removed elsewhere, after their bytes
-were compared with those of the first.
+A rolling hash spans two lines at every line, so chunks overlap: any two lines on end (not blank ones; blank lines
+between belong to the chunk) are one, so where a passage begins and ends in its host moves nothing. A line of at least
+min_words words is a chunk of its own. Chunks that occur more than once are kept at their first place (smallest id, then
+position) and removed elsewhere, after their bytes were compared with those of the first: a passage of two lines or more,
+or a copy of a whole document, goes to its last line. A single line of fewer words stays.
 """
 
 from __future__ import annotations
@@ -18,63 +18,47 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def chunk_ends(lines: list[bytes], min_words: int = 50, residue: int = 4, span: int = 2, most: int = 64) -> list[int]:
-    """Line numbers at which chunks end (exclusive). A chunk has at most most lines, counted from its own start."""
-    ends, start, recent = [], 0, []
+def chunks(text: str | None, min_words: int = 50) -> list[tuple[int, int, bytes]]:
+    """(start, end, bytes) of the chunks of a text that may be removed: two lines on end, or a line of min_words words."""
+    lines = text.encode().split(b"\n") if text else []
+    out, before = [], None
     for k, line in enumerate(lines):
-        if len(line.split()) >= min_words:
-            ends += [k, k + 1] if k > start else [k + 1]
-            start, recent = k + 1, []
+        if not line.strip():
             continue
-        recent = [*recent[1 - span :], int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little")]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * 0x5851F42D4C957F2D + h) % (1 << 64)
-        if k + 1 - start >= most or (k > start and (rolled >> 32) % residue == 0):
-            ends.append(k + 1)
-            start = k + 1
-    return ends if not lines or (ends and ends[-1] == len(lines)) else [*ends, len(lines)]
-
-
-def chunks(text: str | None, **how) -> list[tuple[int, int, bytes]]:
-    """(start, end, bytes) of the chunks of a text that may be removed: of two lines or more, or a passage."""
-    lines = text.encode().split(b"\n") if text else []
-    start, out, min_words = 0, [], how.get("min_words", 50)
-    for end in chunk_ends(lines, **how):
-        body = b"\n".join(lines[start:end])
-        if body.strip() and (end - start > 1 or len(body.split()) >= min_words):
-            out.append((start, end, body))
-        start = end
+        long = len(line.split()) >= min_words
+        if before is not None and not (long and before[1]):  # two long ones are found alone
+            out.append((before[0], k + 1, b"\n".join(lines[before[0] : k + 1])))
+        if long:
+            out.append((k, k + 1, line))
+        before = k, long
     return out
 
 
-def without_lines(text: str, spans: list[tuple[int, int]]) -> str:
-    lines = text.split("\n")
-    for start, end in sorted(spans, reverse=True):
-        del lines[start:end]
-    return "\n".join(lines)
+def without_lines(text: str, gone: list[int]) -> str:
+    gone = set(gone)
+    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """docs with repeated chunks removed from text_col, and two columns more: lines_removed and lines_total.
 
-    A document that consists of repeated chunks only ends with the empty text. Null texts stay null (0 lines), rows of
+    A chunk that overlaps its own first place (a line many times on end) loses only what that place doesn't hold. A document that consists of repeated chunks only ends with the empty text. Null texts stay null (0 lines), rows of
     null id stay whole and count for nothing. Rows with one id and one text are one document, all treated alike. Other
     columns are carried as they are, but for earlier ones of the two new names. Hot chunks meet only in counts and in joins by key, never in one group.
     """
-    how = {"min_words": min_words}
     identity = [F.col(id_col).cast("string").alias("__line_i"), F.xxhash64(F.col(text_col)).alias("__line_h")]
     found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
 
     @F.pandas_udf("array<struct<s:int,e:int,k:binary>>")
     def index(texts: pd.Series) -> pd.Series:
-        return pd.Series([[(s, e, hashlib.blake2b(b, digest_size=16).digest()) for s, e, b in chunks(t, **how)] for t in texts], dtype=object)
+        return pd.Series([[(s, e, hashlib.blake2b(b, digest_size=16).digest()) for s, e, b in chunks(t, min_words)] for t in texts], dtype=object)
 
-    order = F.struct(F.col(id_col).alias("i"), F.col("__line_h").alias("h"), F.col("c.s").alias("s"))
-    places = written(found.select(id_col, *identity, F.explode(index(F.col(text_col))).alias("c")).select("__line_i", "__line_h", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.k").alias("k"), order.alias("o")).distinct(), "chunks")
-    firsts = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")).where("n > 1").select("k", "first")
-    repeated = places.join(firsts, "k").select("__line_i", "__line_h", "s", "e", "k", (F.col("o") == F.col("first")).alias("is_first"))
-    marks = repeated.groupBy("__line_i", "__line_h").agg(F.collect_list(F.struct("s", "e", "k", "is_first")).alias("m"))  # at most a document's lines
+    places = written(found.select(F.col(id_col).alias("i"), *identity, F.explode(index(F.col(text_col))).alias("c")).select("i", "__line_i", "__line_h", "c.*"), "chunks")
+    order = F.struct("i", F.col("__line_h").alias("h"), "s")
+    firsts = places.groupBy("k").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").select("k", "first")
+    repeated = places.join(firsts, "k").select("__line_i", "__line_h", "s", "e", "k", (order == F.col("first")).alias("is_first"))
+    whole = repeated.repartition("__line_i", "__line_h").distinct()  # rows of one id and one text are one document
+    marks = whole.groupBy("__line_i", "__line_h").agg(F.collect_list(F.struct("s", "e", "k", "is_first")).alias("m"))  # at most two a line
 
     @F.pandas_udf("array<binary>")
     def bodies(texts: pd.Series, marks: pd.Series) -> pd.Series:
@@ -84,17 +68,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = found.select(*identity, F.col(text_col).alias("t")).dropDuplicates(["__line_i", "__line_h"]).join(marks, ["__line_i", "__line_h"])
     spelled = keyed.select("__line_i", "__line_h", F.explode(F.arrays_zip("m", bodies("t", "m").alias("b"))).alias("x")).select("__line_i", "__line_h", "x.m.*", F.col("x.b").alias("b"))
     spelled = written(spelled, "repeats")
-    kept = spelled.where("is_first").select("k", F.col("b").alias("first_b"))
-    gone = spelled.where("not is_first").join(kept, "k").where("b = first_b").groupBy("__line_i", "__line_h").agg(F.collect_list(F.struct("s", "e")).alias("__line_gone"))
+    kept = spelled.where("is_first").select("k", F.col("b").alias("first_b"), F.col("__line_i").alias("first_i"), F.col("__line_h").alias("first_h"), F.col("e").alias("first_e"))
+    same = spelled.where("not is_first").join(kept, "k").where("b = first_b")
+    start = F.when((F.col("__line_i") == F.col("first_i")) & (F.col("__line_h") == F.col("first_h")), F.greatest("s", "first_e")).otherwise(F.col("s"))
+    lines = same.withColumn("s", start).where("s < e").withColumn("n", F.sequence("s", F.col("e") - 1))
+    gone = lines.groupBy("__line_i", "__line_h").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("__line_gone"))
     return _cut(docs, gone, id_col, text_col)
 
 
 def _cut(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if m is None or t is None else without_lines(t, [(x["s"], x["e"]) for x in m]) for t, m in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([t if m is None or t is None else without_lines(t, list(m)) for t, m in zip(texts, spans, strict=True)], dtype=object)
 
-    removed: Column = F.aggregate(F.coalesce("__line_gone", F.array().cast("array<struct<s:int,e:int>>")), F.lit(0), lambda a, x: a + x["e"] - x["s"])
+    removed: Column = F.size(F.coalesce("__line_gone", F.array().cast("array<int>")))
     total = F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size(F.split(F.col(text_col), "\n"))), F.lit(0))
     joined = docs.withColumns({"__line_i": F.col(id_col).cast("string"), "__line_h": F.xxhash64(F.col(text_col))}).join(gone, ["__line_i", "__line_h"], "left")
     joined = joined.withColumns({"lines_removed": removed, "lines_total": total, "__line_t": F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__line_gone")))})

@@ -214,6 +214,49 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def lines_left(texts, min_words=50):
+    """Brute force of dedup_lines on texts in order of their ids, without blank lines and lines that follow their like."""
+    seen, out = set(), []
+    for lines in [t.split("\n") for t in texts]:
+        keys = [((k, k + 1), (a, b)) for k, (a, b) in enumerate(zip(lines, lines[1:]))] + [((k,), a) for k, a in enumerate(lines) if len(a.split()) >= min_words]
+        gone = set()
+        for at, key in keys:
+            if key in seen and not (isinstance(key, tuple) and all(len(x.split()) >= min_words for x in key)):
+                gone.update(at)
+            seen.add(key)
+        out.append("\n".join(a for k, a in enumerate(lines) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("lines, words", [(5, 12), (6, 15), (8, 10), (10, 20), (2, 12)])
+def test_line_dedup_of_passages(spark, lines, words):
+    texts = []
+    for trial in range(40):  # a passage of short lines, pasted among the lines of two documents
+        passage = [prose(words, (trial, k, lines).__repr__()) for k in range(lines)]
+        for copy in range(2):
+            host = [prose(12, (trial, k, copy).__repr__()) for k in range(6 + copy)]
+            texts.append("\n".join(host[:3] + passage + host[3:]))
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].lines_removed == lines * (k % 2)
+        assert got[k].text == ("\n".join(t.split("\n")[:3] + t.split("\n")[3 + lines :]) if k % 2 else t)
+
+
+def test_line_dedup_is_brute_force(spark):
+    r = random.Random(3)
+    pool = [prose(r.choice([3, 9, 20, 55]), 900 + k) for k in range(30)]
+    texts = []
+    for k in range(120):
+        lines = r.choice(texts).split("\n")[r.randint(0, 2) :] if texts and r.random() < 0.5 else r.sample(pool, r.randint(1, 9))
+        texts.append("\n".join(lines + ([prose(8, 5000 + k)] if r.random() < 0.5 else [])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()}
+    assert [got[k] for k in range(len(texts))] == lines_left(texts)
+    odd = ["x\nx\nx\nx", "a\n\nb\n", "new\na\n\nb\nmore", "a\nb"]
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    assert got == {0: "x\nx", 1: odd[1], 2: "new\nmore", 3: odd[3]}
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 200
     rows = [(1, "http://A.com/b", page), (2, "http://a.com/b", page), (3, None, page), (4, "https://b.org:80/?q=1", "short"), (5, "u\r\nWARC-Type: revisit", "short"), (6, "", None), (0, "http://c.net", page), (None, "http://a.com", page), (2, "http://a.com/b", page), (2, "http://a.com/c", "é" * 500_000)]
