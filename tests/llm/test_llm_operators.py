@@ -215,15 +215,15 @@ def test_line_dedup(spark):
 
 
 def lines_left(texts, min_words=50):
-    """Brute force of dedup_lines on texts in order of their ids, without blank lines and lines that follow their like."""
-    seen, out = set(), []
-    for lines in [t.split("\n") for t in texts]:
-        keys = [((k, k + 1), (a, b)) for k, (a, b) in enumerate(zip(lines, lines[1:]))] + [((k,), a) for k, a in enumerate(lines) if len(a.split()) >= min_words]
+    """Brute force of dedup_lines on texts in order of their ids, without blank lines."""
+    first, out = {}, []
+    for doc, lines in enumerate(t.split("\n") for t in texts):
+        long = [len(a.encode().split()) >= min_words for a in lines]
         gone = set()
-        for at, key in keys:
-            if key in seen and not (isinstance(key, tuple) and all(len(x.split()) >= min_words for x in key)):
-                gone.update(at)
-            seen.add(key)
+        for k in range(len(lines)):
+            for end in [k + 1] * long[k] + [k + 2] * (k + 1 < len(lines) and not all(long[k : k + 2])):
+                seen, until = first.setdefault(tuple(lines[k:end]), (doc, end))
+                gone.update(range(max(k, until) if seen == doc else k, end))
         out.append("\n".join(a for k, a in enumerate(lines) if k not in gone))
     return out
 

@@ -1,8 +1,13 @@
 """The pipeline and the queries of this subpackage on the small tables."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import Row
+from test_llm_operators import WORDS, brute_classes, lines_left
 
 import corpus_pipeline
+from marea.llm import words
 from marea.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +26,29 @@ def test_stages(spark):
     assert tokens(corpus_pipeline.run(spark, SF)) == tokens(out)
 
 
+def test_run_is_brute_force(spark, tmp_path):
+    """Over planted exact and near copies: an exact copy goes whole, and what is packed are the texts found by brute force."""
+    some = sorted(spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect(), key=lambda r: r.doc_id)[:120]
+    rows = [tuple(r) for r in some]
+    for r in some[:60]:
+        w = r.text.split(" ")
+        near = " ".join([*w[: len(w) // 2], "planted", *w[len(w) // 2 + 1 :]])
+        rows += [(10**6 + r.doc_id, r.text, *r[2:]), (2 * 10**6 + r.doc_id, near, *r[2:])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    told = sorted(corpus_pipeline.language_id(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect(), key=lambda r: r.doc_id)
+    left = {r.doc_id: t for r, t in zip(told, lines_left([r.text for r in told]), strict=True) if t.split() or t == r.text}
+    copies = {r.doc_id for r in told if 10**6 <= r.doc_id < 2 * 10**6}
+    short = {r.doc_id for r in told if "\n" not in r.text}
+    assert copies and not (copies & set(left)) - short
+    classes = brute_classes([Row(doc_id=i, text=t) for i, t in left.items()])
+    kept = {i: left[i] for i, _, c in classes if i == c}
+    assert not copies & set(kept)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    n = {i: len(x) // 4 + 1 for i, x in zip(kept, words.word_tokenizer(WORDS)()(list(kept.values())), strict=True)}
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(n)
+    assert out.agg({"length": "sum"}).first()[0] == sum(n.values())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, tmp_path, name):
     import duckdb
