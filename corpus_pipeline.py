@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marea.llm import jaccard, langid, linededup, packing, words
-from marea.llm.shared import bounded_batches, new_dir, table
+from marea.llm.shared import bounded_batches, new_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,11 +30,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of similar documents."""
+    """The row of the smallest id (null is largest) of each component of similar rows; ids may be null or repeat."""
     bounded_batches(spark)
-    found = jaccard.classes(docs)
-    others = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.classes(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")
+    least = rows.select("doc_id", "__row").join(found, "__row").groupBy("component_id").agg(F.min(order).alias("m")).select("m.__row")
+    return rows.join(least, "__row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,14 @@ def test_run_is_brute_force(spark, tmp_path):
     assert out.agg({"length": "sum"}).first()[0] == sum(n.values())
 
 
+def test_near_duplicates_by_row(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a + " more"), (3, b), (3, "other words of the same id here"), (None, a), (None, "c " + b), (None, "alone without an id"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(1, a), (3, b), rows[4], rows[7], (4, ""), (5, None)])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, tmp_path, name):
     import duckdb
