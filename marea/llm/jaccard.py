@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import likely, written
 
 #: Words whose hash a worker remembers; the memo is emptied beyond that, which changes no result.
 MEMO = 250_000
@@ -255,15 +255,6 @@ def _narrowed(members: DataFrame, made: DataFrame, part: int) -> DataFrame:
     return written(kept.distinct(), "groups")
 
 
-def _likely(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """The rows of texts whose doc is in wanted, and a few others: a bitmap of hashed ids, of bits / 64 rows at most, spares the rest the shuffle."""
-    slot = lambda: F.pmod(F.xxhash64(F.col("doc"), F.lit(1)), F.lit(bits))
-    marks = wanted.select(slot().alias("s")).select(F.floor(F.col("s") / 64).alias("block"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("bit"))
-    marks = marks.groupBy("block").agg(F.bit_or("bit").alias("marks"))
-    known = texts.withColumn("s", slot()).withColumn("block", F.floor(F.col("s") / 64))
-    return known.join(F.broadcast(marks), "block").where("shiftrightunsigned(marks, CAST(s % 64 AS INT)) & 1 = 1").select("doc", "text")
-
-
 def _linked(groups: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) inside each group of rows (g, part, doc, text[, label]); a part is read whole by one task."""
 
@@ -357,7 +348,7 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     at = F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("h", "parts").cast("int")))
     dealt = dealt.select("g", "doc", F.explode(at).alias("part"))
     texts = rows.where("doc is not null and text is not null")
-    found = written(_linked(dealt.join(_likely(texts, dealt), "doc").withColumn("label", F.col("doc")), width), "links")
+    found = written(_linked(dealt.join(likely(texts, "doc", dealt), "doc").withColumn("label", F.col("doc")), width), "links")
     joined = components(found)
 
     large = members.join(sizes.where(F.col("m") > part), "g").select("g", "doc")
@@ -375,7 +366,7 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
         with_inner = F.transform(F.sequence(F.lit(0), inner - 1), lambda b: own_part * (1 << 20) + b)
         with_other = F.transform(F.sequence(F.lit(0), outer - 1), lambda b: F.least(own_part, b) * (1 << 20) + (1 << 19) + F.greatest(own_part, b))
         blocks = open_.select("g", "doc", "label", F.explode(F.when(in_main, with_outer).otherwise(F.concat(with_inner, with_other))).alias("part"))
-        more = _linked(blocks.join(_likely(texts, blocks), "doc"), width)
+        more = _linked(blocks.join(likely(texts, "doc", blocks), "doc"), width)
         stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = components(stars.unionByName(more))
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -13,10 +14,12 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="marea-shared-")
@@ -47,6 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def likely(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 22, keep_rest: bool = False) -> DataFrame:
+    """The rows whose column is among that column of wanted, and a few others, before a join that shuffles them; or, with keep_rest, all rows and what they are as likely.
+
+    A bitmap of hashed values is broadcast: bits / 64 rows at most, whatever the input. Where it is full it spares nothing.
+    """
+    slot = F.pmod(F.xxhash64(F.col(column), F.lit(1)), F.lit(bits))
+    marks = wanted.select(slot.alias("s")).select(F.floor(F.col("s") / 64).alias("__block"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("bit"))
+    marks = marks.groupBy("__block").agg(F.bit_or("bit").alias("__marks"))
+    known = rows.withColumn("__slot", slot).withColumn("__block", F.floor(F.col("__slot") / 64)).join(F.broadcast(marks), "__block", "left" if keep_rest else "inner")
+    hit = F.expr("shiftrightunsigned(__marks, CAST(__slot % 64 AS INT)) & 1 = 1")
+    if keep_rest:
+        return known.withColumn("likely", F.coalesce(hit, F.lit(False))).drop("__slot", "__block", "__marks")
+    return known.where(hit).drop("__slot", "__block", "__marks")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for t in tables:
