@@ -50,19 +50,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def likely(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 22, keep_rest: bool = False) -> DataFrame:
-    """The rows whose column is among that column of wanted, and a few others, before a join that shuffles them; or, with keep_rest, all rows and what they are as likely.
+def likely(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 22, keep_rest: str | None = None) -> DataFrame:
+    """The rows whose column is among that column of wanted, and a few others, before a join that shuffles them; or, with keep_rest, all rows and which they are as a column of that name.
 
     A bitmap of hashed values is broadcast: bits / 64 rows at most, whatever the input. Where it is full it spares nothing.
     """
+    own, block, mask = fresh(rows, "slot", "block", "marks")
     slot = F.pmod(F.xxhash64(F.col(column), F.lit(1)), F.lit(bits))
-    marks = wanted.select(slot.alias("s")).select(F.floor(F.col("s") / 64).alias("__block"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("bit"))
-    marks = marks.groupBy("__block").agg(F.bit_or("bit").alias("__marks"))
-    known = rows.withColumn("__slot", slot).withColumn("__block", F.floor(F.col("__slot") / 64)).join(F.broadcast(marks), "__block", "left" if keep_rest else "inner")
-    hit = F.expr("shiftrightunsigned(__marks, CAST(__slot % 64 AS INT)) & 1 = 1")
+    marks = wanted.select(slot.alias("s")).select(F.floor(F.col("s") / 64).alias(block), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("bit"))
+    marks = marks.groupBy(block).agg(F.bit_or("bit").alias(mask))
+    known = rows.withColumn(own, slot).withColumn(block, F.floor(F.col(own) / 64)).join(F.broadcast(marks), block, "left" if keep_rest else "inner")
+    hit = F.expr(f"shiftrightunsigned(`{mask}`, CAST(`{own}` % 64 AS INT)) & 1 = 1")
     if keep_rest:
-        return known.withColumn("likely", F.coalesce(hit, F.lit(False))).drop("__slot", "__block", "__marks")
-    return known.where(hit).drop("__slot", "__block", "__marks")
+        return known.withColumn(keep_rest, F.coalesce(hit, F.lit(False))).drop(own, block, mask)
+    return known.where(hit).drop(own, block, mask)
+
+
+#: Keys that may be hot, at most; each has at least so many rows.
+MOST_HOT, LEAST_HOT = 10_000, 1_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined by key with table, which has one row per key and n, how many of the rows have it; n is not returned.
+
+    Keys with more than a MOST_HOT-th of all (and LEAST_HOT) rows, fewer than MOST_HOT by counting, are broadcast, so
+    that none of their rows is shuffled; all others meet by a shuffle without a hot key. table should be small and wide
+    in nothing but its key, and rows without a key match nothing.
+    """
+    bound = max(LEAST_HOT, -(-total // MOST_HOT))
+    hot, cold = table.where(F.col("n") > bound).drop("n"), table.where(F.col("n") <= bound).drop("n")
+    named = hot.withColumnRenamed(key, "__hot")
+    met = rows.join(F.broadcast(named), rows[key] == named["__hot"], "left")
+    kept = met.where("__hot is not null").drop("__hot")
+    rest = met.where("__hot is null").select(*rows.columns)
+    return kept.unionByName(rest.join(cold, key, how))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has one of them, whatever the case."""
+    known, mark = {c.lower() for c in df.columns}, "__"
+    while any(f"{mark}{n}".lower() in known for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def dropped(*tables: DataFrame) -> None:
