@@ -22,14 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import likely, written
+from .shared import hot_join, likely, written
 
 #: Words whose hash a worker remembers; the memo is emptied beyond that, which changes no result.
 MEMO = 250_000
+#: Shingles that one task holds of a group, about; a group with more is dealt into parts.
+SHINGLES = 8_000_000
 _memo: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -258,12 +261,12 @@ def _narrowed(members: DataFrame, made: DataFrame, part: int) -> DataFrame:
 def _linked(groups: DataFrame, width: int) -> DataFrame:
     """Edges (u, v) inside each group of rows (g, part, doc, text[, label]); a part is read whole by one task."""
 
-    def solve(docs: list[int], texts: list[str], labels: list) -> pd.DataFrame | None:
+    def solve(docs: list[int], sets: list[np.ndarray], labels: list) -> pd.DataFrame | None:
         if len(docs) < 2:
             return None
         ids = np.array(docs, np.int64)
         start = np.unique(np.array(labels, np.int64), return_inverse=True)[1].reshape(-1)
-        end = link_sets([shingles(t, width) for t in texts], start)
+        end = link_sets(sets, start)
         first = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(first, end, ids)
         own = first[end]
@@ -271,23 +274,88 @@ def _linked(groups: DataFrame, width: int) -> DataFrame:
         return pd.DataFrame({"u": ids[moved], "v": own[moved]}) if moved.any() else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, docs, texts, labels = None, [], [], []
+        key, docs, sets, labels = None, [], [], []
         for batch in batches:
             for g, part, doc, text, label in batch.itertuples(index=False):
                 if (g, part) != key:
-                    if (out := solve(docs, texts, labels)) is not None:
+                    if (out := solve(docs, sets, labels)) is not None:
                         yield out
-                    key, docs, texts, labels = (g, part), [], [], []
+                    key, docs, sets, labels = (g, part), [], [], []
                 docs.append(doc)
-                texts.append(text)
+                sets.append(shingles(text, width))
                 labels.append(label)
-        if (out := solve(docs, texts, labels)) is not None:
+        if (out := solve(docs, sets, labels)) is not None:
             yield out
 
     cut = groups.select("g", "part", "doc", "text", "label").repartition("g", "part").sortWithinPartitions("g", "part", "doc")
     return cut.mapInPandas(run, "u long, v long").distinct()
 
 
+BUCKET = ["g", "doc", "part", "member", "n"]
+#: Entries that one task puts into buckets, about.
+ENTRIES = 2_000_000
+
+
+def _buckets(entries: DataFrame, parts: int) -> DataFrame:
+    """(g, doc) of every member that several documents of entries (doc, n, member) share, g being the bucket's smallest document.
+
+    Entries are dealt by ranges of (member, n, doc), so a hot member goes to as many tasks as it needs. A bucket falls
+    apart where sizes make a step that no pair can bridge. The first and last buckets of a task may go on in others:
+    these are told by their ends, two rows a task, and get one name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if not got or not sum(len(c[0]) for c in got):
+            return
+        own = 2 * TaskContext.get().partitionId()
+        doc, n, member = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((doc, n, member))
+        doc, n, member = doc[order], n[order].astype(np.int64), member[order]
+        start = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (3 * n[1:] > 4 * n[:-1])])
+        length = np.diff(np.r_[start, len(member)])
+        least = np.minimum.reduceat(doc, start)
+        center, part = np.repeat(least, length), np.full(len(doc), -1)
+        part[start[-1] :] = own + 1
+        part[: length[0]] = own  # a task of one bucket has but this part
+        keep = (center != doc) | (part >= 0)
+        pairs = np.unique(np.stack([center[keep], doc[keep], part[keep]]), axis=1)
+        none = pa.nulls(pairs.shape[1], pa.int64())
+        yield pa.record_batch([*map(pa.array, pairs), none, none], BUCKET)
+        ends = [(int(least[0]), None, own, int(member[0]), int(n[0])), (int(least[-1]), None, own + (len(start) > 1), int(member[-1]), int(n[-1]))]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], BUCKET)
+
+    ordered = entries.select("doc", "n", "member").repartitionByRange(parts, "member", "n", "doc")
+    found = written(ordered.mapInArrow(run, ", ".join(f"{c} long" for c in BUCKET)), "buckets")
+    names = _across([tuple(r)[:1] + tuple(r)[2:] for r in found.where("doc is null").collect()])  # two rows a task
+    renamed = entries.sparkSession.createDataFrame(list(names.items()) or [(-2, 0)], "part long, name long")
+    edge = found.where("doc is not null and part >= 0").join(F.broadcast(renamed), "part", "left").select(F.coalesce("name", "g").alias("g"), "doc")
+    return found.where("doc is not null and part < 0").select("g", "doc").unionByName(edge).where("g != doc").distinct()
+
+
+def _across(ends: list[tuple[int, int, int, int]]) -> dict[int, int]:
+    """The common name of parts of buckets that go on from task to task, of the ends (least, part, member, n) of each task, first and last."""
+    names: dict[int, int] = {}
+    chain: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if len({part for _, part in chain}) > 1:
+            names.update(dict.fromkeys((part for _, part in chain), min(least for least, _ in chain)))
+        chain.clear()
+
+    before = None
+    ordered = sorted(ends, key=lambda e: (e[1] // 2, e[2], e[3], e[1]))
+    for k, (least, part, member, n) in enumerate(ordered):
+        first = k % 2 == 0
+        goes_on = before is not None and (part == before[0] if not first else before[1] == member and 3 * n <= 4 * before[2])
+        if not goes_on:
+            close()
+        chain.append((least, part))
+        before = part, member, n
+    close()
+    return names
+
+
 def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; linked are sets with 100 * intersection >= 75 * union.
 
@@ -321,29 +389,16 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
 
     names = ["doc", "n", "key", "low", "map", "head"]
     made = written(rows.mapInArrow(features, "doc long, n long, key binary, low long, map binary, head array<long>"), "shingles")
-    own = made.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("doc"))
-    entries = made.join(own, ["key", "doc"], "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.explode("head").alias("member"))
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-        if not got:
-            return
-        doc, n, member = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((n, member))
-        doc, n, member = doc[order], n[order], member[order]
-        # A bucket falls apart where sizes make a step that no pair can bridge.
-        start = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (3 * n[1:].astype(np.int64) > 4 * n[:-1])])
-        length = np.diff(np.r_[start, len(member)])
-        center = np.repeat(np.minimum.reduceat(doc, start), length)
-        many = center != doc
-        pairs = np.unique(np.stack([center[many], doc[many]]), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["g", "doc"])
-
-    met = written(entries.repartition("member").mapInArrow(buckets, "g long, doc long").distinct(), "buckets")
+    own = made.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
+    own = written(own.where("rep is not null"), "classes")
+    entries = made.join(own.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").where("key is not null").select("doc", F.col("n").cast("int").alias("n"), F.explode("head").alias("member"))
+    n_entries = made.agg(F.sum(F.size("head"))).first()[0] or 0
+    met = written(_buckets(entries, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // ENTRIES))), "groups")
     met = met.unionByName(met.select("g", F.col("g").alias("doc")).distinct())
     members = _narrowed(met, made.select("doc", "n", "low", "map"), part)
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    dealt = members.join(sizes, "g").select("g", "doc", "m", F.ceil(F.col("m") / part).cast("int").alias("parts"), F.xxhash64("doc").alias("h"))
+    shares = F.greatest(F.count(F.lit(1)) / part, F.sum("n") / SHINGLES)
+    sizes = members.join(made.select("doc", "n"), "doc").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.ceil(shares).cast("int").alias("parts"))
+    dealt = members.join(sizes, "g").select("g", "doc", "m", "parts", F.xxhash64("doc").alias("h"))
     everywhere = (F.col("doc") == F.col("g")) | (F.pmod("h", F.col("m")) < 16)  # pivots, in all parts of a large group
     at = F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("h", "parts").cast("int")))
     dealt = dealt.select("g", "doc", F.explode(at).alias("part"))
@@ -351,12 +406,12 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     found = written(_linked(dealt.join(likely(texts, "doc", dealt), "doc").withColumn("label", F.col("doc")), width), "links")
     joined = components(found)
 
-    large = members.join(sizes.where(F.col("m") > part), "g").select("g", "doc")
+    large = members.join(sizes.where("parts > 1"), "g").select("g", "doc", "parts")
     if not large.isEmpty():
-        known = large.join(joined, large["doc"] == joined["node"], "left").select("g", "doc", F.coalesce("component", "doc").alias("label"))
+        known = large.join(joined, large["doc"] == joined["node"], "left").select("g", "doc", "parts", F.coalesce("component", "doc").alias("label"))
         main = known.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("in_main"))
         open_ = known.join(main.where("in_main < m"), "g")
-        of = lambda c: F.greatest(F.lit(1), F.ceil(c / part)).cast("int")
+        of = lambda c: F.greatest(F.lit(1), F.ceil(F.col("parts") * c / F.col("m"))).cast("int")
         inner, outer = of(F.col("in_main")), of(F.col("m") - F.col("in_main"))
         h = F.xxhash64("doc")
         in_main = F.col("label") == F.col("main")
@@ -370,6 +425,14 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
         stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         joined = components(stars.unionByName(more))
 
-    out = made.select("doc", "n", "key").join(own.withColumnRenamed("doc", "rep"), "key", "left")
-    out = out.join(joined, out["rep"] == joined["node"], "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"))
+    # A class is resolved once and handed to its rows; rows of an id with several texts link the classes of these.
+    several = made.where("key is not null and doc is not null").groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc")
+    bonds = made.join(several, "doc", "left_semi").join(own.select("key", "rep"), "key").select(F.col("doc").alias("u"), F.col("rep").alias("v")).distinct()
+    if not several.isEmpty():
+        joined = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(bonds))
+    named = own.join(joined, own["rep"] == joined["node"], "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
+    told = hot_join(made.where("key is not null").select("doc", F.col("n").alias("size"), "key"), named, "key", made.count(), "left")
+    bare = made.where("key is null").select("doc", F.col("n").alias("size"))
+    bare = bare.join(joined, bare["doc"] == joined["node"], "left").select("doc", "size", F.col("component").alias("component_id"))
+    out = told.select("doc", "size", "component_id").unionByName(bare)
+    return out.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
