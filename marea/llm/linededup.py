@@ -1,10 +1,10 @@
 """Removal of lines that repeat across the corpus in the company of a neighbour.
 
 A rolling hash spans two lines at every line, so chunks overlap: any two lines on end (not blank ones; blank lines
-between belong to the chunk) are one, so where a passage begins and ends in its host moves nothing. A line of at least
-min_words words is a chunk of its own. Chunks that occur more than once are kept at their first place (smallest id, then
+between belong to the chunk) are one, so where a passage begins and ends in its host moves nothing. Only where asked for,
+a line of at least min_words words is a chunk of its own. Chunks that occur more than once are kept at their first place (smallest id, then
 position) and removed elsewhere, after their bytes were compared with those of the first: a passage of two lines or more,
-or a copy of a whole document, goes to its last line. A single line of fewer words stays.
+or a copy of a whole document, goes to its last line. A single line else stays.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, hot_join, likely, written
 
 
-def chunks(text: str | None, min_words: int = 50) -> list[tuple[int, int, bytes]]:
+def chunks(text: str | None, min_words: int | None = None) -> list[tuple[int, int, bytes]]:
     """(start, end, bytes) of the chunks of a text that may be removed: two lines on end, or a line of min_words words."""
     lines = text.encode().split(b"\n") if text else []
     out, before = [], None
     for k, line in enumerate(lines):
         if not line.strip():
             continue
-        long = len(line.split()) >= min_words
+        long = min_words is not None and len(line.split()) >= min_words
         if before is not None and not (long and before[1]):  # two long ones are found alone
             out.append((before[0], k + 1, b"\n".join(lines[before[0] : k + 1])))
         if long:
@@ -39,50 +39,68 @@ def without_lines(text: str, gone: list[int]) -> str:
     return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """docs with repeated chunks removed from text_col, and two columns more: lines_removed and lines_total.
 
-    A chunk that overlaps its own first place (a line many times on end) loses only what that place doesn't hold. A document that consists of repeated chunks only ends with the empty text. Null texts stay null (0 lines), rows of
-    null id stay whole and count for nothing. Rows with one id and one text are one document, all treated alike. Other
-    columns are carried as they are, but for earlier ones of the two new names. Hot chunks meet only in counts and in joins by key, never in one group.
+    min_words makes a single line of so many words a chunk; without it only two lines on end are. A chunk that overlaps its
+    own first place (a line many times on end) loses only what that place doesn't hold. A document that consists of
+    repeated chunks only ends with the empty text. Null texts stay null (0 lines), rows of null id stay whole and count
+    for nothing. Rows with one id and one text are one document, all treated alike. Other columns are carried as they are,
+    but for earlier ones of the two new names. Texts that hold no repeated chunk are not shuffled. Hot chunks are met by
+    broadcast of their first places, and their bytes by so many copies of the first as they have thousands of places.
     """
-    identity = [F.col(id_col).cast("string").alias("__line_i"), F.xxhash64(F.col(text_col)).alias("__line_h")]
-    found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    identity = [F.col(id_col).cast("string").alias("i"), F.xxhash64(F.col(text_col)).alias("h")]
+    found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("own"), *identity, F.col(text_col).alias("t"))
 
     @F.pandas_udf("array<struct<s:int,e:int,k:binary>>")
     def index(texts: pd.Series) -> pd.Series:
         return pd.Series([[(s, e, hashlib.blake2b(b, digest_size=16).digest()) for s, e, b in chunks(t, min_words)] for t in texts], dtype=object)
 
-    places = written(found.select(F.col(id_col).alias("i"), *identity, F.explode(index(F.col(text_col))).alias("c")).select("i", "__line_i", "__line_h", "c.*"), "chunks")
-    order = F.struct("i", F.col("__line_h").alias("h"), "s")
-    firsts = places.groupBy("k").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").select("k", "first")
-    repeated = places.join(firsts, "k").select("__line_i", "__line_h", "s", "e", "k", (order == F.col("first")).alias("is_first"))
-    whole = repeated.repartition("__line_i", "__line_h").distinct()  # rows of one id and one text are one document
-    marks = whole.groupBy("__line_i", "__line_h").agg(F.collect_list(F.struct("s", "e", "k", "is_first")).alias("m"))  # at most two a line
+    places = written(found.select("own", "i", "h", F.explode(index("t")).alias("c")).select("own", "i", "h", "c.*"), "chunks")
+    order = F.struct("own", "h", "s")
+    firsts = places.groupBy("k").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).where("first != last").select("k", "first", "n", F.col("n").alias("places"))
+    repeated = hot_join(places, firsts, "k", places.count()).select("i", "h", "s", "e", "k", "places", (order == F.col("first")).alias("is_first"))
+    whole = repeated.repartition("i", "h").distinct()  # rows of one id and one text are one document
+    marks = written(whole.groupBy("i", "h").agg(F.collect_list(F.struct("s", "e", "k", "places", "is_first")).alias("m")), "marks")  # at most two a line
 
     @F.pandas_udf("array<binary>")
     def bodies(texts: pd.Series, marks: pd.Series) -> pd.Series:
         cut = lambda t, m: (lines := t.encode().split(b"\n")) and [b"\n".join(lines[x["s"] : x["e"]]) for x in m]
         return pd.Series([cut(t, m) for t, m in zip(texts, marks, strict=True)], dtype=object)
 
-    keyed = found.select(*identity, F.col(text_col).alias("t")).dropDuplicates(["__line_i", "__line_h"]).join(marks, ["__line_i", "__line_h"])
-    spelled = keyed.select("__line_i", "__line_h", F.explode(F.arrays_zip("m", bodies("t", "m").alias("b"))).alias("x")).select("__line_i", "__line_h", "x.m.*", F.col("x.b").alias("b"))
-    spelled = written(spelled, "repeats")
-    kept = spelled.where("is_first").select("k", F.col("b").alias("first_b"), F.col("__line_i").alias("first_i"), F.col("__line_h").alias("first_h"), F.col("e").alias("first_e"))
-    same = spelled.where("not is_first").join(kept, "k").where("b = first_b")
-    start = F.when((F.col("__line_i") == F.col("first_i")) & (F.col("__line_h") == F.col("first_h")), F.greatest("s", "first_e")).otherwise(F.col("s"))
+    keyed = likely(found.select("i", "h", "t"), "h", marks).join(marks, ["i", "h"]).dropDuplicates(["i", "h"])
+    spelled = written(keyed.select("i", "h", F.explode(F.arrays_zip("m", bodies("t", "m").alias("b"))).alias("x")).select("i", "h", "x.m.*", F.col("x.b").alias("b")), "repeats")
+    parts = F.ceil(F.col("places") / PLACES).cast("int")
+    kept = spelled.where("is_first").select("k", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("b").alias("first_b"), F.col("i").alias("first_i"), F.col("h").alias("first_h"), F.col("e").alias("first_e"))
+    others = spelled.where("not is_first").withColumn("part", F.pmod(F.xxhash64("i", "h", "s"), parts).cast("int"))
+    same = others.join(kept, ["k", "part"]).where("b = first_b")
+    start = F.when((F.col("i") == F.col("first_i")) & (F.col("h") == F.col("first_h")), F.greatest("s", "first_e")).otherwise(F.col("s"))
     lines = same.withColumn("s", start).where("s < e").withColumn("n", F.sequence("s", F.col("e") - 1))
-    gone = lines.groupBy("__line_i", "__line_h").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("__line_gone"))
+    gone = written(lines.groupBy("i", "h").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("gone")), "gone")
     return _cut(docs, gone, id_col, text_col)
 
 
+#: Words from which the queries count a single line as a passage.
+PASSAGE = 50
+#: Places of one chunk that are compared with one copy of its first.
+PLACES = 1_000
+
+
 def _cut(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if m is None or t is None else without_lines(t, list(m)) for t, m in zip(texts, spans, strict=True)], dtype=object)
 
-    removed: Column = F.size(F.coalesce("__line_gone", F.array().cast("array<int>")))
-    total = F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size(F.split(F.col(text_col), "\n"))), F.lit(0))
-    joined = docs.withColumns({"__line_i": F.col(id_col).cast("string"), "__line_h": F.xxhash64(F.col(text_col))}).join(gone, ["__line_i", "__line_h"], "left")
-    joined = joined.withColumns({"lines_removed": removed, "lines_total": total, "__line_t": F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__line_gone")))})
-    return joined.select(*[F.col("__line_t").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("lines_removed", "lines_total")], "lines_removed", "lines_total")
+    i, h, lost, flag = fresh(docs, "i", "h", "gone", "likely")
+    told = ("lines_removed", "lines_total")
+
+    def lines(df: DataFrame, removed: Column, text: Column) -> DataFrame:
+        total = F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size(F.split(F.col(text_col), "\n"))), F.lit(0))
+        return df.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in told], removed.alias(told[0]), total.alias(told[1]))
+
+    named = docs.withColumns({i: F.col(id_col).cast("string"), h: F.xxhash64(F.col(text_col))})
+    split = likely(named, h, gone.withColumnRenamed("h", h), keep_rest=flag)
+    rest = lines(split.where(~F.col(flag)), F.lit(0), F.col(text_col))
+    met = split.where(flag).join(gone.withColumnsRenamed({"i": i, "h": h, "gone": lost}), [i, h], "left")
+    some = lines(met, F.size(F.coalesce(lost, F.array().cast("array<int>"))), F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(lost))))
+    return rest.unionByName(some)

@@ -38,7 +38,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_total", "lines_removed")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=linededup.PASSAGE).select("doc_id", "text", "lines_total", "lines_removed")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
