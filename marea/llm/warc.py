@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_dir, written
+from .shared import filesystem, hot_join, likely, new_dir, written
 
 #: Payloads of fewer bytes are stored again rather than referred to.
 LEAST = 100
+#: Captures that one task merges, about.
+RANGE = 200_000
 CAPTURE = "url_key string, timestamp string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
 
 
@@ -37,20 +39,20 @@ def url_key(url: str | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A gzipped WARC/1.1 record; the page's id is in the record's URN and, as seconds, in its date."""
+    """A gzipped WARC/1.1 record; the page's id is in the record's URN and, as seconds, in its date. A revisit keeps the HTTP header, which tells the payload's size."""
     name = lambda i: "<urn:page:none>" if i is None else f"<urn:page:{i}>"
     date = datetime.fromtimestamp(1_500_000_000 + (page_id or 0) % 10**9, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~-._')}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     z = zlib.compressobj(2, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
 
 
-def records(uri: str, step: int = 1 << 20) -> Iterator[tuple[int, int, dict, bytes]]:
-    """(offset, length, headers, payload) of an archive's records; one record is held at a time."""
+def records(uri: str, step: int = 1 << 20) -> Iterator[tuple[int, int, dict, dict, bytes]]:
+    """(offset, length, headers, HTTP headers, payload) of an archive's records; one record is held at a time."""
     store, path = filesystem(uri)
     with store.open_input_stream(path, compression=None) as f:
         offset, raw = 0, f.read(step)
@@ -63,8 +65,9 @@ def records(uri: str, step: int = 1 << 20) -> Iterator[tuple[int, int, dict, byt
                 read += len(raw) - len(z.unused_data)
                 raw = z.unused_data
             head, _, rest = b"".join(out).partition(b"\r\n\r\n")
-            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            yield offset, read, headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
+            fields = lambda raw: dict(line.split(": ", 1) for line in raw.decode().split("\r\n")[1:])
+            http, _, payload = rest[: int(fields(head)["Content-Length"])].partition(b"\r\n\r\n")
+            yield offset, read, fields(head), fields(http), payload
             offset += read
             raw = raw or f.read(step)
 
@@ -108,10 +111,14 @@ class LoserTree:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The archives' file names, as a written table. Null payloads are empty; a row of null id is a response."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    seen = pages.select(F.col(id_col).cast("long").alias("i"), F.sha2(html.cast("binary"), 256).alias("d")).where(F.octet_length(html) >= LEAST)
-    firsts = seen.groupBy("d").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first")
-    revisits = seen.join(firsts, "d").where("i != first").select("i", "d", F.col("first").alias("r")).distinct()
-    planned = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), html.alias("h"), F.sha2(html.cast("binary"), 256).alias("d")).join(revisits, ["i", "d"], "left")
+    seen = pages.where(F.octet_length(html) >= LEAST).select(F.col(id_col).cast("long").alias("i"), F.sha2(html.cast("binary"), 256).alias("d"))
+    seen = written(seen, "digests")
+    firsts = seen.groupBy("d").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = written(hot_join(seen, firsts, "d", seen.count()).where("i != first").select("i", "d", F.col("first").alias("r")).distinct(), "revisits")
+    planned = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), html.alias("h"), F.sha2(html.cast("binary"), 256).alias("d"))
+    planned = likely(planned, "i", revisits, keep_rest="some")  # only pages that may be revisits are shuffled
+    whole = planned.where("not some").select("i", "u", "h", F.lit(None).cast("long").alias("r"))
+    planned = whole.unionByName(planned.where("some").join(revisits, ["i", "d"], "left").select("i", "u", "h", "r"))
     store, path = filesystem(f"{folder}/archives")
     store.create_dir(path, recursive=True)
 
@@ -128,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             file.close()
             yield pa.record_batch([pa.array([uri])], ["file"])
 
-    return written(planned.select("i", "u", "h", "r").mapInArrow(run, "file string"), "archives")
+    return written(planned.mapInArrow(run, "file string"), "archives")
 
 
 def captures(files: DataFrame) -> DataFrame:
@@ -139,10 +146,10 @@ def captures(files: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch["file"]:
                 rows = []
-                for offset, length, h, payload in records(uri):
+                for offset, length, h, http, payload in records(uri):
                     whole = h["WARC-Type"] == "response"
                     digest = hashlib.sha256(payload).hexdigest() if whole else h["WARC-Payload-Digest"].removeprefix("sha256:")
-                    rows.append((url_key(h.get("WARC-Target-URI")), h["WARC-Date"], number(h["WARC-Record-ID"]), h["WARC-Type"], len(payload) if whole else None, digest, number(h.get("WARC-Refers-To")), uri, offset, length))
+                    rows.append((url_key(h.get("WARC-Target-URI")), h["WARC-Date"], number(h["WARC-Record-ID"]), h["WARC-Type"], len(payload) if whole else int(http["Content-Length"]), digest, number(h.get("WARC-Refers-To")), uri, offset, length))
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2], r[8]))
                 names = [f.split()[0] for f in CAPTURE.split(", ")]
                 out = pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
@@ -155,7 +162,10 @@ def captures(files: DataFrame) -> DataFrame:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in order of (url_key, timestamp, page_id), as a written table whose files follow each other."""
+    """All captures in order of (url_key, timestamp, page_id), as a written table whose files follow each other.
+
+    Ranges are as many as the captures need to have about RANGE each, so a task holds the like of that, whatever the size.
+    """
     names = [f.split()[0] for f in CAPTURE.split(", ")]
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +186,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         ordered = [head[-1] for head in LoserTree(cursors)]
         yield frame.iloc[ordered][names].astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
     ranged = runs.repartitionByRange(parts, "url_key", "timestamp", "page_id", "offset").sortWithinPartitions("run", "seq")
     return written(ranged.mapInPandas(merge, CAPTURE), "history")
 
@@ -185,11 +195,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Every page written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, and its place in the index.
 
     Of records with equal payloads of at least LEAST bytes, that with the smallest id is the response; rows that repeat
-    its id and payload are responses too. A revisit's size is that of the record it refers to, whose digest must agree.
+    its id and payload are responses too. A revisit's size is read from the HTTP header it keeps.
     """
     history = merge_runs(captures(write_archives(pages, new_dir(pages.sparkSession, "warc"), id_col, url_col, html_col)))
-    whole = history.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
-    wanted = history.where("refers_to is not null").select("refers_to").distinct()
-    whole = whole.join(wanted, "refers_to", "left_semi").withColumnRenamed("refers_to", "r")
-    found = history.join(whole, (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d")), "left")
-    return found.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "file", "offset", "length")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "file", "offset", "length")
