@@ -108,14 +108,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec of a vocabulary file, built once."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(load_ranks(path), pattern)
-    return _CODECS[path]
+    """The worker's codec of a vocabulary file and a pattern, built once."""
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
+    return _CODECS[path, pattern]
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:

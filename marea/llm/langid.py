@@ -3,7 +3,8 @@
 Every language gets a codeword. Each bit is predicted by a binary classifier over hashed character n-grams: a linear
 score, the mean log odds of the text's n-grams between the languages whose codeword has the bit and the others. Decoding
 is weighted by loss: each bit's logistic loss against each codeword counts by the bit's reliability, and the nearest
-codeword wins. A text is ambiguous if the second nearest is almost as near.
+codeword wins. A text is ambiguous if the second nearest is almost as near: nearer than it is for nearly all texts of the sample
+that the classifiers get right.
 
 Training counts n-grams of a bounded sample: the max_rows labelled rows of lowest hashed id.
 """
@@ -56,10 +57,10 @@ def codewords(k: int, bits: int = 24, seed: int = 5) -> np.ndarray:
 
 
 class Model:
-    """langs, code [language, bit], odds [slot, bit], weight [bit], scale."""
+    """langs, code [language, bit], odds [slot, bit], weight [bit], scale, and margin, the difference of losses below which a text is ambiguous."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs))
+    def __init__(self, langs: list[str], counts: np.ndarray, margin: float = 0.02):
+        self.langs, self.code, self.margin = langs, codewords(len(langs)), margin
         counts = counts.astype(np.float64)
         share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])  # languages weigh alike
         bits, reach = [], []
@@ -73,30 +74,39 @@ class Model:
         self.weight = reach / reach.sum() if len(reach) else reach
         self.scale = 4 / reach if len(reach) else reach
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language or und, score from 0 to 1, ambiguous)."""
+    def losses(self, text: str | None) -> np.ndarray | None:
+        """The weighted loss of a text against each codeword; None if it has no letter or n-gram, or no language is known."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0, True
-        if len(self.langs) == 1:
-            return self.langs[0], 1.0, False
-        total, n = np.zeros(self.odds.shape[1]), 0
+            return None
+        total, n = np.zeros(self.odds.shape[1] if len(self.langs) > 1 else 0), 0
         for slots in ngram_slots(text):
-            total += self.odds[slots].sum(0, dtype=np.float64)
+            if len(self.langs) > 1:
+                total += self.odds[slots].sum(0, dtype=np.float64)
             n += len(slots)
         if not n:
-            return "und", 0.0, True
-        loss = np.logaddexp(0, -self.code * (total / n * self.scale)) @ self.weight
+            return None
+        return np.logaddexp(0, -self.code * (total / n * self.scale)) @ self.weight if len(self.langs) > 1 else np.zeros(1)
+
+    def predict(self, text: str | None) -> tuple[str, float, bool, float]:
+        """(language or und, score from 0 to 1, ambiguous, difference of the two least losses)."""
+        loss = self.losses(text)
+        if loss is None:
+            return "und", 0.0, True, 0.0
+        if len(loss) == 1:
+            return self.langs[0], 1.0, False, float("inf")
         near = np.argsort(loss, kind="stable")[:2]
         odds = np.exp(-(loss - loss.min()) * 8)
-        score = float(odds[near[0]] / odds.sum())
-        return self.langs[near[0]], score, bool(loss[near[1]] - loss[near[0]] < 0.02)
+        gap = float(loss[near[1]] - loss[near[0]])
+        return self.langs[near[0]], float(odds[near[0]] / odds.sum()), gap < self.margin, gap
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000) -> Model:
-    """Counts in tasks, summed by language; what reaches the driver is languages x SLOTS counts.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, max_langs: int = 500, doubtful: float = 0.001) -> Model:
+    """Counts in tasks, summed by language; what reaches the driver is max_langs x SLOTS counts at most.
 
-    The sample is the max_rows rows (a bound on training only) with the lowest hash of their id. Null texts and
-    languages are left out; no labelled rows at all make a model that answers und.
+    The sample is the max_rows rows (a bound on training only) with the lowest hash of their id; of its languages the
+    max_langs with most rows are learned. The margin of ambiguity is such that of the sample's texts told rightly, the
+    share doubtful is nearer to a second language. Null texts and languages are left out; no labelled rows at all make a
+    model that answers und.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     chosen = rows.select("i").orderBy(F.xxhash64("i"), "i").limit(max_rows).distinct()
@@ -112,20 +122,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             at = np.flatnonzero(own)
             yield pd.DataFrame({"l": lang, "s": at, "n": own[at]})
 
-    sampled = rows.join(F.broadcast(chosen), rows["i"].eqNullSafe(chosen["i"]), "left_semi")  # at most max_rows ids
-    got = sampled.select("t", "l").mapInPandas(count, "l string, s int, n long").groupBy("l", "s").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["l"].unique())
+    sampled = rows.join(F.broadcast(chosen), rows["i"].eqNullSafe(chosen["i"]), "left_semi").select("t", "l")  # at most max_rows ids
+    langs = sorted(r["l"] for r in sampled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect())
+    got = sampled.where(F.col("l").isin(langs)).mapInPandas(count, "l string, s int, n long").groupBy("l", "s").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), SLOTS), np.int64)
     counts[np.searchsorted(langs, got["l"]) if len(langs) else [], got["s"]] = got["n"]
-    return Model(langs, counts)
+    model = Model(langs, counts)
+    if len(langs) > 1:
+        told = sampled.select("l", predict(F.col("t"), model).alias("p")).where("l = p.lang_pred")
+        model.margin = told.agg(F.percentile_approx("p.gap", doubtful, 10_000).alias("m")).first()["m"] or model.margin
+    return model
 
 
 def predict(text: Column, model: Model) -> Column:
-    """struct<lang_pred, score, ambiguous> of each text."""
+    """struct<lang_pred, score, ambiguous, gap> of each text."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, gap double")
     def predicted(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in s], columns=["lang_pred", "score", "ambiguous"])
+        return pd.DataFrame([model.predict(t) for t in s], columns=["lang_pred", "score", "ambiguous", "gap"])
 
     return predicted(text)
 
@@ -141,4 +155,4 @@ def identify(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
     Texts that are null or have no letter are und with score 0. One row per input row, whatever its id.
     """
     model = fit(docs.where(~held_out()), max_rows=max_rows)
-    return docs.select("doc_id", held_out().alias("held_out"), predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", held_out().alias("held_out"), predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.ambiguous")

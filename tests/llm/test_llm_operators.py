@@ -54,6 +54,15 @@ def test_bpe_is_tiktoken_and_round_trips(spark, docs):
     assert bpe.round_trip(no_rows(spark, docs), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_keeps_patterns_apart(spark):
+    one = spark.createDataFrame([("ab cd",)], "t string").repartition(1)
+    n = [one.select(F.size(bpe.encode(F.col("t"), RANKS, p)).alias("n")).first().n for p in (r"\S+|\s+", r"[\s\S]")]
+    assert n[1] == 5 and n[0] < 5
+    long = spark.createDataFrame([(1, "word " * 100_000 + "x" * 3000)], "doc_id long, text string")
+    r = bpe.round_trip(long, RANKS, public_tokenizers.PATTERN).first()
+    assert r.decoded_sha256 == hashlib.sha256(("word " * 100_000 + "x" * 3000).encode()).hexdigest() and r.n_tokens > 100_000
+
+
 def reference_ids(text, plain=False):
     from tokenizers import Tokenizer
 
@@ -91,6 +100,30 @@ def test_packing_covers_every_token_once(spark, docs, block):
     assert packing.pack(no_rows(spark, docs), words.word_tokenizer(WORDS)).count() == 0
 
 
+def test_tightest_window_is_a_linear_scan():
+    for seed in range(12):
+        r = random.Random(seed)
+        pieces = [(i, 0, r.choice((r.randint(1, 64), 7, 32, 64))) for i in range(400)]
+        rooms, wanted = [], []
+        for piece in sorted(pieces, key=lambda p: (-p[2], p[0])):
+            fits = [(room, k) for k, room in enumerate(rooms) if room >= piece[2]]
+            if not fits:
+                fits = [(64, len(rooms))]
+                rooms.append(64)
+            rooms[min(fits)[1]] -= piece[2]
+            wanted.append(min(fits)[0])
+        got = []
+        windows = packing.best_fit_decreasing(pieces, 64)
+        assert len(windows) == len(rooms) and sorted(64 - sum(p[2] for p in w) for w in windows) == sorted(rooms)
+        before = {}
+        for w in windows:
+            room = 64
+            for p in w:
+                before[p[0]], room = room, room - p[2]
+        got = [before[p[0]] for p in sorted(pieces, key=lambda p: (-p[2], p[0]))]
+        assert got == wanted  # each piece met the least room of all windows that could hold it
+
+
 def test_best_fit_and_padding():
     r = random.Random(3)
     pieces = [(i, 0, 700 if i % 3 else r.randint(1, 2048)) for i in range(2000)]
@@ -142,6 +175,29 @@ def test_jaccard_is_brute_force(spark, docs, part):
     assert jaccard.classes(no_rows(spark, docs), log2=12).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    a, b = BASE, prose(60, 77)
+    rows = [(3, b), (5, a), (5, b), (9, a), (11, "other"), (11, None), (12, None), (None, b), (None, prose(50, 78)), (13, "other"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.classes(df, log2=12).collect())
+    assert got == Counter([(3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (11, 11), (12, 12), (None, 3), (None, None), (13, 11), (2, 2)])
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_jaccard_buckets_over_many_tasks(spark, parts):
+    r = random.Random(parts)
+    rows = [(k, r.choice((10, 12, 13, 40, 50, 5000)), 77) for k in range(300)] + [(k, r.randint(5, 60), r.randint(0, 30)) for k in range(300, 500)]
+    got = {(x.g, x.doc) for x in jaccard._buckets(spark.createDataFrame(rows, "doc long, n int, member long"), parts).collect()}
+    wanted, bucket, last = set(), [], None
+    for member, n, doc in sorted((m, n, d) for d, n, m in rows) + [(None, 0, 0)]:
+        if last and not (last[0] == member and 3 * n <= 4 * last[1]):
+            wanted |= {(min(bucket), d) for d in bucket if d != min(bucket)}
+            bucket = []
+        last = member, n
+        bucket.append(doc)
+    assert got == wanted
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (40, 40), (50, 51), (51, 50)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -167,6 +223,65 @@ def test_langid(spark):
     assert code.shape[0] == 9 and len({tuple(c) for c in code}) == 9
 
 
+def brute_slots(text):
+    """Slots of the n-grams of a short text, one by one."""
+    line, m32 = [32, *map(ord, re.sub(r"[\W\d_]+", " ", text.lower())), 32], 2**32 - 1
+    one = [c * 0x9E3779B1 & m32 for c in line]
+    two = [(one[k] ^ (line[k + 1] + 0x7F4A7C15 & m32)) * 0x85EBCA6B & m32 for k in range(len(line) - 1)]
+    three = [(two[k] ^ (line[k + 2] + 0x1B873593 & m32)) * 0xC2B2AE35 & m32 for k in range(len(line) - 2)]
+    own = [one[k] for k in range(len(line)) if line[k] != 32] + [two[k] for k in range(len(two)) if line[k : k + 2] != [32, 32]] + [three[k] for k in range(len(three)) if line[k + 1] != 32]
+    return [x >> 17 for x in own]
+
+
+@pytest.mark.parametrize("k", [2, 3, 5, 7])
+def test_langid_decoding_is_brute_force(k):
+    r = random.Random(k)
+    vocab = [["".join(r.choice("abcdefghijklmnop"[j : j + 9]) for _ in range(r.randint(2, 7))) for _ in range(60)] for j in range(k)]
+    counts = np.zeros((k, langid.SLOTS), np.int64)
+    for j in range(k):
+        for s in brute_slots(" ".join(r.choices(vocab[j], k=400))):
+            counts[j, s] += 1
+    model = langid.Model([f"l{j}" for j in range(k)], counts, margin=0.3)
+    code = model.code
+    assert len({tuple(c) for c in code}) == k and all(len(set(c)) == 2 for c in code.T)
+    share = [[(x + 0.5) / (row.sum() + 0.5 * langid.SLOTS) for x in row.tolist()] for row in counts]
+    right = 0
+    for t in range(40):
+        text = " ".join(r.choices(vocab[t % k], k=6) + (r.choices(vocab[(t + 1) % k], k=6) if t >= 30 else []))
+        slots, loss = brute_slots(text), [0.0] * k
+        assert Counter(slots) == Counter(x for part in langid.ngram_slots(text) for x in part.tolist())
+        for b in range(code.shape[1]):
+            plus, minus = ([j for j in range(k) if code[j, b] * sign > 0] for sign in (1, -1))
+            odds = lambda s: np.log(sum(share[j][s] for j in plus) / len(plus)) - np.log(sum(share[j][s] for j in minus) / len(minus))  # noqa: B023, E731
+            whole = np.log(np.mean([share[j] for j in plus], axis=0)) - np.log(np.mean([share[j] for j in minus], axis=0))
+            middle = (np.mean([np.dot(share[j], whole) for j in plus]) + np.mean([np.dot(share[j], whole) for j in minus])) / 2
+            score = sum(odds(s) - middle for s in slots) / len(slots)
+            for j in range(k):
+                loss[j] += model.weight[b] * np.log1p(np.exp(-code[j, b] * score * model.scale[b]))
+        lang, told, ambiguous, gap = model.predict(text)
+        order = sorted(range(k), key=lambda j: loss[j])  # noqa: B023
+        assert lang == f"l{order[0]}" and abs(gap - (loss[order[1]] - loss[order[0]])) < 1e-3 and ambiguous == (gap < 0.3)
+        assert abs(told - 1 / sum(np.exp(-8 * (x - min(loss))) for x in loss)) < 1e-3
+        right += lang == f"l{t % k}"
+    assert right > 30 and abs(model.weight.sum() - 1) < 1e-9
+
+
+def test_langid_margin_and_bound(spark):
+    r = random.Random(9)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    text = lambda k, n=30: " ".join("".join(r.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(k), k) for i, k in enumerate(list(letters) * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.margin > 0.02
+    mixed = [model.predict(text("aa", 15) + " " + text("cc", 15)) for _ in range(40)]
+    clean = [model.predict(text(k)) for k in letters for _ in range(40)]
+    assert sum(x[2] for x in mixed) > 20 and sum(x[2] for x in clean) <= 2
+    assert langid.fit(df, max_langs=2).langs == ["aa", "bb"] and langid.fit(df, max_rows=1).langs[0] in letters
+    got = langid.fit(df, max_rows=1).predict(text("aa"))
+    assert got[1:3] == (1.0, False)
+
+
 def test_topk_is_brute_force(spark):
     r = random.Random(5)
     rows = [(i, [r.choice([-0.5, 0.25, 0.125]) for _ in range(4)]) for i in range(160)] + [(161, None), (162, [1.0, None, 0.0, 1.0]), (150, [0.1, 0.2, 0.3, 0.4]), (163, [1.0, float("nan"), 0.0, 0.0]), (164, [2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (200, [float("inf"), 0.0, 0.0, 0.0])]
@@ -191,6 +306,9 @@ def test_media_round_trip(spark, docs):
         raw = (TEXTS[r.doc_id] or "").encode()
         full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        seen = Counter(full)
+        mode = max(range(256), key=lambda b: (seen[b], -b))
+        assert r.feature == f"rows={len(full) // 64};sum={sum(full)};squares={sum(b * b for b in full)};zeros={seen[0]};mode={mode};distinct={len(seen)}"
         assert r.height * 64 == r.payload_bytes and r.media_sha256 == r.digest and r.media_bytes == r.length
     with tarfile.open(filesystem(rows[0].shard)[1]) as t:
         assert all(hashlib.sha256(t.extractfile(m).read()).hexdigest() == m.name for m in t)
@@ -203,7 +321,7 @@ def test_line_dedup(spark):
     rows = [(1, a, 0), (2, "new start\n" + a + "\nnew end", 0), (3, f"before\n{passage}\nafter", 0), (4, f"other\n{passage}\nwords", 0), (5, None, 0), (6, "", 0), (7, "Les.", 0), (8, "Les.", 0), (9, a, 0), (9, a, 0), (None, a, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lines_total long").repartition(3)
     got = defaultdict(list)
-    for r in linededup.dedup_lines(df).collect():
+    for r in linededup.dedup_lines(df, min_words=50).collect():
         got[r.doc_id].append(r)
     text = {k: v[0].text for k, v in got.items()}
     assert sum(map(len, got.values())) == len(rows)
@@ -250,13 +368,26 @@ def test_line_dedup_is_brute_force(spark):
         lines = r.choice(texts).split("\n")[r.randint(0, 2) :] if texts and r.random() < 0.5 else r.sample(pool, r.randint(1, 9))
         texts.append("\n".join(lines + ([prose(8, 5000 + k)] if r.random() < 0.5 else [])))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()}
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(df, min_words=50).collect()}
     assert [got[k] for k in range(len(texts))] == lines_left(texts)
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()}
+    assert [got[k] for k in range(len(texts))] == lines_left(texts, 10**9)
     odd = ["x\nx\nx\nx", "a\n\nb\n", "new\na\n\nb\nmore", "a\nb"]
     got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
     assert got == {0: "x\nx", 1: odd[1], 2: "new\nmore", 3: odd[3]}
 
 
+def test_line_dedup_names_and_hot_chunks(spark):
+    a = "first line here\nsecond line here"
+    rows = [(k, f"{a}\nown {k}", k, "x", "y") for k in range(2500)] + [(9000, "long\n" * 200_000, 0, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int, Likely string, `a.b` string").repartition(3)
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "lines_removed", "lines_total"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == rows[0][1] and all(got[k].text == f"own {k}" and got[k]["__gone"] == k for k in range(1, 2500))
+    assert got[9000].text == "long\nlong\n" and got[9000].lines_removed == 199_998
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 200
     rows = [(1, "http://A.com/b", page), (2, "http://a.com/b", page), (3, None, page), (4, "https://b.org:80/?q=1", "short"), (5, "u\r\nWARC-Type: revisit", "short"), (6, "", None), (0, "http://c.net", page), (None, "http://a.com", page), (2, "http://a.com/b", page), (2, "http://a.com/c", "é" * 500_000)]
