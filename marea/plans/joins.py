@@ -352,10 +352,11 @@ def q_class_contrast(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(of("F") - of("O"), 4).alias("contrast"))
 
 
-@query("SELECT count(*) >= 0 AS told FROM events")
+@query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, true AS near FROM lineitem GROUP BY 1")
 def q_approx_distinct(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").agg(F.approx_count_distinct("user_id", 0.0325).alias("a"), F.count_distinct("user_id").alias("n"))
-    return e.select((F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n")).alias("told"))
+    """The estimate's error is told against the exact number, which SQL counts too: within three times its relative deviation."""
+    e = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.count_distinct("l_orderkey").alias("exact"))
+    return e.select("l_returnflag", "exact", (F.abs(F.col("a") - F.col("exact")) <= 0.06 * F.col("exact")).alias("near"))
 
 
 # Models and recurrences
@@ -393,9 +394,9 @@ def q_position_plan(spark, sf):
 
 
 @query(TICKS + """, o AS (SELECT entity_id, list(price ORDER BY seq) AS p FROM t GROUP BY 1), k AS (SELECT entity_id, p, unnest(range(1, len(p) + 1)) AS seq FROM o)
-  SELECT entity_id, seq, round(list_reduce(p[1:seq], lambda r, x: r + 0.05 * (x - r)) + 0.0000003, 4) AS ref FROM k""")
+  SELECT entity_id, seq, round(list_reduce(p[1:seq], lambda r, x: r + 0.05 * (x - r)) * 1048576) / 1048576 AS ref FROM k""")
 def q_ema_reference(spark, sf):
-    return folds.fold(ticks(spark, sf), folds.ema_step, ["price"], "ref double, scale double").select("entity_id", "seq", F.round(F.col("ref") + 0.0000003, 4).alias("ref"))
+    return folds.fold(ticks(spark, sf), folds.ema_step, ["price"], "ref double, scale double").select("entity_id", "seq", (F.round(F.col("ref") * 1048576.0) / 1048576.0).alias("ref"))
 
 
 @query(TICKS + """, a AS (SELECT entity_id, seq, price, lead(price, 5) OVER w AS p5, list(price) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS y FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY seq))

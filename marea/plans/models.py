@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import models as M
-from ..operators.folds import fold
+from ..operators.folds import fold, hysteresis_step
 from ..operators.ordered import along, quadratic_fit
 from ..sources.ticks import ticks
+from . import chain_sql as C
 from .registry import TICKS, query
 
 
@@ -16,6 +17,20 @@ def r6(x):
     return F.round(x, 6)
 
 
+def q20(x):
+    """On a grid of 2 ** -20, as chain_sql.q20: true values, told alike by engines that differ in the last bits."""
+    return F.round((F.col(x) if isinstance(x, str) else x) * 1048576.0) / 1048576.0
+
+
+def grid(df):
+    """Entity and row, with doubles on the grid."""
+    return df.select(*[q20(f"`{f.name}`").alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def gridded(names, words=()):
+    return "entity_id, seq, " + ", ".join(n if n in words else f"{C.q20(n)} AS {n}" for n in names)
+
+
 def states(spark, sf, carry=()):
     """The state model over ticks; error ticks have quality 0.4."""
     t = ticks(spark, sf).withColumn("t", F.col("event_time").cast("timestamp").cast("double")).withColumn("quality", F.when(F.col("label") == "error", 0.4).otherwise(1.0))
@@ -32,29 +47,38 @@ def shapes(df):
     return df.withColumn("score", c("geometry") * S.structural_quality(c("strength"), c("coherence"), c("persistence")) * S.risk_quality(c("uncertainty"), c("reversal")))
 
 
-@query()
+@query(C.STATE + f" SELECT {gridded(C.STATE_OUT, ("perturbation_class", "health"))} FROM m")
 def q_state_model(spark, sf):
-    return states(spark, sf)
+    return grid(states(spark, sf))
 
 
-@query()
+KINEMATICS = ["level", "velocity", "acceleration", "curvature", "innovation"]
+
+
+@query(C.STATE + f" SELECT {gridded(KINEMATICS)} FROM m")
 def q_kinematics(spark, sf):
-    return states(spark, sf).select("entity_id", "seq", "level", "velocity", "acceleration", "curvature", "innovation")
+    return grid(states(spark, sf).select("entity_id", "seq", *KINEMATICS))
 
 
-@query()
+@query(C.STATE + " SELECT perturbation_class, health, count(*) AS n, round(avg(perturbation), 6) AS mean FROM m GROUP BY 1, 2")
 def q_perturbation_counts(spark, sf):
     return states(spark, sf).groupBy("perturbation_class", "health").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("perturbation")).alias("mean"))
 
 
-@query()
+_AFTER = {"tau": "taus[k]", "level": "level + paths[k]", "velocity": "velocity * part", "uncertainty": "greatest(0, least(1, uncertainty + (1 - part) * 0.15))", "strength": "greatest(0, least(1, strength * part))", "persistence": "greatest(0, least(1, persistence * part))", "reversal": "greatest(0, least(1, reversal + (1 - part) * 0.1))"}
+
+
+@query(C.SHAPES + ", k AS (SELECT *, unnest(range(1, 9)) AS k FROM d), x AS (SELECT *, pow(2.0, -taus[k] / half_life) AS part FROM k) SELECT entity_id, seq, CAST(k - 1 AS INTEGER) AS k, " + ", ".join(f"{C.q20(x)} AS {n}" for n, x in _AFTER.items()) + " FROM x")
 def q_forward_samples(spark, sf):
-    return shapes(states(spark, sf)).select("entity_id", "seq", F.posexplode("samples").alias("k", "s")).select("entity_id", "seq", "k", "s.*")
+    return grid(shapes(states(spark, sf)).select("entity_id", "seq", F.posexplode("samples").alias("k", "s")).select("entity_id", "seq", "k", "s.*"))
 
 
-@query()
+SHAPE = ["interval", "half_life", "terminal", "largest", "direction", "decay", "geometry", "score", "support"]
+
+
+@query(C.SHAPES + f" SELECT {gridded(SHAPE, ('direction',))} FROM d")
 def q_return_shape(spark, sf):
-    return shapes(states(spark, sf)).select("entity_id", "seq", "interval", "half_life", "terminal", "largest", "direction", "decay", "geometry", "score", "support")
+    return grid(shapes(states(spark, sf)).select("entity_id", "seq", *SHAPE))
 
 
 def envelopes(spark, sf):
@@ -64,9 +88,17 @@ def envelopes(spark, sf):
     return fold(t, M.envelope_step, ["t", "at", "interval", "direction", "score", "valid", "eligible"], M.ENVELOPE_COLUMNS, in_order=True)
 
 
-@query()
+@query(C.ENVELOPE + f" SELECT entity_id, seq, state_before, gate AS state, {C.q20('aperture_before')} AS aperture_before, {C.q20('opened')} AS aperture, safety, candidate, candidate_since, direction, array_to_string(events, ';') AS events FROM e WHERE seq > 0")
 def q_envelope(spark, sf):
-    return envelopes(spark, sf)
+    e = envelopes(spark, sf)
+    return e.withColumns({"aperture_before": q20("aperture_before"), "aperture": q20("aperture"), "events": F.array_join("events", ";")})
+
+
+@query(C.HYSTERESIS)
+def q_hysteresis(spark, sf):
+    """A gate that volumes open and close; signups have no score."""
+    t = ticks(spark, sf).withColumn("score", F.when(F.col("label") != "signup", F.col("volume") / 90))
+    return fold(t, hysteresis_step, ["score"], "gate string")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderdate, CASE o_orderstatus WHEN 'F' THEN 'LONG' WHEN 'O' THEN 'FLAT' ELSE 'SHORT' END AS has, ['NONE', 'LONG', 'FLAT', 'SHORT'][o_custkey % 4 + 1] AS pending,
@@ -112,17 +144,24 @@ def q_price_phase(spark, sf):
     return motion(spark, sf).select("entity_id", "seq", "phase", "confidence", "raw_colour")
 
 
-@query()
+_PHASE = """CASE WHEN abs(p1) <= 1e-6 THEN CASE WHEN q1 > 1e-6 THEN 'TURNING_UP' WHEN q1 < -1e-6 THEN 'TURNING_DOWN' ELSE 'NEAR_STATIONARY' END
+  WHEN p1 > 0 THEN CASE WHEN q1 <= -1e-6 THEN 'TURNING_DOWN' WHEN p2 > 0 THEN 'UP_ACCELERATING' ELSE 'UP_DECELERATING' END
+  ELSE CASE WHEN q1 >= 1e-6 THEN 'TURNING_UP' WHEN p2 > 0 THEN 'DOWN_DECELERATING' ELSE 'DOWN_ACCELERATING' END END"""
+_RECURSIVE_MOTION = MOTION.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + f""", f AS (SELECT *, {_PHASE} AS phase FROM m), o AS (SELECT entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS BIGINT) AS seq, seq AS tick, CAST(CAST(event_time AS DATE) AS VARCHAR) AS session, p1, p2, q1, confidence = 'LOW' AS caution,
+  CASE WHEN confidence = 'LOW' THEN 'AMBER' WHEN phase IN ('UP_ACCELERATING', 'TURNING_UP') AND q1 > 1e-6 THEN 'GREEN' WHEN phase IN ('DOWN_ACCELERATING', 'TURNING_DOWN') AND q1 < -1e-6 THEN 'RED' ELSE 'AMBER' END AS raw_colour FROM f), """
+
+
+@query(_RECURSIVE_MOTION + C.colours("o", "session") + " SELECT s.entity_id, o.tick AS seq, o.raw_colour, s.colour FROM s JOIN o USING (entity_id, seq)")
 def q_price_policy(spark, sf):
     return fold(motion(spark, sf), M.price_colour_step, ["session", "raw_colour"], "colour string", carry=["raw_colour"])
 
 
-@query()
+@query(_RECURSIVE_MOTION + C.cockpit("o") + f" SELECT s.entity_id, o.tick AS seq, shown AS motion, {C.q20('proximity')} AS zero_proximity, {C.q20('s.deceleration')} AS deceleration, CAST(rows_ AS BIGINT) AS opposing_rows, coalesce(held, 'NONE') AS turn, CAST(age AS BIGINT) AS turn_age, colour FROM s JOIN o USING (entity_id, seq)")
 def q_price_cockpit(spark, sf):
-    return fold(motion(spark, sf), M.cockpit_step, ["session", "p1", "p2", "q1", "caution"], M.COCKPIT_COLUMNS)
+    return grid(fold(motion(spark, sf), M.cockpit_step, ["session", "p1", "p2", "q1", "caution"], M.COCKPIT_COLUMNS))
 
 
-@query()
+@query(C.VOLUME_COLOURS)
 def q_volume_policy(spark, sf):
     t = ticks(spark, sf).withColumns({"session": F.to_date("event_time").cast("string"), "usual": F.avg("volume").over(along("entity_id").rowsBetween(-14, 0))})
     t = t.withColumn("activity", F.col("volume") / F.when(F.col("usual") > 0, F.col("usual")))
@@ -131,26 +170,26 @@ def q_volume_policy(spark, sf):
 
 @query(TICKS + """, o AS (SELECT entity_id, list(volume ORDER BY seq) AS v FROM t GROUP BY 1), k AS (SELECT entity_id, v, unnest(range(1, len(v) + 1)) AS seq FROM o),
   u AS (SELECT entity_id, seq, v[seq] AS x, list_reduce(list_concat([1.0], v[1:seq]), lambda r, y: r * 0.95 + 0.05 * y) AS usual FROM k)
-  SELECT entity_id, seq, round(usual + 0.00000003, 6) AS usual, round(greatest(0, least(3, ln(1 + x / greatest(usual, 1e-8)) + ln(1 + greatest(x, 0)) / 10)) + 0.00000003, 6) AS influence FROM u""")
+  SELECT entity_id, seq, round(usual * 1048576) / 1048576 AS usual, round(greatest(0, least(3, ln(1 + x / greatest(usual, 1e-8)) + ln(1 + greatest(x, 0)) / 10)) * 1048576) / 1048576 AS influence FROM u""")
 def q_volume_influence(spark, sf):
     f = fold(ticks(spark, sf), M.volume_step, ["volume"], "usual double, influence double")
-    return f.select("entity_id", "seq", r6(F.col("usual") + 0.00000003).alias("usual"), r6(F.col("influence") + 0.00000003).alias("influence"))
+    return grid(f)
 
 
 @query(TICKS + """, u AS (SELECT *, count(*) FILTER (WHERE label = 'error') OVER (PARTITION BY entity_id ORDER BY seq) AS g FROM t),
   o AS (SELECT entity_id, g, list(CASE WHEN label = 'error' THEN 0.0 ELSE volume / 100 END ORDER BY seq) AS v, min(seq) AS first FROM u GROUP BY 1, 2), k AS (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM o)
-  SELECT entity_id, first + i - 1 AS seq, round(list_reduce(list_concat([0.0], v[1:i]), lambda r, y: 0.5 * y + 0.5 * r) + 0.00000003, 6) AS aperture FROM k""")
+  SELECT entity_id, first + i - 1 AS seq, round(list_reduce(list_concat([0.0], v[1:i]), lambda r, y: 0.5 * y + 0.5 * r) * 1048576) / 1048576 AS aperture FROM k""")
 def q_aperture(spark, sf):
     t = ticks(spark, sf).withColumns({"score": F.col("volume") / 100, "unsafe": F.col("label") == "error"})
-    return fold(t, M.aperture_step, ["score", "unsafe"], "aperture double").withColumn("aperture", r6(F.col("aperture") + 0.00000003))
+    return fold(t, M.aperture_step, ["score", "unsafe"], "aperture double").withColumn("aperture", q20("aperture"))
 
 
 @query(TICKS + """, o AS (SELECT entity_id, list(least(1.0, volume / 100) * CASE WHEN label = 'error' THEN -1 ELSE 1 END ORDER BY seq) AS v FROM t GROUP BY 1), k AS (SELECT entity_id, v, unnest(range(1, len(v) + 1)) AS seq FROM o)
-  SELECT entity_id, seq, round(list_reduce(list_concat([120.0], v[1:seq]), lambda r, y: greatest(15, least(900, CASE WHEN y < 0 THEN r * (1 - least(0.95, -y) * 0.35) WHEN y > 0 THEN r * (1 + y * 0.15) ELSE r END))) + 0.0000003, 4) AS half_life FROM k""")
+  SELECT entity_id, seq, round(list_reduce(list_concat([120.0], v[1:seq]), lambda r, y: greatest(15, least(900, CASE WHEN y < 0 THEN r * (1 - least(0.95, -y) * 0.35) WHEN y > 0 THEN r * (1 + y * 0.15) ELSE r END))) * 1048576) / 1048576 AS half_life FROM k""")
 def q_half_life(spark, sf):
     t = ticks(spark, sf).withColumn("x", F.least(F.lit(1.0), F.col("volume") / 100))
     t = t.withColumns({"perturbation": F.when(F.col("label") == "error", F.col("x")).otherwise(0.0), "reinforcement": F.when(F.col("label") == "error", 0.0).otherwise(F.col("x"))})
-    return fold(t, M.half_life_step, ["perturbation", "reinforcement"], "half_life double").withColumn("half_life", F.round(F.col("half_life") + 0.0000003, 4))
+    return fold(t, M.half_life_step, ["perturbation", "reinforcement"], "half_life double").withColumn("half_life", q20("half_life"))
 
 
 @query(TICKS + """, m AS (SELECT *, abs(price - lag(price) OVER w) >= 200 AS v, abs(price - 250) >= 200 AS d, volume >= 90 AS r FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY seq)),
