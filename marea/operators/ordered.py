@@ -52,15 +52,20 @@ def quadratic_fit(df: DataFrame, y: str, t: str, rows: int, spec: WindowSpec | N
     frame = spec.rowsBetween(1 - rows, 0)
     points = F.collect_list(F.struct(F.col(t).alias("t"), F.col(y).alias("y"))).over(frame)
     df = df.withColumn("_p", F.when(F.row_number().over(spec) >= rows, points))
-    add = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, p: a + f(p["t"] - F.col(t), p["y"]))
-    sums = {"_n": F.size("_p").cast("double"), "_x": add(lambda x, v: x), "_xx": add(lambda x, v: x * x), "_xxx": add(lambda x, v: x * x * x), "_xxxx": add(lambda x, v: x * x * x * x), "_y": add(lambda x, v: v), "_xy": add(lambda x, v: x * v), "_xxy": add(lambda x, v: x * x * v)}
-    df = df.withColumns(sums)
-    n, a, b, c, d, p, q, r = (F.col(k) for k in sums)
+    names = ("_n", "_x", "_xx", "_xxx", "_xxxx", "_y", "_xy", "_xxy")
+
+    def add(s, p):  # all sums in one pass over the window
+        x, v = p["t"] - F.col(t), p["y"]
+        return F.struct(*[(s[k] + z).alias(k) for k, z in zip(names, (F.lit(1.0), x, x * x, x * x * x, x * x * x * x, v, x * v, x * x * v), strict=True)])
+
+    df = df.withColumn("_s", F.aggregate("_p", F.struct(*[F.lit(0.0).alias(k) for k in names]), add))
+    sums = {k: F.col(f"_s.{k}") for k in names}
+    n, a, b, c, d, p, q, r = sums.values()
     det = n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b)
     one = n * (q * d - c * r) - p * (a * d - b * c) + b * (a * r - b * q)
     two = n * (b * r - q * c) - a * (a * r - q * b) + p * (a * c - b * b)
     good = F.abs(det) > 0
-    return df.withColumns({"d1": F.when(good, one / det), "d2": F.when(good, 2 * two / det)}).drop("_p", *sums)
+    return df.withColumns({"d1": F.when(good, one / det), "d2": F.when(good, 2 * two / det)}).drop("_p", "_s")
 
 
 def crossings(x: Column, spec: WindowSpec | None = None) -> Column:
@@ -75,9 +80,3 @@ def drawdown(df: DataFrame, gain: str, keys: tuple[str, ...], by: tuple[str, ...
     df = df.withColumn("total", F.sum(gain).over(spec))
     df = df.withColumn("peak", F.greatest(F.lit(0), F.max("total").over(spec)))
     return df.withColumn("drawdown", F.col("peak") - F.col("total"))
-
-
-def average_rank(x: str, keys: tuple[str, ...] = ()) -> Column:
-    """Ranks with ties at their mean, within keys."""
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (tied - 1) / 2

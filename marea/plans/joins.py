@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import folds
 from ..operators.asof import asof
+from ..operators.exact import quantiles
 from ..operators.ordered import ahead, along
 from ..sources.ticks import bars, ticks
 from .registry import BARS, TICKS, query
@@ -19,6 +20,10 @@ def r6(x):
     return F.round(x, 6)
 
 
+def rounded(df, *keys):
+    return df.select(*keys, *[r6(c).alias(c) for c in df.columns if c not in keys])
+
+
 # Scans, projections, cleansing
 
 
@@ -224,8 +229,9 @@ def q_region_except(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def q_profile(spark, sf):
-    v = "value"
-    return spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), r6(F.avg(v)).alias("mean"), r6(F.percentile(v, 0.5)).alias("median"), r6(F.stddev_pop(v)).alias("std"), r6(F.percentile(v, 0.01)).alias("p01"), r6(F.percentile(v, 0.99)).alias("p99"))
+    e, v = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value"), "value"
+    plain = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), r6(F.avg(v)).alias("mean"), r6(F.stddev_pop(v)).alias("std"))
+    return plain.join(rounded(quantiles(e, ["event_type"], v, {"median": 0.5, "p01": 0.01, "p99": 0.99}), "event_type"), "event_type")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events GROUP BY 1")
@@ -270,14 +276,14 @@ def _errors(spark, sf):
 
 @query(_ERR + " SELECT label, round(avg(abs(err)), 6) AS mae, round(sqrt(avg(err * err)), 6) AS rmse, round(quantile_cont(abs(err), 0.5), 6) AS median_ae, round(avg(err), 6) AS bias FROM e WHERE err IS NOT NULL GROUP BY 1")
 def q_error_metrics(spark, sf):
-    e = F.col("err")
-    return _errors(spark, sf).groupBy("label").agg(r6(F.avg(F.abs(e))).alias("mae"), r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.percentile(F.abs(e), 0.5)).alias("median_ae"), r6(F.avg(e)).alias("bias"))
+    e = _errors(spark, sf).withColumn("size", F.abs("err"))
+    plain = e.groupBy("label").agg(r6(F.avg("size")).alias("mae"), r6(F.sqrt(F.avg(F.col("err") * F.col("err")))).alias("rmse"), r6(F.avg("err")).alias("bias"))
+    return plain.join(rounded(quantiles(e, ["label"], "size", {"median_ae": 0.5}), "label"), "label")
 
 
 @query(_ERR + " SELECT label, round(quantile_cont(abs(err), 0.5), 6) AS q50, round(quantile_cont(abs(err), 0.9), 6) AS q90, round(quantile_cont(abs(err), 0.999), 6) AS q999 FROM e WHERE err IS NOT NULL GROUP BY 1")
 def q_error_quantiles(spark, sf):
-    q = lambda p: r6(F.percentile(F.abs("err"), p))
-    return _errors(spark, sf).groupBy("label").agg(q(0.5).alias("q50"), q(0.9).alias("q90"), q(0.999).alias("q999"))
+    return rounded(quantiles(_errors(spark, sf).withColumn("size", F.abs("err")), ["label"], "size", {"q50": 0.5, "q90": 0.9, "q999": 0.999}), "label")
 
 
 _SIGN = TICKS + f", d AS (SELECT *, CAST(sign(price - lag(price) OVER {W}) AS INTEGER) AS was, CAST(sign(lead(price) OVER {W} - price) AS INTEGER) AS next FROM t), s AS (SELECT * FROM d WHERE was IS NOT NULL AND next IS NOT NULL)"
@@ -340,10 +346,14 @@ def q_bands(spark, sf):
 
 @query(TICKS + ", s AS (SELECT entity_id, min(event_time) AS a, max(event_time) AS z FROM t GROUP BY entity_id, CAST(event_time AS DATE)), e AS (SELECT entity_id % 10 AS pool, a AS moment, 1 AS d FROM s UNION ALL SELECT entity_id % 10, z, -1 FROM s), r AS (SELECT pool, sum(d) OVER (PARTITION BY pool ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT pool, CAST(max(n) AS BIGINT) AS peak FROM r GROUP BY 1")
 def q_peak_concurrency(spark, sf):
+    """Spans that run at once: sums of whole days first, then the order inside each day, so no pool is put in order as a whole."""
     s = ticks(spark, sf).groupBy("entity_id", F.to_date("event_time").alias("day")).agg(F.min("event_time").alias("a"), F.max("event_time").alias("z"))
-    e = s.select((F.col("entity_id") % 10).alias("pool"), F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("pool", "x.*")
-    running = F.sum("d").over(Window.partitionBy("pool").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("n", running).groupBy("pool").agg(F.max("n").alias("peak"))
+    e = s.select((F.col("entity_id") % 10).alias("pool"), F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("z").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("pool", "x.*", F.to_date("x.at").alias("day"))
+    days = e.groupBy("pool", "day").agg(F.sum("d").alias("net"))
+    days = days.withColumn("open", F.sum("net").over(Window.partitionBy("pool").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("net"))  # one row a day
+    running = F.sum("d").over(Window.partitionBy("pool", "day").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
+    highest = e.withColumn("n", running).groupBy("pool", "day").agg(F.max("n").alias("n"))
+    return highest.join(days, ["pool", "day"]).groupBy("pool").agg(F.max(F.col("open") + F.col("n")).alias("peak"))
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS contrast FROM orders GROUP BY 1")
@@ -362,24 +372,6 @@ def q_approx_distinct(spark, sf):
 # Models and recurrences
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 5 AS a, l_tax * 5 AS b, l_quantity / 50 AS c FROM lineitem)
-  SELECT l_orderkey, l_linenumber, round(cbrt(a * b * c), 6) AS structure, round(sqrt(greatest(0, (1 - a) * (1 - b))), 6) AS risk, round(1 / (1 + exp(-(c - a))), 6) AS lift FROM v""")
-def q_capturability(spark, sf):
-    v = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 5).alias("a"), (F.col("l_tax") * 5).alias("b"), (F.col("l_quantity") / 50).alias("c"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return v.select("l_orderkey", "l_linenumber", r6(S.structural_quality(a, b, c)).alias("structure"), r6(F.sqrt(F.greatest(F.lit(0.0), (1 - a) * (1 - b)))).alias("risk"), r6(S.sigmoid(c - a)).alias("lift"))
-
-
-@query(TICKS + f""", m AS (SELECT *, quantile_cont(price, 0.5) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS median_c, CAST(sign(price - lag(price) OVER {W}) AS INTEGER) AS direction FROM t)
-  SELECT entity_id, seq, CASE WHEN seq <= 15 THEN 'INITIALIZING' WHEN price >= median_c AND direction > 0 AND volume >= 30 THEN 'BUY' WHEN price >= median_c AND direction < 0 AND volume >= 30 THEN 'SELL' ELSE 'HOLD' END AS decision FROM m""")
-def q_emitter_decision(spark, sf):
-    from ..operators.ordered import prior
-
-    m = ticks(spark, sf).withColumns({"median_c": prior(F.percentile("price", 0.5), 15), "direction": F.signum(F.col("price") - F.lag("price").over(along("entity_id")))})
-    strong = (F.col("price") >= F.col("median_c")) & (F.col("volume") >= 30)
-    return m.select("entity_id", "seq", F.when(F.col("seq") <= 15, "INITIALIZING").when(strong & (F.col("direction") > 0), "BUY").when(strong & (F.col("direction") < 0), "SELL").otherwise("HOLD").alias("decision"))
-
-
 @query("""WITH d AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'LONG' WHEN 'O' THEN 'FLAT' ELSE 'SHORT' END AS has, CASE WHEN o_totalprice > 300000 THEN 'LONG' WHEN o_totalprice > 100000 THEN 'FLAT' ELSE 'SHORT' END AS wants FROM orders)
   SELECT o_orderkey, has, wants, CASE WHEN has = wants THEN 'NONE' WHEN wants = 'FLAT' THEN 'CLOSE_' || has WHEN has = 'FLAT' THEN 'OPEN_' || wants ELSE 'CLOSE_' || has || '|OPEN_' || wants END AS verbs FROM d""")
 def q_position_plan(spark, sf):
@@ -412,10 +404,10 @@ def q_horizon_geometry(spark, sf):
 
 @query(TICKS + ", b AS (SELECT label, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 4) SELECT round(sum(iqr * n) / sum(n), 6) AS weighted_iqr, (SELECT round(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 6) FROM t) AS overall_iqr FROM b")
 def q_weighted_iqr(spark, sf):
-    t = ticks(spark, sf)
-    iqr = F.percentile("price", 0.75) - F.percentile("price", 0.25)
-    b = t.groupBy("label").agg(iqr.alias("iqr"), F.count(F.lit(1)).alias("n")).where("n >= 4").agg(r6(F.sum(F.col("iqr") * F.col("n")) / F.sum("n")).alias("weighted_iqr"))
-    return b.join(F.broadcast(t.agg(r6(iqr).alias("overall_iqr"))))
+    t, ends = ticks(spark, sf).select("label", "price"), {"a": 0.25, "z": 0.75}
+    n = t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    b = quantiles(t, ["label"], "price", ends).join(n, "label").agg(r6(F.sum((F.col("z") - F.col("a")) * F.col("n")) / F.sum("n")).alias("weighted_iqr"))
+    return b.join(F.broadcast(quantiles(t, [], "price", ends).select(r6(F.col("z") - F.col("a")).alias("overall_iqr"))))
 
 
 @query(TICKS + f", m AS (SELECT *, CAST(sign(lead(price) OVER {W} - price) AS INTEGER) AS next FROM t), c AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS total FROM m) SELECT CASE WHEN 10 * (seq - 1) < 6 * total THEN 'PHASE_1' WHEN 10 * (seq - 1) < 8 * total THEN 'PHASE_2' ELSE 'PHASE_3' END AS phase, label, count(*) FILTER (WHERE next > 0) AS up, count(*) FILTER (WHERE next = 0) AS same, count(*) FILTER (WHERE next < 0) AS down FROM c WHERE next IS NOT NULL GROUP BY 1, 2")
@@ -437,11 +429,3 @@ def q_dynamic_horizon(spark, sf):
     t = ticks(spark, sf)
     a = t.withColumn("h", F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.col("volume") / 5))).cast("long")).select("entity_id", F.col("seq").alias("from_seq"), "h", F.col("price").alias("p"), (F.col("seq") + F.col("h")).alias("seq"))
     return a.join(t, ["entity_id", "seq"]).select("entity_id", F.col("from_seq").alias("seq"), "h", r6(F.col("price") - F.col("p")).alias("change"))
-
-
-@query(TICKS + f""", f AS (SELECT entity_id, seq, price, max(price) OVER n AS top, min(price) OVER n AS low, count(*) OVER n AS k FROM t WINDOW n AS (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT entity_id, seq, CASE WHEN top - price > price - low THEN 'UP' WHEN top - price < price - low THEN 'DOWN' ELSE 'NEUTRAL' END AS side FROM f WHERE k = 5""")
-def q_multi_horizon(spark, sf):
-    t = ticks(spark, sf).withColumns({"top": ahead(F.max("price"), 5), "low": ahead(F.min("price"), 5), "k": ahead(F.count(F.lit(1)), 5)}).where("k = 5")
-    up = F.col("top") - F.col("price") > F.col("price") - F.col("low")
-    down = F.col("top") - F.col("price") < F.col("price") - F.col("low")
-    return t.select("entity_id", "seq", F.when(up, "UP").when(down, "DOWN").otherwise("NEUTRAL").alias("side"))

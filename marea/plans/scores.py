@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.exact import quantiles
 from ..operators.ordered import along, with_runs
 from ..sources.ticks import bars, ticks
 from .registry import BARS, TICKS, query
@@ -56,9 +57,9 @@ def label_runs(spark, sf):
 
 @query(RUNS + " SELECT label, count(*) AS runs, " + ", ".join(f"quantile_cont(n, {q / 100}) AS q{q}" for q in (25, 50, 75, 90, 95)) + ", round(avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END), 6) AS share_2, round(avg(CASE WHEN n >= 3 THEN 1.0 ELSE 0.0 END), 6) AS share_3 FROM i GROUP BY 1")
 def q_duration_scorecard(spark, sf):
-    quantiles = [F.percentile("n", q / 100).alias(f"q{q}") for q in (25, 50, 75, 90, 95)]
+    r = label_runs(spark, sf)
     share = lambda k: r6(F.avg((F.col("n") >= k).cast("double"))).alias(f"share_{k}")
-    return label_runs(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("runs"), *quantiles, share(2), share(3))
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("runs"), share(2), share(3)).join(quantiles(r, ["label"], "n", {f"q{q}": q / 100 for q in (25, 50, 75, 90, 95)}), "label")
 
 
 @query(RUNS + " SELECT entity_id, run, label, n, CAST(floor(epoch(ended)) - floor(epoch(began)) AS BIGINT) AS seconds FROM i")
@@ -139,7 +140,9 @@ def q_controls(spark, sf):
 @query(CLASSES + " SELECT phase, label, count(*) AS n, round(avg(CASE WHEN was = is_ THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(abs(next - step)), 6) AS mae, round(sqrt(avg((next - step) * (next - step))), 6) AS rmse, round(quantile_cont(abs(next - step), 0.5), 6) AS median, round(corr(next, step), 6) AS r FROM p GROUP BY 1, 2")
 def q_eval_scorecard(spark, sf):
     e = F.col("next") - F.col("step")
-    return classed(spark, sf).groupBy("phase", "label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("was") == F.col("is_")).cast("double"))).alias("accuracy"), r6(F.avg(F.abs(e))).alias("mae"), r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.percentile(F.abs(e), 0.5)).alias("median"), r6(F.corr("next", "step")).alias("r"))
+    c = classed(spark, sf).withColumn("size", F.abs(e))
+    plain = c.groupBy("phase", "label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("was") == F.col("is_")).cast("double"))).alias("accuracy"), r6(F.avg("size")).alias("mae"), r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.corr("next", "step")).alias("r"))
+    return plain.join(quantiles(c, ["phase", "label"], "size", {"median": 0.5}).withColumn("median", r6("median")), ["phase", "label"])
 
 
 @query(STEPPED + " SELECT label, count(*) AS n, round(avg(CASE WHEN sign(step) * next > 0 THEN 1.0 ELSE 0.0 END), 6) AS concordance, round(avg(CASE WHEN sign(step) * next > 0 THEN 1.0 ELSE 0.0 END) - 0.5, 6) AS effect FROM s WHERE step IS NOT NULL AND next IS NOT NULL GROUP BY 1")
@@ -192,8 +195,9 @@ def q_lowest_factor(spark, sf):
 
 @query(TICKS + " SELECT CASE label WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'SELL' ELSE 'HOLD' END AS decision, count(*) AS n, min(price) AS least, max(price) AS most, round(avg(price), 6) AS mean, quantile_cont(price, 0.5) AS median, round(stddev_pop(volume), 6) AS volume_std FROM t GROUP BY 1")
 def q_by_decision(spark, sf):
-    decision = F.when(F.col("label") == "purchase", "BUY").when(F.col("label") == "error", "SELL").otherwise("HOLD")
-    return ticks(spark, sf).groupBy(decision.alias("decision")).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"), r6(F.avg("price")).alias("mean"), F.percentile("price", 0.5).alias("median"), r6(F.stddev_pop("volume")).alias("volume_std"))
+    t = ticks(spark, sf).withColumn("decision", F.when(F.col("label") == "purchase", "BUY").when(F.col("label") == "error", "SELL").otherwise("HOLD"))
+    plain = t.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"), r6(F.avg("price")).alias("mean"), r6(F.stddev_pop("volume")).alias("volume_std"))
+    return plain.join(quantiles(t, ["decision"], "price", {"median": 0.5}), "decision")
 
 
 @query(TICKS + """, d AS (SELECT label, min(price) AS least, max(price) AS most, avg(price) AS mean, stddev_pop(price) AS std, avg(CASE WHEN price < 25 OR price > 475 THEN 1.0 ELSE 0.0 END) AS near FROM t GROUP BY 1)
@@ -270,4 +274,4 @@ def q_bootstrap(spark, sf):
     from ..operators.survival import block_bootstrap
 
     s = stepped(spark, sf).where("step is not null and next is not null").withColumn("block", F.floor(F.unix_timestamp(F.col("event_time").cast("timestamp")) / 108000))
-    return block_bootstrap(s, "label", "block", (F.signum("step") * F.col("next") > 0).cast("double"), replicates=200)
+    return block_bootstrap(s, "label", "block", (F.signum("step") * F.col("next") > 0).cast("double"), replicates=2000)

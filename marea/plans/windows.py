@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.ordered import ahead, along, average_rank, crossings, drawdown, full_window, persistence, prior, quadratic_fit, with_runs
+from ..operators.exact import average_ranks, quantiles
+from ..operators.ordered import ahead, along, crossings, drawdown, full_window, persistence, prior, quadratic_fit, with_runs
 from ..sources.ticks import bars, ticks
 from .registry import BARS, TICKS, query
 
@@ -149,8 +150,8 @@ def q_context15(spark, sf):
   SELECT entity_id, seq, CASE WHEN volume <= a THEN 'LOW' WHEN volume <= b THEN 'NORMAL' WHEN volume <= c THEN 'ELEVATED' ELSE 'EXTREME' END AS regime FROM t, q""")
 def q_volume_regime(spark, sf):
     t = ticks(spark, sf)
-    q = t.agg(F.percentile("volume", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.95))).alias("q"))  # one row
-    return t.join(F.broadcast(q)).select("entity_id", "seq", S.regime_of(F.col("volume"), F.col("q")[0], F.col("q")[1], F.col("q")[2]).alias("regime"))
+    q = quantiles(t, [], "volume", {"a": 0.25, "b": 0.75, "c": 0.95})  # one row
+    return t.join(F.broadcast(q)).select("entity_id", "seq", S.regime_of(F.col("volume"), F.col("a"), F.col("b"), F.col("c")).alias("regime"))
 
 
 _CROSS = TICKS + f""", m AS (SELECT *, price - 50 AS x, lag(price - 50) OVER {W} AS before FROM t), c AS (SELECT *, CASE WHEN before < 0 AND x >= 0 THEN 'LOWER' WHEN before > 0 AND x <= 0 THEN 'UPPER' END AS kind FROM m)"""
@@ -303,13 +304,17 @@ def q_episodes(spark, sf):
 
 
 @query(_FSM + """, x AS (SELECT entity_id, episode, CAST(arg_max(price, seq) AS DECIMAL(18,2)) - CAST(arg_min(price, seq) AS DECIMAL(18,2)) AS pnl FROM n WHERE long GROUP BY 1, 2)
-  SELECT count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losses, CAST(sum(pnl) AS DOUBLE) AS gross, round(CAST(sum(pnl) FILTER (WHERE pnl > 0) AS DOUBLE) / nullif(-CAST(sum(pnl) FILTER (WHERE pnl < 0) AS DOUBLE), 0), 6) AS profit_factor, round(avg(CAST(pnl AS DOUBLE)), 6) AS expectancy FROM x""")
+  SELECT count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losses, CAST(sum(pnl) AS DOUBLE) AS gross, round(CAST(sum(pnl) FILTER (WHERE pnl > 0) AS DOUBLE) / nullif(-CAST(sum(pnl) FILTER (WHERE pnl < 0) AS DOUBLE), 0), 6) AS profit_factor, round(avg(CAST(pnl AS DOUBLE)), 6) AS expectancy, round(quantile_cont(CAST(pnl AS DOUBLE), 0.5), 6) AS median,
+   round(quantile_cont(CAST(pnl AS DOUBLE), 0.5) FILTER (WHERE pnl > 0), 6) AS median_win, round(quantile_cont(CAST(pnl AS DOUBLE), 0.5) FILTER (WHERE pnl < 0), 6) AS median_loss, round(stddev_pop(CAST(pnl AS DOUBLE)), 6) AS deviation FROM x""")
 def q_trade_summary(spark, sf):
     d = lambda f: f("price", "seq").cast("decimal(18,2)")
     x = _episodes(spark, sf).where("long").groupBy("entity_id", "episode").agg((d(F.max_by) - d(F.min_by)).alias("pnl"))
     p = F.col("pnl")
     won, lost = F.sum(F.when(p > 0, p)).cast("double"), F.sum(F.when(p < 0, p)).cast("double")
-    return x.agg(F.count(F.lit(1)).alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.sum(p).cast("double").alias("gross"), r6(won / F.nullif(-lost, F.lit(0.0))).alias("profit_factor"), r6(F.avg(p.cast("double"))).alias("expectancy"))
+    x = x.withColumn("side", F.signum(p.cast("double")).cast("int")).withColumn("value", p.cast("double"))
+    of = lambda df, name: F.broadcast(quantiles(df, [], "value", {name: 0.5}).withColumn(name, r6(name)))
+    plain = x.agg(F.count(F.lit(1)).alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.sum(p).cast("double").alias("gross"), r6(won / F.nullif(-lost, F.lit(0.0))).alias("profit_factor"), r6(F.avg("value")).alias("expectancy"), r6(F.stddev_pop("value")).alias("deviation"))
+    return plain.join(of(x, "median")).join(of(x.where("side > 0"), "median_win")).join(of(x.where("side < 0"), "median_loss"))
 
 
 @query(_FSM + """, x AS (SELECT entity_id, episode, strftime(arg_max(event_time, seq), '%Y-%m') AS month, CAST(arg_max(price, seq) AS DECIMAL(18,2)) - CAST(arg_min(price, seq) AS DECIMAL(18,2)) AS pnl FROM n WHERE long GROUP BY 1, 2)
@@ -334,22 +339,29 @@ def q_pattern(spark, sf):
     return d.groupBy(F.concat_ws("-", "decision", "next").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("next_seq") - F.col("seq") - 1).alias("holds"))
 
 
-@query(TICKS + f""" SELECT entity_id, seq, round(a, 6) AS minus_1, price AS at_0, round(b, 6) AS plus_1, round(c, 6) AS plus_5 FROM (SELECT *, lag(price) OVER {W} AS a, lead(price) OVER {W} AS b, lead(price, 5) OVER {W} AS c FROM t) WHERE volume > 95 AND c IS NOT NULL""")
+@query(TICKS + f""" SELECT entity_id, seq, round(a, 6) AS minus_1, price AS at_0, round(b, 6) AS plus_1, round(c, 6) AS plus_5, round(d, 6) AS plus_15 FROM (SELECT *, coalesce(lag(price) OVER {W}, price) AS a, lead(price) OVER {W} AS b, lead(price, 5) OVER {W} AS c, lead(price, 15) OVER {W} AS d FROM t) WHERE volume > 95 AND d IS NOT NULL""")
 def q_event_response(spark, sf):
-    t = ticks(spark, sf).withColumns({"a": F.lag("price").over(along("entity_id")), "b": F.lead("price").over(along("entity_id")), "c": F.lead("price", 5).over(along("entity_id"))}).where("volume > 95 and c is not null")
-    return t.select("entity_id", "seq", r6("a").alias("minus_1"), F.col("price").alias("at_0"), r6("b").alias("plus_1"), r6("c").alias("plus_5"))
+    t = ticks(spark, sf).withColumns({"a": F.lag("price").over(along("entity_id")), "b": F.lead("price").over(along("entity_id")), "c": F.lead("price", 5).over(along("entity_id")), "d": F.lead("price", 15).over(along("entity_id"))}).where("volume > 95 and d is not null")
+    return t.select("entity_id", "seq", r6(F.coalesce("a", "price")).alias("minus_1"), F.col("price").alias("at_0"), r6("b").alias("plus_1"), r6("c").alias("plus_5"), r6("d").alias("plus_15"))
 
 
-@query(TICKS + " SELECT label, seq, entity_id, price, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY price DESC, event_id) AS INTEGER) AS rank FROM t) WHERE rank <= 10")
+@query(TICKS + " SELECT label, seq, entity_id, price, rank, side FROM (" + " UNION ALL ".join(f"SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY price {d}, event_id) AS INTEGER) AS rank, '{n}' AS side FROM t" for n, d in (("TOP", "DESC"), ("BOTTOM", "ASC"))) + ") WHERE rank <= 10")
 def q_top_k(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("price"), "event_id"))
-    return ticks(spark, sf).withColumn("rank", rank).where("rank <= 10").select("label", "seq", "entity_id", "price", "rank")
+    """The ten dearest and the ten cheapest ticks of each label: each task keeps its own ten before they meet."""
+    t, out = ticks(spark, sf), []
+    for side, order in (("TOP", F.desc("price")), ("BOTTOM", F.asc("price"))):
+        rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "event_id"))
+        out.append(t.withColumn("rank", rank).where("rank <= 10").select("label", "seq", "entity_id", "price", "rank", F.lit(side).alias("side")))
+    return out[0].unionByName(out[1])
 
 
 @query(TICKS + """, r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY price) + (count(*) OVER (PARTITION BY label, price) - 1) / 2.0 AS a, rank() OVER (PARTITION BY label ORDER BY volume) + (count(*) OVER (PARTITION BY label, volume) - 1) / 2.0 AS b FROM t)
   SELECT label, round(corr(a, b), 6) AS spearman, round(corr(price, volume), 6) AS pearson, count(*) AS n FROM r GROUP BY 1""")
 def q_spearman(spark, sf):
-    t = ticks(spark, sf).withColumns({"a": average_rank("price", ("label",)), "b": average_rank("volume", ("label",))})
+    t = ticks(spark, sf).select("label", "price", "volume")
+    pairs = t.groupBy("label", "price", "volume").agg(F.count(F.lit(1)).alias("times"))  # ranks are joined to pairs of values, and these counted again
+    ranked = pairs.join(average_ranks(t, ["label"], "price", "a"), ["label", "price"]).join(average_ranks(t, ["label"], "volume", "b"), ["label", "volume"])
+    t = ranked.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return t.groupBy("label").agg(r6(F.corr("a", "b")).alias("spearman"), r6(F.corr("price", "volume")).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
