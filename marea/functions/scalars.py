@@ -123,3 +123,54 @@ def transition_intent(has: Column, wants: Column, pending: Column) -> Column:
     """What a change of position takes; a pending target overrules."""
     free = F.when(has == wants, "NO_CHANGE").when(has == "FLAT", "OPEN").when(wants == "FLAT", "CLOSE").otherwise("REVERSE")
     return F.when(pending == "NONE", free).when(pending == wants, "NO_CHANGE").otherwise("RETARGET")
+
+
+def transition_window(time: Column) -> Column:
+    """The quarter hours after the open, before the close and after the close, else NONE."""
+    m = F.hour(time) * 60 + F.minute(time)
+    return F.when(m.between(570, 584), "FIRST_15_AFTER_0930").when(m.between(945, 959), "LAST_15_BEFORE_1600").when(m.between(960, 974), "FIRST_15_AFTER_1600").otherwise("NONE")
+
+
+def direction_claim(*evidence: Column) -> Column:
+    """The sign of the first evidence that has one; 0 if none has."""
+    return F.coalesce(*[F.nullif(F.signum(x).cast("int"), F.lit(0)) for x in evidence], F.lit(0))
+
+
+def ambiguity_index(efficiency: Column, deviation: Column, category: Column) -> Column:
+    """From 0 to 1: detours, scatter and an inconclusive category; null where one isn't known."""
+    unclear = (category == "AMBIGUOUS/INCONCLUSIVE").cast("double")
+    return ((1 - efficiency) + deviation / (1 + deviation) + unclear) / 3
+
+
+def support_label(blocks: Column) -> Column:
+    return F.when(blocks >= 30, "ADEQUATE").when(blocks >= 10, "LIMITED").otherwise("INSUFFICIENT")
+
+
+def evidence_class(effect: Column, lo: Column, hi: Column, support: Column) -> Column:
+    """What an effect, its interval and its support allow to say."""
+    unknown = effect.isNull() | lo.isNull() | hi.isNull() | (support == "INSUFFICIENT")
+    full = support == "ADEQUATE"
+    return F.when(unknown, "INCONCLUSIVE").when(full & (hi < 0), "UNSUPPORTED").when(full & (effect > 0) & (lo > 0), "EMPIRICALLY_SUPPORTED").when((effect > 0) | (support == "LIMITED"), "PARTIALLY_SUPPORTED").otherwise("INCONCLUSIVE")
+
+
+def effect_class(delta: Column, threshold: float) -> Column:
+    return F.when(delta > threshold, "BENEFICIAL").when(delta < -threshold, "HARMFUL").when(F.abs(delta) <= threshold, "NO MEASURABLE EFFECT").otherwise("MIXED")
+
+
+def condition_class(condition: Column) -> Column:
+    """Words for a condition number; null, infinite and NaN are SINGULAR."""
+    bad = condition.isNull() | F.isnan(condition) | (condition == float("inf"))
+    return F.when(bad, "SINGULAR").when(condition < 1e4, "WELL CONDITIONED").when(condition < 1e8, "MODERATELY CONDITIONED").when(condition < 1e12, "POORLY CONDITIONED").otherwise("SEVERELY ILL-CONDITIONED")
+
+
+def effective_mass(relative_volume: Column, density: Column, coherence: Column) -> Column:
+    return F.greatest(F.lit(0.0), 0.5 * relative_volume + 0.35 * F.least(F.lit(1.0), density / 5000) + 0.15 * F.abs(coherence))
+
+
+def signal_strength(mass: Column, movement: Column, coherence: Column) -> Column:
+    return clamp(0.45 * mass + 0.45 * movement + 0.1 * coherence, 0.0, 1.0)
+
+
+def percent_encoded(text: Column) -> Column:
+    """A text with all but letters, digits and -._~ percent-encoded, blanks as %20."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

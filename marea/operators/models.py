@@ -253,3 +253,14 @@ def volume_step(state: dict, row: dict) -> tuple[dict, dict]:
     usual = state.get("usual", 1.0) * (1 - VOLUME_RATE) + VOLUME_RATE * row["volume"]
     push = within(math.log1p(row["volume"] / max(usual, EPSILON)) + math.log1p(max(row["volume"], 0.0)) / 10, 0.0, VOLUME_MOST)
     return {"usual": usual}, {"usual": usual, "influence": push}
+
+
+def gradient_step(state: dict, row: dict, rate: float = 0.05, decay: float = 0.01, most: float = 0.5) -> tuple[dict, dict]:
+    """One step of a linear model (bias, x1, x2, x3) of y down its squared error, with weight decay and weights within most."""
+    x = (1.0, row["x1"], row["x2"], row["x3"])
+    w = state.get("w", (0.0,) * 4)
+    prediction = sum(a * b for a, b in zip(w, x, strict=True))
+    error = row["y"] - prediction
+    free = [a - rate * (-error * b + decay * a) for a, b in zip(w, x, strict=True)]
+    new = [within(a, -most, most) for a in free]
+    return {"w": new}, {"prediction": prediction, "error": error, "hit": new != free, **{f"w{k}": a for k, a in enumerate(new)}}
