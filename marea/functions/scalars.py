@@ -174,3 +174,21 @@ def signal_strength(mass: Column, movement: Column, coherence: Column) -> Column
 def percent_encoded(text: Column) -> Column:
     """A text with all but letters, digits and -._~ percent-encoded, blanks as %20."""
     return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def coerced(df, kinds: dict[str, str]):
+    """df with text columns as double, bigint or boolean; blank and unreadable texts are null."""
+    made = {}
+    for name, kind in kinds.items():
+        text = F.nullif(F.trim(F.col(name)), F.lit(""))
+        if kind == "boolean":
+            made[name] = F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
+        else:
+            whole = F.when(text.rlike("^-?[0-9]+$"), text) if kind == "bigint" else text
+            made[name] = whole.try_cast(kind)
+    return df.withColumns(made)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON text of fields in the order of their names, without blanks; null fields stay, as null."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

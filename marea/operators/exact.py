@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def _placed(df: DataFrame, keys: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(keys, v, n, b) counts of distinct values in buckets, and (keys, b, m, below, total) of the buckets."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))  # one row of buckets - 1 values
+    cuts = counts.agg(F.percentile_approx("v", [k / buckets for k in range(1, max(2, buckets))], 10_000).alias("cuts"))  # one row of buckets - 1 values
     placed = counts.join(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sums = placed.groupBy(*keys, "b").agg(F.sum("n").alias("m"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

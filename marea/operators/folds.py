@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -52,29 +53,83 @@ def debounce_step(state: dict, row: dict, confirm: int = 2) -> tuple[dict, dict]
     return state, {"colour": state["colour"]}
 
 
+def plain(column: pd.Series) -> list:
+    """A column's values as Python's own, missing ones and NaN as None."""
+    values = column.tolist()
+    return [None if gone else v for v, gone in zip(values, column.isna(), strict=True)] if column.isna().any() else values
+
+
+def linear_fold(df: DataFrame, column: str, out: str, rate: float, start: float | None = None, reset: str | None = None, key: str = "entity_id", order: str = "seq") -> DataFrame:
+    """key, order, column, out: the exponential mean out = (1 - rate) out + rate column of each entity, many rows at a time.
+
+    start is the mean before the first row; without it the first row's value is. A true reset sets the mean to 0. Missing
+    values leave the mean as it is. Inside a batch the recurrence is a cumulative sum of scaled values; one value is carried.
+    """
+    step = 64  # rows at once: scales stay within what a double can tell
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for batch in batches:
+            keys, x = batch[key].to_numpy(), batch[column].to_numpy(np.float64, na_value=np.nan)
+            cut = batch[reset].fillna(False).to_numpy(bool) if reset else np.zeros(len(batch), bool)
+            out_ = np.empty(len(batch))
+            known, fresh = ~np.isnan(x), np.r_[True, keys[1:] != keys[:-1]] if len(batch) else np.zeros(0, bool)
+            edges = np.flatnonzero(fresh | cut | ~known)
+            starts = np.unique(np.concatenate([edges, edges + 1, np.arange(0, len(batch), step)]))
+            starts = starts[starts < len(batch)]
+            for a, z in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+                if keys[a] != last:
+                    last, held = keys[a], start
+                if cut[a]:
+                    held = 0.0
+                    out_[a:z] = held
+                elif not known[a]:
+                    out_[a:z] = np.nan if held is None else held
+                else:
+                    first = 0
+                    if held is None:
+                        held, first = x[a], 1
+                        out_[a] = held
+                    n = np.arange(1, z - a - first + 1)
+                    down = (1 - rate) ** n
+                    out_[a + first : z] = down * (held + np.cumsum(rate * x[a + first : z] / down))
+                    held = out_[z - 1]
+            yield pd.DataFrame({key: batch[key], order: batch[order], column: batch[column], out: out_})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(key, order, column, *([reset] if reset else [])).repartition(parts, key).sortWithinPartitions(key, order)
+    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {column} {kinds[column]}, {out} double")
+
+
 def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False) -> DataFrame:
     """Each entity's rows through step, in order: key, order, the columns of carry and those of out.
 
     Rows are sorted by Spark and folded as they stream through, so an entity of any length holds one state in memory.
-    in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has.
+    in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has; rows of
+    an entity that come out of order are an error.
     """
     carry = carry or []
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, {}
+        last, at, state = None, None, {}
         for batch in batches:
-            rows = []
-            table = batch.astype(object).where(batch.notna(), None)
-            for k, o, *values in table.itertuples(index=False):
+            made, given = [], [plain(batch[c]) for c in reads]
+            keys, orders = batch[key].tolist(), batch[order].tolist()
+            for k, o, *values in zip(keys, orders, *given, strict=True):
                 if k != last:
-                    last, state = k, {}
-                state, made = step(state, dict(zip([*columns, *carry], values, strict=True)))
-                rows.append((k, o, *values[len(columns) :], *(made[n] for n in names)))
-            yield pd.DataFrame(rows, columns=[key, order, *carry, *names])
+                    last, at, state = k, None, {}
+                if at is not None and o < at:
+                    raise ValueError(f"rows of {key} {k} are out of order: {o} after {at}")
+                at = o
+                state, row = step(state, dict(zip(reads, values, strict=True)))
+                made.append(row)
+            yield pd.DataFrame({key: batch[key], order: batch[order], **{c: batch[c] for c in carry}, **{n: pd.Series([r[n] for r in made], index=batch.index) for n in names}})
 
+    reads = list(dict.fromkeys([*columns, *carry]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    dealt = df.select(key, order, *columns, *carry)
+    dealt = df.select(key, order, *reads)
     if not in_order:  # by number: adaptive merging would see small rows, not the work a step is
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(parts, key).sortWithinPartitions(key, order)

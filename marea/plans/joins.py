@@ -388,7 +388,7 @@ def q_position_plan(spark, sf):
 @query(TICKS + """, o AS (SELECT entity_id, list(price ORDER BY seq) AS p FROM t GROUP BY 1), k AS (SELECT entity_id, p, unnest(range(1, len(p) + 1)) AS seq FROM o)
   SELECT entity_id, seq, round(list_reduce(p[1:seq], lambda r, x: r + 0.05 * (x - r)) * 1048576) / 1048576 AS ref FROM k""")
 def q_ema_reference(spark, sf):
-    return folds.fold(ticks(spark, sf), folds.ema_step, ["price"], "ref double, scale double").select("entity_id", "seq", (F.round(F.col("ref") * 1048576.0) / 1048576.0).alias("ref"))
+    return folds.linear_fold(ticks(spark, sf), "price", "ref", 0.05).select("entity_id", "seq", (F.round(F.col("ref") * 1048576.0) / 1048576.0).alias("ref"))
 
 
 @query(TICKS + """, a AS (SELECT entity_id, seq, price, lead(price, 5) OVER w AS p5, list(price) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS y FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY seq))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import models as M
-from ..operators.folds import fold, hysteresis_step
+from ..operators.folds import fold, hysteresis_step, linear_fold
 from ..operators.ordered import along, quadratic_fit
 from ..sources.ticks import ticks
 from . import chain_sql as C
@@ -172,16 +172,16 @@ def q_volume_policy(spark, sf):
   u AS (SELECT entity_id, seq, v[seq] AS x, list_reduce(list_concat([1.0], v[1:seq]), lambda r, y: r * 0.95 + 0.05 * y) AS usual FROM k)
   SELECT entity_id, seq, round(usual * 1048576) / 1048576 AS usual, round(greatest(0, least(3, ln(1 + x / greatest(usual, 1e-8)) + ln(1 + greatest(x, 0)) / 10)) * 1048576) / 1048576 AS influence FROM u""")
 def q_volume_influence(spark, sf):
-    f = fold(ticks(spark, sf), M.volume_step, ["volume"], "usual double, influence double")
-    return grid(f)
+    f = linear_fold(ticks(spark, sf), "volume", "usual", M.VOLUME_RATE, start=1.0)
+    return grid(f.select("entity_id", "seq", "usual", S.volume_influence(F.col("volume"), F.greatest(F.col("usual"), F.lit(M.EPSILON))).alias("influence")))
 
 
 @query(TICKS + """, u AS (SELECT *, count(*) FILTER (WHERE label = 'error') OVER (PARTITION BY entity_id ORDER BY seq) AS g FROM t),
   o AS (SELECT entity_id, g, list(CASE WHEN label = 'error' THEN 0.0 ELSE volume / 100 END ORDER BY seq) AS v, min(seq) AS first FROM u GROUP BY 1, 2), k AS (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM o)
   SELECT entity_id, first + i - 1 AS seq, round(list_reduce(list_concat([0.0], v[1:i]), lambda r, y: 0.5 * y + 0.5 * r) * 1048576) / 1048576 AS aperture FROM k""")
 def q_aperture(spark, sf):
-    t = ticks(spark, sf).withColumns({"score": F.col("volume") / 100, "unsafe": F.col("label") == "error"})
-    return fold(t, M.aperture_step, ["score", "unsafe"], "aperture double").withColumn("aperture", q20("aperture"))
+    t = ticks(spark, sf).withColumns({"score": S.clamp(F.col("volume") / 100, 0.0, 1.0), "unsafe": F.col("label") == "error"})
+    return linear_fold(t, "score", "aperture", 0.5, start=0.0, reset="unsafe").select("entity_id", "seq", q20("aperture").alias("aperture"))
 
 
 @query(TICKS + """, o AS (SELECT entity_id, list(least(1.0, volume / 100) * CASE WHEN label = 'error' THEN -1 ELSE 1 END ORDER BY seq) AS v FROM t GROUP BY 1), k AS (SELECT entity_id, v, unnest(range(1, len(v) + 1)) AS seq FROM o)

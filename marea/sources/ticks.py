@@ -50,3 +50,39 @@ def write_rows(df: DataFrame, path: str, columns: list[str], kind: str = "csv")
 def parsed_timestamp(text, formats=("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm")):
     """timestamp_ntz by the first format that fits, else null."""
     return F.coalesce(*[F.expr(f"try_to_timestamp({text}, '{f}')").cast("timestamp_ntz") for f in formats])
+
+
+def replayed(df: DataFrame, start: int | None = None, stop: int | None = None, optional: tuple[str, ...] = ("bid", "ask")) -> DataFrame:
+    """Observations of df (entity_id, seq, ...) from row start up to, not with, row stop of each entity; optional columns that df lacks are null, and available says which it has."""
+    has = {c: c in df.columns for c in optional}
+    out = df.withColumns({c: F.lit(None).cast("double") for c, known in has.items() if not known})
+    out = out.withColumn("available", F.create_map(*[x for c in optional for x in (F.lit(c), F.col(c).isNotNull())]))
+    if start is not None:
+        out = out.where(F.col("seq") >= start)
+    return out if stop is None else out.where(F.col("seq") < stop)
+
+
+def discover(spark: SparkSession, path: str, pattern: str = "*.csv") -> str:
+    """The one file that path names: itself, or the only one in that folder to match pattern; else a ValueError."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no file' if not found else 'more than one file'} like {pattern} at {path}")
+    return found[0]["path"]
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, bytes and sha256 of each file of a folder, one task per group of files; a file is held by the task that reads it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def audited(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with audit_seq, rising by one along order within keys, for append-only audit sinks."""
+    return df.withColumn("audit_seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def expanded(spark: SparkSession, defaults: dict, steps: list[dict]) -> DataFrame:
+    """Scenario rows: each step's values over the defaults, numbered from 1; numbers are doubles."""
+    number = lambda v: float(v) if isinstance(v, int) and not isinstance(v, bool) else v
+    rows = [{"step": k, **{n: number(v) for n, v in {**defaults, **step}.items()}} for k, step in enumerate(steps, 1)]
+    return spark.createDataFrame(rows)
