@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SLOTS = 1 << 15
 #: Code points looked at in one go; longer texts are scored in chunks whose sums are added.
 CHUNK = 1 << 16
@@ -123,6 +125,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pd.DataFrame({"l": lang, "s": at, "n": own[at]})
 
     sampled = rows.join(F.broadcast(chosen), rows["i"].eqNullSafe(chosen["i"]), "left_semi").select("t", "l")  # at most max_rows ids
+    sampled = written(sampled, "sample")
     langs = sorted(r["l"] for r in sampled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect())
     got = sampled.where(F.col("l").isin(langs)).mapInPandas(count, "l string, s int, n long").groupBy("l", "s").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), SLOTS), np.int64)

@@ -73,17 +73,16 @@ MOST_HOT, LEAST_HOT = 10_000, 1_000
 def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined by key with table, which has one row per key and n, how many of the rows have it; n is not returned.
 
-    Keys with more than a MOST_HOT-th of all (and LEAST_HOT) rows, fewer than MOST_HOT by counting, are broadcast, so
-    that none of their rows is shuffled; all others meet by a shuffle without a hot key. table should be small and wide
-    in nothing but its key, and rows without a key match nothing.
+    A key with more than a MOST_HOT-th of all rows (LEAST_HOT at least) is dealt into parts of about so many rows, and its
+    row of table is repeated for each. Such keys, fewer than MOST_HOT by counting, are broadcast with their numbers of
+    parts; both sides are then shuffled once.
     """
     bound = max(LEAST_HOT, -(-total // MOST_HOT))
-    hot, cold = table.where(F.col("n") > bound).drop("n"), table.where(F.col("n") <= bound).drop("n")
-    named = hot.withColumnRenamed(key, "__hot")
-    met = rows.join(F.broadcast(named), rows[key] == named["__hot"], "left")
-    kept = met.where("__hot is not null").drop("__hot")
-    rest = met.where("__hot is null").select(*rows.columns)
-    return kept.unionByName(rest.join(cold, key, how))
+    parts, part = fresh(rows, "parts", "part")
+    sized = table.withColumn(parts, F.ceil(F.col("n") / bound).cast("int")).drop("n")
+    hot = sized.where(F.col(parts) > 1).select(key, parts)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    return dealt.join(sized.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts), [key, part], how).drop(part)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

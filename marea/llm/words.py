@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words of a generation of a worker's memo; of the one before, those met again are carried over. No result depends on it.
-MEMO = 800_000
+MEMO = 500_000
 
 #: Punctuation that, after a word and before white space, is a token run of its own; no quote and nothing that begins a special token.
 _TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
