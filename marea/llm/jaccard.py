@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import hot_join, likely, written
+from .shared import dropped, hot_join, likely, written
 
 #: Words whose hash a worker remembers; the memo is emptied beyond that, which changes no result.
 MEMO = 250_000
@@ -426,6 +426,8 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
         joined = components(stars.unionByName(more))
 
     # A class is resolved once and handed to its rows; rows of an id with several texts link the classes of these.
+    whole, made = made, written(made.select("doc", "n", "key"), "sizes")
+    dropped(whole)
     several = made.where("key is not null and doc is not null").groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc")
     bonds = made.join(several, "doc", "left_semi").join(own.select("key", "rep"), "key").select(F.col("doc").alias("u"), F.col("rep").alias("v")).distinct()
     if not several.isEmpty():

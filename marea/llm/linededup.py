@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, hot_join, likely, written
+from .shared import dropped, fresh, hot_join, likely, written
 
 
 def chunks(text: str | None, min_words: int | None = None) -> list[tuple[int, int, bytes]]:
@@ -62,6 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = hot_join(places, firsts, "k", places.count()).select("i", "h", "s", "e", "k", "places", (order == F.col("first")).alias("is_first"))
     whole = repeated.repartition("i", "h").distinct()  # rows of one id and one text are one document
     marks = written(whole.groupBy("i", "h").agg(F.collect_list(F.struct("s", "e", "k", "places", "is_first")).alias("m")), "marks")  # at most two a line
+    dropped(places)
 
     @F.pandas_udf("array<binary>")
     def bodies(texts: pd.Series, marks: pd.Series) -> pd.Series:
@@ -70,6 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keyed = likely(found.select("i", "h", "t"), "h", marks).join(marks, ["i", "h"]).dropDuplicates(["i", "h"])
     spelled = written(keyed.select("i", "h", F.explode(F.arrays_zip("m", bodies("t", "m").alias("b"))).alias("x")).select("i", "h", "x.m.*", F.col("x.b").alias("b")), "repeats")
+    dropped(marks)
     parts = F.ceil(F.col("places") / PLACES).cast("int")
     kept = spelled.where("is_first").select("k", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("b").alias("first_b"), F.col("i").alias("first_i"), F.col("h").alias("first_h"), F.col("e").alias("first_e"))
     others = spelled.where("not is_first").withColumn("part", F.pmod(F.xxhash64("i", "h", "s"), parts).cast("int"))
@@ -77,6 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.when((F.col("i") == F.col("first_i")) & (F.col("h") == F.col("first_h")), F.greatest("s", "first_e")).otherwise(F.col("s"))
     lines = same.withColumn("s", start).where("s < e").withColumn("n", F.sequence("s", F.col("e") - 1))
     gone = written(lines.groupBy("i", "h").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("gone")), "gone")
+    dropped(spelled)  # the bytes of all repeats: nothing reads them any more
     return _cut(docs, gone, id_col, text_col)
 
 
