@@ -391,11 +391,15 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
     made = written(rows.mapInArrow(features, "doc long, n long, key binary, low long, map binary, head array<long>"), "shingles")
     own = made.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
     own = written(own.where("rep is not null"), "classes")
-    entries = made.join(own.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").where("key is not null").select("doc", F.col("n").cast("int").alias("n"), F.explode("head").alias("member"))
+    # Heads are large, so copies are told by a bitmap; the few that it lets through go with the pairs, which are small. A bucket's name is a representative anyway.
+    reps = own.select(F.col("rep").alias("doc")).distinct()
+    heads = likely(made.where("key is not null and doc is not null"), "doc", reps)
+    entries = heads.select("doc", F.col("n").cast("int").alias("n"), F.explode("head").alias("member"))
     n_entries = made.agg(F.sum(F.size("head"))).first()[0] or 0
-    met = written(_buckets(entries, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // ENTRIES))), "groups")
+    met = _buckets(entries, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // ENTRIES)))
+    met = written(met.join(reps, "doc", "left_semi").select("g", "doc"), "groups")
     met = met.unionByName(met.select("g", F.col("g").alias("doc")).distinct())
-    members = _narrowed(met, made.select("doc", "n", "low", "map"), part)
+    members = _narrowed(met, likely(made.select("doc", "n", "low", "map"), "doc", met), part)
     shares = F.greatest(F.count(F.lit(1)) / part, F.sum("n") / SHINGLES)
     sizes = members.join(made.select("doc", "n"), "doc").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.ceil(shares).cast("int").alias("parts"))
     dealt = members.join(sizes, "g").select("g", "doc", "m", "parts", F.xxhash64("doc").alias("h"))
