@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import dropped, hot_join, likely, written
+from .shared import dropped, hot_join, likely, released, written
 
 #: Words whose hash a worker remembers; the memo is emptied beyond that, which changes no result.
 MEMO = 250_000
@@ -66,6 +66,12 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def _forget() -> None:
+    """Empties the memo as a task ends."""
+    _memo.clear()
+    released()
+
+
 def slot_levels(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray:
     """For each of 2**log2 slots of the hash range, how often its members occur, from 0 (least) to 255; counted over all documents.
 
@@ -90,6 +96,7 @@ def slot_levels(docs: DataFrame, text: str, width: int, log2: int) -> np.ndarray
                     add()
                     n = 0
         add()
+        _forget()
         rows = total.reshape(-1, min(part, 1 << log2)).astype(np.int32)
         some = np.flatnonzero(rows.any(1))
         yield pd.DataFrame({"part": some, "counts": [rows[k].tobytes() for k in some]})
@@ -286,6 +293,8 @@ def _linked(groups: DataFrame, width: int) -> DataFrame:
                 labels.append(label)
         if (out := solve(docs, sets, labels)) is not None:
             yield out
+        docs, sets, labels = [], [], []
+        _forget()
 
     cut = groups.select("g", "part", "doc", "text", "label").repartition("g", "part").sortWithinPartitions("g", "part", "doc")
     return cut.mapInPandas(run, "u long, v long").distinct()
@@ -324,6 +333,8 @@ def _buckets(entries: DataFrame, parts: int) -> DataFrame:
         yield pa.record_batch([*map(pa.array, pairs), none, none], BUCKET)
         ends = [(int(least[0]), None, own, int(member[0]), int(n[0])), (int(least[-1]), None, own + (len(start) > 1), int(member[-1]), int(n[-1]))]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], BUCKET)
+        del got, doc, n, member, order, start, length, least, center, part, keep, pairs, none
+        released()
 
     ordered = entries.select("doc", "n", "member").repartitionByRange(parts, "member", "n", "doc")
     found = written(ordered.mapInArrow(run, ", ".join(f"{c} long" for c in BUCKET)), "buckets")
@@ -383,9 +394,8 @@ def classes(docs: DataFrame, width: int = 5, log2: int = 20, part: int = 2000, i
                 low.append(int(s[0]) >> 1 if len(s) else None)
                 maps.append(signature(s, width_of(len(s))).tobytes() if len(s) else None)
             flat = np.concatenate(cut).view(np.int64) if cut else np.empty(0, np.int64)
-            if len(_memo) > MEMO // 2:
-                _memo.clear()  # workers are kept and soon do other work
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(low, pa.int64()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
+        _forget()
 
     names = ["doc", "n", "key", "low", "map", "head"]
     made = written(rows.mapInArrow(features, "doc long, n long, key binary, low long, map binary, head array<long>"), "shingles")

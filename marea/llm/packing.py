@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -139,5 +141,7 @@ def pack(
                     sequence, ids, tokens, held = sequence + n, [], [], 0
         if ids:
             yield packed(ids, tokens, sequence)[0]
+        ids, tokens = [], []
+        released()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -33,6 +34,16 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(_BATCH, str(rows))
 
 
+def released() -> None:
+    """Gives what a Python worker has freed back to the system, where the C library can: workers are kept and soon do other work."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marea-{name}-{uuid.uuid4().hex}"
 

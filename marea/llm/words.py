@@ -94,6 +94,7 @@ def word_tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path not in _MADE:
             _MADE[path] = WordTokenizer(path)
+        _MADE[path].before = {}  # of the task before
         return _MADE[path].encode
 
     return get
