@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     The sample is the max_rows rows (a bound on training only) with the lowest hash of their id; of its languages the
     max_langs with most rows are learned. The margin of ambiguity is such that of the sample's texts told rightly, the
-    share doubtful is nearer to a second language. Null texts and languages are left out; no labelled rows at all make a
+    share doubtful is nearer to a second language; exact over the sample, so runs agree. Null texts and languages are left out; no labelled rows at all make a
     model that answers und.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     model = Model(langs, counts)
     if len(langs) > 1:
         told = sampled.select("l", predict(F.col("t"), model).alias("p")).where("l = p.lang_pred")
-        model.margin = told.agg(F.percentile_approx("p.gap", doubtful, 10_000).alias("m")).first()["m"] or model.margin
+        model.margin = told.agg(F.percentile("p.gap", F.lit(doubtful)).alias("m")).first()["m"] or model.margin
     return model
 
 
