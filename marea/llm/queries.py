@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, langid, linededup, media, packing, tokencount, topk, warc, words
+from . import bpe, html, jaccard, langid, lexicon, linededup, media, packing, tokencount, topk, warc, words
 from .shared import table
 
 #: The free id of the word vocabulary that ends a document in flat token files.
@@ -54,7 +54,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_jaccard, op4_langid, op5_topk, op6_media, op7_linededup, op8_warc, op9_tokencount, op10_html)}
+def op13_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_jaccard, op4_langid, op5_topk, op6_media, op7_linededup, op8_warc, op9_tokencount, op10_html, op13_lexicon)}
 
 ORACLE_SQL = {
     "op3_jaccard": r"""
