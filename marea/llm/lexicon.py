@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .shared import filesystem, new_dir, released
+from .shared import dropped, filesystem, new_dir, released, written
 
 #: Words of a lexicon, at most, and distinct units (white space and what follows it) a worker remembers or counts before it starts anew.
 MAX_WORDS, MEMO = 60_000, 700_000
@@ -368,11 +368,19 @@ def word_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
 def build(docs: DataFrame, path: str, pattern: str, text_col: str = "text", max_words: int = MAX_WORDS) -> str:
     """Compiles the lexicon of a corpus into the shared folder and hands it out; returns the name executors know it by.
 
-    The driver holds max_words words at most. Words that occur once are left out; ties go to the lesser bytes.
+    The driver holds max_words words at most: classes of near counts go in whole, the most frequent first, while they fit.
+    Words that occur once are left out.
     """
     spark, merges = docs.sparkSession, merges_of(path)
-    counted = word_counts(docs, path, pattern, text_col).where("n > 1").orderBy(F.desc("n"), "word").limit(max_words)
-    words = [bytes(r["word"]) for r in counted.select("word").collect()]
+    counted = written(word_counts(docs, path, pattern, text_col).where("n > 1").withColumn("often", F.floor(F.log2("n") * 64).cast("int")), "words")
+    kept, least = 0, None
+    for r in counted.groupBy("often").count().orderBy(F.desc("often")).collect():  # 64 rows an octave
+        kept += r["count"]
+        if kept > max_words:
+            break
+        least = r["often"]
+    words = [bytes(r["word"]) for r in counted.where(F.col("often") >= least).select("word").collect()] if least is not None else []
+    dropped(counted)
     image = compile_lexicon([(w, tuple(np.frombuffer(ids, "<u4").tolist())) for w, ids in zip(words, merges.merge(words), strict=True)])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = new_dir(spark, "lexicon")

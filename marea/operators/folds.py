@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Step = Callable[[dict, dict], tuple[dict, dict]]
 
@@ -102,36 +104,81 @@ def linear_fold(df: DataFrame, column: str, out: str, rate: float, start: float
     return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {column} {kinds[column]}, {out} double")
 
 
-def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False) -> DataFrame:
+def kept(state: dict) -> str:
+    """A state as JSON that gives the same numbers back."""
+    return json.dumps(state, sort_keys=True, separators=(",", ":"), default=lambda x: x.tolist() if hasattr(x, "tolist") else list(x))
+
+
+def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False, restored: DataFrame | None = None) -> DataFrame:
     """Each entity's rows through step, in order: key, order, the columns of carry and those of out.
 
     Rows are sorted by Spark and folded as they stream through, so an entity of any length holds one state in memory.
     in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has; rows of
-    an entity that come out of order are an error.
+    an entity that come out of order are an error. restored (key, order, state), as `final_states` gives it, is the state
+    from before an entity's first row; rows up to that order are an error then.
     """
     carry = carry or []
-    names = [f.split()[0] for f in out.split(", ")]
+    reads = list(dict.fromkeys([*columns, *carry]))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if in_order and restored is not None:
+        raise ValueError("states are restored where rows are sorted")
+    run = _folder(step, reads, carry, [f.split()[0] for f in out.split(", ")], key, order, restored is not None)
+    carried = "".join(f"{c} {kinds[c]}, " for c in carry)
+    return _dealt(df, reads, key, order, in_order, restored).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")
+
+
+def final_states(df: DataFrame, step: Step, columns: list[str], key: str = "entity_id", order: str = "seq", restored: DataFrame | None = None) -> DataFrame:
+    """key, order, state: the order of each entity's last row and the state after it as JSON, which `fold` restores.
+
+    Entities of restored without rows in df keep their state.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    run = _folder(step, list(dict.fromkeys(columns)), [], None, key, order, restored is not None)
+    return _dealt(df, list(dict.fromkeys(columns)), key, order, False, restored).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")
+
+
+def _dealt(df: DataFrame, reads: list[str], key: str, order: str, in_order: bool, restored: DataFrame | None) -> DataFrame:
+    rows = df.select(key, order, *reads)
+    if in_order:
+        return rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: adaptive merging would see small rows, not the work a step is
+    if restored is None:
+        return rows.repartition(parts, key).sortWithinPartitions(key, order)
+    both = rows.withColumn("__state", F.lit(None).cast("string")).unionByName(restored.select(key, order, F.col("state").alias("__state")), allowMissingColumns=True)
+    return both.repartition(parts, key).sortWithinPartitions(key, F.asc_nulls_last("__state"), order)
+
+
+def _folder(step: Step, reads: list[str], carry: list[str], names: list[str] | None, key: str, order: str, restored: bool):
+    """The fold of one task: rows with the columns names, or, without names, each entity's last order and state."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, at, state = None, None, {}
         for batch in batches:
-            made, given = [], [plain(batch[c]) for c in reads]
-            keys, orders = batch[key].tolist(), batch[order].tolist()
-            for k, o, *values in zip(keys, orders, *given, strict=True):
+            made, ended, told = [], [], []
+            given = [plain(batch[c]) for c in reads]
+            states = plain(batch["__state"]) if restored else [None] * len(batch)
+            for n, (k, o, held, *values) in enumerate(zip(batch[key].tolist(), batch[order].tolist(), states, *given, strict=True)):
                 if k != last:
+                    if last is not None and names is None:
+                        ended.append((last, at, kept(state)))
                     last, at, state = k, None, {}
-                if at is not None and o < at:
+                if at is not None and (o < at or restored and known and o == at):
                     raise ValueError(f"rows of {key} {k} are out of order: {o} after {at}")
-                at = o
+                at, known = o, held is not None
+                if known:
+                    state = json.loads(held)
+                    continue
                 state, row = step(state, dict(zip(reads, values, strict=True)))
-                made.append(row)
-            yield pd.DataFrame({key: batch[key], order: batch[order], **{c: batch[c] for c in carry}, **{n: pd.Series([r[n] for r in made], index=batch.index) for n in names}})
-
-    reads = list(dict.fromkeys([*columns, *carry]))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    dealt = df.select(key, order, *reads)
-    if not in_order:  # by number: adaptive merging would see small rows, not the work a step is
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(parts, key).sortWithinPartitions(key, order)
-    carried = "".join(f"{c} {kinds[c]}, " for c in carry)
-    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")
+                if names is not None:
+                    made.append(row)
+                    told.append(n)
+            if names is None:
+                if ended:
+                    yield pd.DataFrame(ended, columns=[key, order, "state"])
+            else:
+                rows = batch if len(told) == len(batch) else batch.iloc[told]
+                yield pd.DataFrame({key: rows[key], order: rows[order], **{c: rows[c] for c in carry}, **{n: pd.Series([r[n] for r in made], index=rows.index) for n in names}})
+        if names is None and last is not None:
+            yield pd.DataFrame([(last, at, kept(state))], columns=[key, order, "state"])
+
+    return run

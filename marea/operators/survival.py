@@ -1,27 +1,89 @@
-"""Concordance of censored durations and block bootstrap, from counts rather than pairs of rows."""
+"""Concordance of censored durations, by merging counts over ranges, and block bootstrap, from counts rather than pairs of rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def later_and_larger(t: np.ndarray, p: np.ndarray, k: np.ndarray, m: np.ndarray) -> int:
+    """Sum of k[i] m[j] over t[j] > t[i], twice where p[j] > p[i] and once where equal; n log n sorted look-ups.
+
+    Two ranks of t differ first in one bit, which the later one has: each bit's groups meet once, ordered by p.
+    """
+    rank, size = np.unique(t, return_inverse=True)[1], np.unique(p, return_inverse=True)[1]
+    width, total = int(size.max(initial=0)) + 1, 0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        later, group = (rank >> bit & 1).astype(bool), (rank >> bit + 1) * width
+        points, events = later & (m > 0), ~later & (k > 0)
+        at = group[points] + size[points]
+        order = np.argsort(at, kind="stable")
+        at, sums = at[order], np.concatenate([[0], np.cumsum(m[points][order])])
+        own = group[events] + size[events]
+        above, below = sums[np.searchsorted(at, own, "right")], sums[np.searchsorted(at, own)]
+        twice = 2 * (sums[np.searchsorted(at, group[events] + width)] - above) + above - below
+        total += int((k[events] * twice).sum())
+    return total
+
+
 def concordance(df: DataFrame, key: str, predictor: str, kind: str, lower: str, upper: str) -> DataFrame:
     """key, pairs, score, concordance: how often, of two durations known to differ, the longer one has the larger predictor (equal: half).
 
     A duration is EXACT (lower), INTERVAL (up to upper) or RIGHT (at least lower). One pair is comparable if one ends
     before the other's lower; equal exact durations count half. Rows with null predictor or lower take no part; a key
-    without comparable pairs has null. Rows are first counted by distinct values, so that the meeting of values is as
-    large as the square of a key's distinct (predictor, duration) pairs, not of its rows.
+    without comparable pairs has null.
+
+    Rows are counted by distinct values and dealt into ranges of (key, time), then of (key, predictor). Two values meet in
+    one range of time, or in one range of predictors at different times, or in the grid of ranges, each time by sorted
+    look-ups in n log n; no join is made. A time that many rows share is a range of its own, in which none meet. A task
+    holds a range, or the grid of one key, whose sides are as long as there are shuffle partitions and such times.
     """
-    d = df.where(F.col(predictor).isNotNull() & F.col(lower).isNotNull())
-    end = F.when(F.col(kind) == "EXACT", F.col(lower)).when(F.col(kind) == "INTERVAL", F.col(upper))
-    later = d.groupBy(key, F.col(predictor).alias("p"), F.col(lower).alias("low")).agg(F.count(F.lit(1)).alias("m"))
-    events = d.withColumn("end", end).where("end is not null").groupBy(key, F.col(predictor).alias("q"), "end").agg(F.count(F.lit(1)).alias("k"))
-    won = F.when(F.col("p") > F.col("q"), 1.0).when(F.col("p") == F.col("q"), 0.5).otherwise(0.0)
-    met = events.join(later, key).where("low > end").groupBy(key).agg(F.sum(F.col("k") * F.col("m")).alias("pairs"), F.sum(won * F.col("k") * F.col("m")).alias("score"))
-    ties = d.where(F.col(kind) == "EXACT").groupBy(key, lower).agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.sum(F.expr("c * (c - 1) div 2")).alias("ties"))
-    both = met.join(ties, key, "full").select(key, (F.coalesce("pairs", F.lit(0)) + F.coalesce("ties", F.lit(0))).alias("pairs"), (F.coalesce("score", F.lit(0.0)) + 0.5 * F.coalesce("ties", F.lit(0))).alias("score"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.where(F.col(predictor).isNotNull() & F.col(lower).isNotNull()).select(F.col(key).alias("key"), F.col(predictor).cast("double").alias("p"), F.col(kind).alias("kind"), F.col(lower).cast("double").alias("low"), F.when(F.col(kind) == "EXACT", F.col(lower)).when(F.col(kind) == "INTERVAL", F.col(upper)).cast("double").alias("end"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    sides = F.array(F.struct(F.col("low").alias("t"), zero.alias("k"), one.alias("m")), F.struct(F.col("end").alias("t"), one.alias("k"), zero.alias("m")))
+    counted = d.select("key", "p", F.inline(sides)).where("t IS NOT NULL").groupBy("key", "p", "t").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
+    counted = counted.persist()
+    total = counted.count()
+    often = counted.groupBy("key", "t").count().where(F.col("count") > max(1000, total // (4 * parts)))  # 4 x parts at most
+    hot = often.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("hot"))
+    ranged = counted.repartitionByRange(parts, "key", "t").withColumn("part", F.spark_partition_id()).join(F.broadcast(hot), "key", "left")
+    place = F.coalesce(F.size(F.filter("hot", lambda x: x < F.col("t"))) * 2 + F.array_contains("hot", F.col("t")).cast("int"), F.lit(0))
+    timed = ranged.withColumns({"place": place, "alone": F.coalesce(F.array_contains("hot", F.col("t")), F.lit(False))}).drop("hot")
+    timed = timed.withColumn("tb", F.col("part").cast("long") * (8 * parts + 2) + F.col("place")).drop("part", "place").persist()
+    by_p = timed.groupBy("key", "p", "tb").agg(F.sum("k").alias("k"), F.sum("m").alias("m")).repartitionByRange(parts, "key", "p").withColumn("pb", F.spark_partition_id()).persist()
+    kinds = {f.name: f.dataType.simpleString() for f in timed.schema}
+    schema = f"key {kinds['key']}, halves long"
+
+    def halves(t: str, p: str):
+        def count(rows: pd.DataFrame) -> pd.DataFrame:
+            made = later_and_larger(*(rows[c].to_numpy() for c in (t, p, "k", "m")))
+            return pd.DataFrame({"key": rows["key"].iloc[:1], "halves": [made]})
+
+        return count
+
+    def above(rows: pd.DataFrame) -> pd.DataFrame:
+        """As halves over the grid, without the pairs of one range of predictors."""
+        t, p, k, m = (rows[c].to_numpy() for c in ("tb", "pb", "k", "m"))
+        same = sum(later_and_larger(t[p == x], p[p == x], k[p == x], m[p == x]) for x in np.unique(p))
+        return pd.DataFrame({"key": rows["key"].iloc[:1], "halves": [later_and_larger(t, p, k, m) - same]})
+
+    inside = timed.where(~F.col("alone")).groupBy("key", "tb").applyInPandas(halves("t", "p"), schema)
+    beside = by_p.groupBy("key", "pb").applyInPandas(halves("tb", "p"), schema)
+    grid = by_p.groupBy("key", "tb", "pb").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
+    apart = grid.groupBy("key").applyInPandas(above, schema)
+    won = inside.unionByName(beside).unionByName(apart).groupBy("key").agg(F.sum("halves").alias("halves"))
+    by_time = timed.groupBy("key", "tb", "t").agg(F.sum("k").alias("k"), F.sum("m").alias("m"))
+    in_block = Window.partitionBy("key", "tb").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = by_time.withColumn("after", F.sum("m").over(in_block)).groupBy("key", "tb").agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.coalesce(F.sum(F.col("k") * F.col("after")), F.lit(0)).alias("own"))
+    beyond = F.sum("m").over(Window.partitionBy("key").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1))
+    met = blocks.withColumn("beyond", F.coalesce(beyond, F.lit(0))).groupBy("key").agg(F.sum(F.expr("own + k * beyond")).alias("pairs"))
+    ties = d.where("kind = 'EXACT'").groupBy("key", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum(F.expr("c * (c - 1) div 2")).alias("ties"))
+    kinds_met = d.where("kind IN ('EXACT', 'INTERVAL', 'RIGHT')").select("key").distinct()
+    both = kinds_met.join(met, "key", "left").join(won, "key", "left").join(ties, "key", "left").fillna(0, ["pairs", "halves", "ties"])
+    both = both.select(F.col("key").alias(key), (F.col("pairs") + F.col("ties")).alias("pairs"), ((F.col("halves") + F.col("ties")) / 2).alias("score"))
     return both.withColumn("concordance", F.try_divide("score", F.when(F.col("pairs") > 0, F.col("pairs"))))
 
 
