@@ -277,11 +277,41 @@ def test_langid_margin_and_bound(spark):
     mixed = [model.predict(text("aa", 15) + " " + text("cc", 15)) for _ in range(40)]
     clean = [model.predict(text(k)) for k in letters for _ in range(40)]
     assert sum(x[2] for x in mixed) > 20 and sum(x[2] for x in clean) <= 2
-    assert langid.fit(df, max_langs=2).langs == ["aa", "bb"] and langid.fit(df, max_rows=1).langs[0] in letters
+    assert langid.fit(df, max_rows=1).langs[0] in letters
+    same = spark.createDataFrame([(None, text("aa"), "aa")] * 50 + [(1, text("bb"), "bb") for _ in range(30)], df.schema)  # repeated and null ids: rows count, repeated ones once
+    assert langid.fit(same, max_rows=2).langs == ["aa", "bb"] or langid.fit(same, max_rows=2).langs == ["bb"]
     got = langid.fit(df, max_rows=1).predict(text("aa"))
     assert got[1:3] == (1.0, False)
 
 
+def test_langid_learns_every_language(spark):
+    r = random.Random(11)
+    vocab = {f"l{k:03d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyzäöüéßñ", k=r.randint(3, 8))) for _ in range(25)] for k in range(600)}
+    rows = [(i, " ".join(r.choices(vocab[k], k=60)), k) for i, k in enumerate(list(vocab) * 4)] + [(99_999, " ".join(r.choices(vocab["l000"], k=60)), "l000")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(vocab)
+    told = model.predict_all([" ".join(r.choices(vocab[k], k=60)) for k in vocab])
+    assert sum(a == k for (a, *_), k in zip(told, vocab, strict=True)) > 590
+
+
+def test_langid_long_texts_are_scored_whole(monkeypatch):
+    r = random.Random(12)
+    text = " ".join("".join(r.choices("abcdé1 ", k=r.randint(1, 9))) for _ in range(2000)) + "z" * 500
+    whole = Counter(brute_slots(text))
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert Counter(x for part in langid.ngram_slots(text) for x in part.tolist()) == whole
+    counts = np.random.default_rng(1).integers(0, 9, (3, langid.SLOTS))
+    model = langid.Model(["a", "b", "c"], counts)
+    some = [text, None, "", "12 !", "abc", text[:100], "é"]
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        means, n = model.scores(some)
+        for k, t in enumerate(some):
+            slots = brute_slots(t or "") if t and any(map(str.isalpha, t)) else []
+            assert n[k] == len(slots) and np.allclose(means[k], model.odds[slots].mean(0) if slots else 0, atol=1e-4)
+
+
 def test_topk_is_brute_force(spark):
     r = random.Random(5)
     rows = [(i, [r.choice([-0.5, 0.25, 0.125]) for _ in range(4)]) for i in range(160)] + [(161, None), (162, [1.0, None, 0.0, 1.0]), (150, [0.1, 0.2, 0.3, 0.4]), (163, [1.0, float("nan"), 0.0, 0.0]), (164, [2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (200, [float("inf"), 0.0, 0.0, 0.0])]
