@@ -1,10 +1,13 @@
 """Removal of lines that repeat across the corpus in the company of a neighbour.
 
-A rolling hash spans two lines at every line, so chunks overlap: any two lines on end (not blank ones; blank lines
-between belong to the chunk) are one, so where a passage begins and ends in its host moves nothing. Only where asked for,
-a line of at least min_words words is a chunk of its own. Chunks that occur more than once are kept at their first place (smallest id, then
-position) and removed elsewhere, after their bytes were compared with those of the first: a passage of two lines or more,
-or a copy of a whole document, goes to its last line. A single line else stays.
+Every line is hashed once; a rolling hash goes over the hashes of two lines on end (blank lines between belong to them), and
+content alone chooses boundaries by it: a pair whose hash is the least of the `window` pairs to either side begins a chunk,
+which goes to the next such pair, so where a passage begins and ends in its host moves its inner boundaries by nothing.
+With window 1 every pair is a chunk and chunks overlap; a repeated passage of two lines or more then goes whole. With
+longer windows a chunk is longer, fewer are shuffled, and the ends of a passage outside its whole chunks stay. Only where
+asked for, a line of at least min_words words is a chunk of its own. Chunks that occur more than once are kept at their first
+place (smallest id, then position) and removed elsewhere, after their bytes were compared with those of the first. A
+single line else stays.
 """
 
 from __future__ import annotations
@@ -17,20 +20,43 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, fresh, hot_join, likely, written
 
+#: Factor of the rolling hash, modulo 2 ** 128: a fixed odd number.
+_ROLL, _MASK = 0x9E3779B97F4A7C15F39CC0605CEDC835, (1 << 128) - 1
 
-def chunks(text: str | None, min_words: int | None = None) -> list[tuple[int, int, bytes]]:
-    """(start, end, bytes) of the chunks of a text that may be removed: two lines on end, or a line of min_words words."""
+
+def chunks(text: str | None, min_words: int | None = None, window: int = 1) -> list[tuple[int, int, bytes]]:
+    """(start, end, rolled hash) of the chunks of a text that may be removed: lines start to end - 1."""
     lines = text.encode().split(b"\n") if text else []
-    out, before = [], None
+    pairs, single = [], []  # (first line, line after the last, hash); (line, hash)
+    before = rolled = None
     for k, line in enumerate(lines):
+        own = int.from_bytes(hashlib.blake2b(line, digest_size=16).digest(), "little")
+        if rolled is not None:
+            rolled = (rolled * _ROLL + own) & _MASK  # blank lines too
         if not line.strip():
             continue
         long = min_words is not None and len(line.split()) >= min_words
         if before is not None and not (long and before[1]):  # two long ones are found alone
-            out.append((before[0], k + 1, b"\n".join(lines[before[0] : k + 1])))
+            pairs.append((before[0], k + 1, rolled))
         if long:
-            out.append((k, k + 1, line))
-        before = k, long
+            single.append((k, k + 1, (own * _ROLL + 1) & _MASK))
+        before, rolled = (k, long), own
+    if window > 1:
+        pairs = _between_boundaries(pairs, window)
+    return [(s, e, h.to_bytes(16, "little")) for s, e, h in sorted(pairs + single)]
+
+
+def _between_boundaries(pairs: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int]]:
+    """Chunks from one pair whose hash is the least within window to the next one; their hash rolls over those of their pairs."""
+    hashes = [h for _, _, h in pairs]
+    chosen = [k for k, h in enumerate(hashes) if h == min(hashes[max(0, k - window + 1) : k + window])]
+    out = []
+    for a, z in zip(chosen, chosen[1:], strict=False):
+        if all(x[1] - 1 == y[0] for x, y in zip(pairs[a:z], pairs[a + 1 : z + 1], strict=True)):  # one after another
+            rolled = 0
+            for h in hashes[a:z]:
+                rolled = (rolled * _ROLL + h) & _MASK
+            out.append((pairs[a][0], pairs[z - 1][1], rolled))
     return out
 
 
@@ -39,10 +65,10 @@ def without_lines(text: str, gone: list[int]) -> str:
     return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None, window: int = 1) -> DataFrame:
     """docs with repeated chunks removed from text_col, and two columns more: lines_removed and lines_total.
 
-    min_words makes a single line of so many words a chunk; without it only two lines on end are. A chunk that overlaps its
+    min_words makes a single line of so many words a chunk; without it only lines on end are, by boundaries of window. A chunk that overlaps its
     own first place (a line many times on end) loses only what that place doesn't hold. A document that consists of
     repeated chunks only ends with the empty text. Null texts stay null (0 lines), rows of null id stay whole and count
     for nothing. Rows with one id and one text are one document, all treated alike. Other columns are carried as they are,
@@ -54,7 +80,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("array<struct<s:int,e:int,k:binary>>")
     def index(texts: pd.Series) -> pd.Series:
-        return pd.Series([[(s, e, hashlib.blake2b(b, digest_size=16).digest()) for s, e, b in chunks(t, min_words)] for t in texts], dtype=object)
+        return pd.Series([chunks(t, min_words, window) for t in texts], dtype=object)
 
     places = written(found.select("own", "i", "h", F.explode(index("t")).alias("c")).select("own", "i", "h", "c.*"), "chunks")
     order = F.struct("own", "h", "s")

@@ -390,6 +390,25 @@ def test_line_dedup_of_passages(spark, lines, words):
         assert got[k].text == ("\n".join(t.split("\n")[:3] + t.split("\n")[3 + lines :]) if k % 2 else t)
 
 
+@pytest.mark.parametrize("window", [2, 3])
+def test_line_dedup_by_boundaries(spark, window):
+    texts = []
+    for trial in range(30):
+        passage = [prose(12, (trial, k, window).__repr__()) for k in range(24)]
+        for copy in range(2):
+            host = [prose(12, (trial, k, copy, window).__repr__()) for k in range(6 + copy)]
+            texts.append("\n".join(host[:3] + passage + host[3:]))
+    left = [linededup.chunks(t, None, window) for t in texts]
+    assert sum(map(len, left)) < sum(len(linededup.chunks(t)) for t in texts) / window
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=window).collect()}
+    for k, t in enumerate(texts):
+        if k % 2:
+            gone = set(t.split("\n")) - set(got[k].text.split("\n"))
+            assert gone <= set(texts[k - 1].split("\n")) and got[k].lines_removed == len(gone) > 5  # inner chunks only
+        else:
+            assert got[k].text == t
+
+
 def test_line_dedup_is_brute_force(spark):
     r = random.Random(3)
     pool = [prose(r.choice([3, 9, 20, 55]), 900 + k) for k in range(30)]
