@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import released
+from .words import forget
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -142,6 +143,7 @@ def pack(
         if ids:
             yield packed(ids, tokens, sequence)[0]
         ids, tokens = [], []
+        forget()
         released()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,10 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lets Arrow batches hold so many rows at most: texts may be long, and a worker holds a batch several times over."""
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Lets Arrow batches hold so many rows and about so many bytes at most, in this session from now on: texts may be long, and a worker holds a batch several times over."""
     if int(spark.conf.get(_BATCH)) > rows:
         spark.conf.set(_BATCH, str(rows))
+    spark.conf.set(_BYTES, str(size))
 
 
 def released() -> None:

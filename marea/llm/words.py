@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words of a generation of a worker's memo; of the one before, those met again are carried over. No result depends on it.
-MEMO = 500_000
+#: Bytes of a generation of a worker's memo, about; of the one before, words met again are carried over. No result depends on it.
+MEMO = 64 << 20
+#: What a word takes beside its own bytes and those of its ids: two byte strings and an entry of a table.
+_ENTRY = 180
 
 #: Punctuation that, after a word and before white space, is a token run of its own; no quote and nothing that begins a special token.
 _TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
@@ -34,13 +36,18 @@ class WordTokenizer:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def forget(self) -> None:
+        """Drops all words: called as a task ends, since a worker goes on to other work."""
+        self.memo, self.before, self.size = {}, {}, 0
 
     def _learn(self, words: set[bytes], split: list[list[bytes]]) -> None:
         """Puts new words, and after a change of generation all words of split, into the memo."""
-        if len(self.memo) > MEMO:
-            self.memo, self.before = {}, self.memo
+        if self.size > MEMO:
+            self.memo, self.before, self.size = {}, self.memo, 0
             words = set().union(*split)
-        elif len(self.memo) > MEMO // 2:
+        elif self.size > MEMO // 2:
             self.before = {}
         memo, stems, plain, tails, other = self.memo, [], set(), set(), []
         for w in [w for w in words if w in self.before]:
@@ -66,6 +73,7 @@ class WordTokenizer:
             memo[text.encode()] = np.array(made.ids, "<u4").tobytes()
         for w, stem, tail in stems:
             memo[w] = memo[stem] + memo[tail]
+        self.size += sum(len(w) + len(memo[w]) + _ENTRY for found in (words, plain, tails) for w in found)
 
     @staticmethod
     def _words(text: str) -> list[bytes]:
@@ -94,7 +102,6 @@ def word_tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path not in _MADE:
             _MADE[path] = WordTokenizer(path)
-        _MADE[path].before = {}  # of the task before
         return _MADE[path].encode
 
     return get
@@ -113,3 +120,9 @@ def plain_word_tokenizer(path: str):
         return _MADE[path, "plain"].encode
 
     return get
+
+
+def forget() -> None:
+    """Drops the words of all tokenizers of this worker."""
+    for made in _MADE.values():
+        made.forget()
