@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import along
-
 
 def category(claim: Column, displacement: Column, slope: Column) -> Column:
     """How a path agrees with the direction claimed for it."""
@@ -18,81 +17,246 @@ def category(claim: Column, displacement: Column, slope: Column) -> Column:
     return F.when(claim == 0, "AMBIGUOUS/INCONCLUSIVE").when((dy > 0) & (db > 0), "CONTINUATION").when((dy >= 0) & (db <= 0), "WEAKENING").when((dy < 0) & (db < 0), "REVERSAL").otherwise("AMBIGUOUS/INCONCLUSIVE")
 
 
-def time_horizons(anchors: DataFrame, horizons: tuple[float, ...]) -> DataFrame:
-    """For rows (entity_id, seq, i, h, y, claim) and each horizon in the units of h: the path from a row to the first one at or after it.
+MOMENTS = ("xy", "xx", "xq", "qq", "qy", "yy", "length", "best")
+
 
-    i numbers an entity's rows from 1. The rows inside a horizon are a range frame; the one that ends it is found by its
-    number, in the same order, so no range join is made. A path holds what its frame holds. Rows without an end are left out.
+def path_moments(h: np.ndarray, y: np.ndarray, claim: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over each path, rows start + 1 to end of one entity, about its row start: of x, dy and q = x x / 2, the path's length and its best progress.
+
+    Short paths are laid out end to end and summed; long ones are differences of running sums about the middle of some
+    tens of path lengths, so that what cancels stays small, and their extremes come from a table of powers of two.
     """
-    w = along("entity_id", by=("h",))
-    out = []
-    for horizon in horizons:
-        inside = F.collect_list(F.struct("i", "h", "y")).over(w.rangeBetween(0, horizon))
-        a = anchors.select("entity_id", "seq", "i", "h", "y", "claim").withColumn("p", F.filter(inside, lambda r: (r["i"] > F.col("i")) & (r["h"] < F.col("h") + horizon)))
-        ends = anchors.select("entity_id", F.col("i").alias("e"), F.struct("i", "h", "y").alias("end"))
-        a = a.withColumn("e", F.col("i") + F.size("p") + 1).join(ends, ["entity_id", "e"]).withColumn("horizon", F.lit(horizon))
-        out.append(a.withColumn("p", F.concat("p", F.array("end"))))
-    a = out[0]
-    for more in out[1:]:
-        a = a.unionByName(more)
-    names = ("xy", "xx", "xq", "qq", "qy", "yy", "length", "best", "before")
-
-    def add(s, r):
-        x, y = r["h"] - F.col("h"), r["y"] - F.col("y")
-        made = (s["xy"] + x * y, s["xx"] + x * x, s["xq"] + x * x * x / 2, s["qq"] + x * x * x * x / 4, s["qy"] + x * x * y / 2, s["yy"] + y * y, s["length"] + F.abs(y - s["before"]), F.greatest(s["best"], F.col("claim") * y), y)
-        return F.struct(*[v.alias(k) for k, v in zip(names, made, strict=True)])
-
-    start = F.struct(*[F.lit(float("-inf") if k == "best" else 0.0).alias(k) for k in names])
-    a = a.withColumn("s", F.aggregate("p", start, add)).withColumn("n", F.size("p").cast("long"))
-    s = lambda k: F.col(f"s.{k}")
-    dy, slope, det = s("before"), s("xy") / s("xx"), s("xx") * s("qq") - s("xq") * s("xq")
-    two = lambda x: F.when(F.col("n") >= 2, x / det)
-    share = lambda x: F.when(s("length") == 0, 0.0).otherwise(x / s("length"))
-    left = F.greatest(F.lit(0.0), s("yy") - 2 * slope * s("xy") + slope * slope * s("xx"))
+    out = {k: np.zeros(len(start)) for k in MOMENTS}
+    n = end - start
+    longest = h[end] - h[start]
+    step = np.abs(np.diff(y, prepend=y[:1]))
+    direct = n <= 64
+    for at in _bounded(np.flatnonzero(direct), n, 1 << 20):
+        own = np.repeat(np.arange(len(at)), n[at])
+        row = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at]) + start[at][own] + 1
+        first = np.cumsum(n[at]) - n[at]
+        x, dy = h[row] - h[start[at]][own], y[row] - y[start[at]][own]
+        q = x * x / 2
+        for k, v in zip(MOMENTS, (x * dy, x * x, x * q, q * q, q * dy, dy * dy, step[row]), strict=False):
+            out[k][at] = np.add.reduceat(v, first)
+        out["best"][at] = np.maximum.reduceat(claim[at][own] * dy, first)
+    rest = np.flatnonzero(~direct)
+    if not len(rest):
+        return out
+    tables = [_extremes(s * y) for s in (1, -1)]
+    width = int(np.log2(n[rest].max()))
+    for at in np.split(rest, np.flatnonzero(np.diff(np.floor((h[start[rest]] - h[start[rest[0]]]) / (16 * np.median(longest[rest]))))) + 1):
+        a, z = start[at].min(), end[at].max() + 1
+        hc, yc = (h[a:z] - h[start[at[len(at) // 2]]]).astype(np.longdouble), (y[a:z] - y[start[at[len(at) // 2]]]).astype(np.longdouble)
+        sums = {}
+        for i in range(5):
+            for j in range(3):
+                if i + j <= 4 and (j < 2 or not i):
+                    sums[i, j] = np.concatenate([[0], np.cumsum(hc**i * yc**j)])
+        u, v = -hc[start[at] - a], -yc[start[at] - a]
+        over = {k: t[end[at] - a + 1] - t[start[at] - a + 1] for k, t in sums.items()}
+
+        def about(i: int, j: int) -> np.ndarray:
+            """The sum of x^i dy^j about the path's own row."""
+            total = 0
+            for p in range(i + 1):
+                for r in range(j + 1):
+                    total = total + comb(i, p) * comb(j, r) * over[p, r] * u ** (i - p) * v ** (j - r)  # noqa: B023
+            return total.astype(np.float64)
+
+        for k, (i, j, by) in {"xy": (1, 1, 1), "xx": (2, 0, 1), "xq": (3, 0, 2), "qq": (4, 0, 4), "qy": (2, 1, 2), "yy": (0, 2, 1)}.items():
+            out[k][at] = about(i, j) / by
+        travelled = np.concatenate([[0], np.cumsum(step[a:z])])
+        out["length"][at] = travelled[end[at] - a + 1] - travelled[start[at] - a + 1]
+    level = np.minimum(np.log2(n[rest]).astype(int), width)
+    for side, table in ((1, tables[0]), (-1, tables[1])):
+        mine = claim[rest] == side
+        r, lv = rest[mine], level[mine]
+        most = np.array([max(table[k][a + 1], table[k][z - (1 << k) + 1]) for k, a, z in zip(lv.tolist(), start[r].tolist(), end[r].tolist(), strict=True)])
+        out["best"][r] = most - side * y[start[r]] if len(r) else most
+    return out
+
+
+def _bounded(rows: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """rows in parts whose sizes sum to most at most."""
+    return [p for p in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // most)) + 1) if len(p)] if len(rows) else []
+
+
+def _extremes(v: np.ndarray) -> list[np.ndarray]:
+    """For each power of two, the greatest of so many values from each place on."""
+    out = [v]
+    while 2 << len(out) - 1 <= len(v):
+        half = 1 << len(out) - 1
+        out.append(np.maximum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None) -> DataFrame:
+    """For rows (entity_id, seq, h, y, claim) and each horizon in the units of h: the path from a row to the first one at or after it.
+
+    horizons are fixed lengths; named gives columns of anchors that hold each row's own length, by name (null, not finite
+    or not positive: none). Rows without an end are left out. An entity's rows stream by in the order of h; those whose
+    paths have no end yet are held, and work is done when as many again have come, so it grows with the rows.
+    """
+    named = named or {}
+    columns = [str(x) for x in horizons] + list(named)
+    lengths = anchors.select("entity_id", "seq", F.col("h").cast("double").alias("h"), F.col("y").cast("double").alias("y"), F.col("claim").cast("double").alias("claim"), *[F.lit(float(x)).alias(f"t{k}") for k, x in enumerate(horizons)], *[F.col(f"`{c}`").cast("double").alias(f"t{k}") for k, c in enumerate(named.values(), len(horizons))])
+    names = ["entity_id", "seq", "horizon", "requested", "n", "hours", "displacement", *MOMENTS, "claim"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, todo = None, 0  # rows of one entity; from todo on their paths have not been told
+
+        def told(rows: pd.DataFrame, key: int, final: bool) -> tuple[list[pd.DataFrame], int]:
+            """What is known of the rows from todo on, and up to which row nothing more will come."""
+            h, y, claim, seq = (rows[c].to_numpy() for c in ("h", "y", "claim", "seq"))
+            ends, made = [], []
+            for k in range(len(columns)):
+                t = rows[f"t{k}"].to_numpy()
+                fine = np.isfinite(t) & (t > 0)
+                end = np.maximum(np.searchsorted(h, h + np.where(fine, t, 0.0)), np.arange(len(h)) + 1)
+                ends.append(np.where(fine, end, 0))
+            last = np.max(ends, axis=0)
+            upto = len(h) if final else int(np.argmax(last[todo:] >= len(h))) + todo if (last[todo:] >= len(h)).any() else len(h)
+            for k, end in enumerate(ends):
+                at = todo + np.flatnonzero((end[todo:upto] > 0) & (end[todo:upto] < len(h)))
+                if len(at):
+                    m = path_moments(h, y, claim[at], at, end[at])
+                    made.append(pd.DataFrame({"entity_id": key, "seq": seq[at], "horizon": columns[k], "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
+            return made, upto
+
+        for batch in batches:
+            for key, rows in batch.groupby("entity_id", sort=False):
+                if held is not None and held["entity_id"].iloc[0] != key:
+                    yield from told(held, held["entity_id"].iloc[0], True)[0]
+                    held, todo = None, 0
+                if held is None:
+                    held, waiting = rows, 0
+                else:
+                    held = pd.concat([held, rows], ignore_index=True)
+                if len(held) - waiting >= max(4096, waiting):
+                    made, todo = told(held, key, False)
+                    yield from made
+                    held, todo = held.iloc[todo:].reset_index(drop=True), 0
+                    waiting = len(held)
+        if held is not None and len(held):
+            yield from told(held, held["entity_id"].iloc[0], True)[0]
+
+    parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lengths.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
+    kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
+    a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon string, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + ", claim double")
+    c = F.col
+    dy, slope, det = c("displacement"), c("xy") / c("xx"), c("xx") * c("qq") - c("xq") * c("xq")
+    two = lambda x: F.when(c("n") >= 2, x / det)
+    share = lambda x: F.when(c("length") == 0, 0.0).otherwise(x / c("length"))
+    left = F.greatest(F.lit(0.0), c("yy") - 2 * slope * c("xy") + slope * slope * c("xx"))
     return a.select(
-        "entity_id", "seq", "horizon", "n", (F.element_at("p", -1)["h"] - F.col("h")).alias("hours"), dy.alias("displacement"), slope.alias("slope"), two(s("xy") * s("qq") - s("qy") * s("xq")).alias("quadratic_slope"), two(s("xx") * s("qy") - s("xq") * s("xy")).alias("acceleration"),
-        s("length").alias("path_length"), share(F.abs(dy)).alias("efficiency"), share(F.sqrt(left / F.col("n"))).alias("deviation"), s("best").alias("max_progress"), (F.col("claim") * dy).alias("terminal_progress"), category(F.col("claim"), dy, slope).alias("category"),
+        "entity_id", "seq", "horizon", "requested", "n", "hours", dy.alias("displacement"), slope.alias("slope"), two(c("xy") * c("qq") - c("qy") * c("xq")).alias("quadratic_slope"), two(c("xx") * c("qy") - c("xq") * c("xy")).alias("acceleration"),
+        c("length").alias("path_length"), share(F.abs(dy)).alias("efficiency"), share(F.sqrt(left / c("n"))).alias("deviation"), F.when(c("claim") == 0, 0.0).otherwise(c("best")).alias("max_progress"), (c("claim") * dy).alias("terminal_progress"), category(c("claim"), dy, slope).alias("category"),
     )
 
 
+def first_reversals(h: np.ndarray, y: np.ndarray, claim: np.ndarray, h0: np.ndarray, y0: np.ndarray, begun: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For claims about (h0, y0), the first of the rows (h, y) from begun on where the path is beyond y0 against the claim and so is the sum of x dy, held before; len(h) if none, then also that sum.
+
+    All claims walk the rows at once, over stretches of a power of two. A stretch is passed whole if none of its values is
+    against the claim, or if even all of them at their least would leave the sum with it.
+    """
+    n = len(h)
+    hc, place, sums = h - h[0], begun.copy(), held.copy()
+    flip = claim
+    yc = y - y[0]
+    a, b, c = (np.concatenate([[0.0], np.cumsum(v)]) for v in (hc * yc, hc, yc))
+    lows = {s: [-t for t in _extremes(-s * y)] for s in (1.0, -1.0)}
+    u, v = h0 - h[0], y0 - y[0]
+
+    def total(i: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """With the claim's sign: the sum of claims i over rows from begun to before to."""
+        s = begun[i]
+        return flip[i] * (held[i] + a[to] - a[s] - u[i] * (c[to] - c[s]) - v[i] * (b[to] - b[s]) + (to - s) * u[i] * v[i])
+
+    levels = len(lows[1.0])
+    live, level = np.flatnonzero(place < n), np.zeros(len(claim), np.int64)
+    while len(live):
+        p, lv = place[live], level[live]
+        lv = np.minimum(lv, levels - 1)
+        lv = np.where(p + (1 << lv) > n, np.log2(np.maximum(n - p, 1)).astype(np.int64), lv)
+        low = np.empty(len(live))
+        for s in (1.0, -1.0):
+            for k in np.unique(lv[flip[live] == s]):
+                m = (flip[live] == s) & (lv == k)
+                low[m] = lows[s][k][p[m]]
+        below = flip[live] * y0[live] - low
+        size = 1 << lv
+        over = (below <= 0) | (total(live, p) - (h[p + size - 1] - h0[live]) * size * np.maximum(below, 0) > 0)
+        single = ~over & (lv == 0)
+        found = single.copy()
+        found[single] = (below[single] > 0) & (total(live[single], p[single] + 1) < 0)
+        goes = over | (single & ~found)
+        place[live] = np.where(goes, p + size, p)
+        level[live] = np.where(goes, lv + 1, lv - 1)
+        live = live[~found & (place[live] < n)]
+        level[live] = np.maximum(level[live], 0)
+    ended = place >= n
+    sums[ended] = flip[ended] * total(np.flatnonzero(ended), np.full(ended.sum(), n))
+    return np.minimum(place, n), sums
+
+
 def validity(anchors: DataFrame) -> DataFrame:
     """entity_id, seq, kind, lower, upper for rows (entity_id, seq, claim, h, y, gap): when the path first reverses a row's claim.
 
-    Rows stream by in order; claims that still stand are carried as arrays of running sums, so a row costs one vector
-    operation and memory holds the standing claims of one entity. A claim of 0 is INCONCLUSIVE.
+    An entity's rows stream by in the order of h; claims that stand are held with their running sum. Rows are taken in
+    blocks of a quarter of the standing claims at least, and a block is searched by all claims at once in steps of powers
+    of two, so the time of a row doesn't grow with the claims. A claim of 0 is INCONCLUSIVE.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seq, state = None, np.empty(0, np.int64), np.empty((6, 0))
+        key, rows, waiting = None, [], 0
+        none = pd.DataFrame({k: np.empty(0) for k in ("seq", "claim", "h", "y", "sum")})
+        standing, last = none, np.nan
+
+        def block() -> tuple[pd.DataFrame, pd.DataFrame, float]:
+            """(what ends in the rows waiting, what stands after them, their last h)."""
+            f = pd.concat(rows, ignore_index=True)
+            h, y, gap = f["h"].to_numpy(np.float64), f["y"].to_numpy(np.float64), f["gap"].fillna(False).to_numpy(bool)
+            new = f[f["claim"] != 0]
+            all_ = pd.concat([standing, pd.DataFrame({"seq": new["seq"], "claim": new["claim"].astype(float), "h": new["h"], "y": new["y"], "sum": 0.0})], ignore_index=True) if len(standing) else pd.DataFrame({"seq": new["seq"].to_numpy(), "claim": new["claim"].to_numpy(np.float64), "h": new["h"].to_numpy(np.float64), "y": new["y"].to_numpy(np.float64), "sum": np.zeros(len(new))})
+            begun = np.concatenate([np.zeros(len(standing), np.int64), np.flatnonzero(f["claim"].to_numpy() != 0) + 1])
+            h0 = all_["h"].to_numpy(np.float64)
+            at, sums = first_reversals(h, y, np.sign(all_["claim"].to_numpy(np.float64)), h0, all_["y"].to_numpy(np.float64), begun, all_["sum"].to_numpy(np.float64))
+            done = at < len(h)
+            where = at[done]
+            x = h[where] - h0[done]
+            before = np.where(where > 0, h[where - 1], last) - h0[done]
+            idle = f[f["claim"] == 0]["seq"].to_numpy()
+            ended = pd.DataFrame({"entity_id": key, "seq": np.concatenate([all_["seq"].to_numpy()[done], idle]).astype(np.int64), "kind": np.concatenate([np.where(gap[where], "INTERVAL", "EXACT"), np.full(len(idle), "INCONCLUSIVE")]), "lower": np.concatenate([np.where(gap[where], before, x), np.zeros(len(idle))]), "upper": np.concatenate([x, np.full(len(idle), np.nan)])})
+            return ended, all_.assign(sum=sums)[~done].reset_index(drop=True), h[-1]
 
-        def told(k, which, kind, lower, upper):
-            return pd.DataFrame({"entity_id": k, "seq": which, "kind": kind, "lower": lower, "upper": upper})
+        def right() -> pd.DataFrame:
+            return pd.DataFrame({"entity_id": key, "seq": standing["seq"].astype(np.int64), "kind": "RIGHT", "lower": last - standing["h"], "upper": np.nan})
 
         for batch in batches:
-            made = []
-            for k, s, claim, h, y, gap in batch[["entity_id", "seq", "claim", "h", "y", "gap"]].itertuples(index=False):
+            for k, part in batch.groupby("entity_id", sort=False):
                 if k != key:
-                    if len(seq):
-                        made.append(told(key, seq, "RIGHT", state[5], np.nan))
-                    key, seq, state = k, np.empty(0, np.int64), np.empty((6, 0))
-                if len(seq):
-                    x, dy = h - state[1], y - state[2]
-                    state[3] += x * dy
-                    state[4] += x * x
-                    ends = (state[0] * dy < 0) & (state[0] * state[3] < 0)
-                    if ends.any():
-                        made.append(told(k, seq[ends], "INTERVAL" if gap else "EXACT", state[5, ends] if gap else x[ends], x[ends]))
-                        seq, state, x = seq[~ends], state[:, ~ends], x[~ends]
-                    state[5] = x
-                if claim:
-                    seq, state = np.append(seq, s), np.append(state, [[claim], [h], [y], [0.0], [0.0], [0.0]], axis=1)
-                else:
-                    made.append(told(k, [s], "INCONCLUSIVE", 0.0, np.nan))
-            if made:
-                yield pd.concat(made, ignore_index=True)
-        if len(seq):
-            yield told(key, seq, "RIGHT", state[5], np.nan)
+                    if rows:
+                        ended, standing, last = block()
+                        yield ended
+                    if key is not None:
+                        yield right()
+                    key, rows, waiting, standing, last = k, [], 0, none, np.nan
+                rows.append(part)
+                waiting += len(part)
+                if waiting >= max(4096, len(standing) // 4):
+                    ended, standing, last = block()
+                    yield ended
+                    rows, waiting = [], 0
+        if rows:
+            ended, standing, last = block()
+            yield ended
+        if key is not None:
+            yield right()
 
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = anchors.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
+    typed = anchors.select("entity_id", "seq", F.col("claim").cast("double"), F.col("h").cast("double"), F.col("y").cast("double"), "gap")
+    dealt = typed.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
     return dealt.mapInPandas(run, "entity_id long, seq long, kind string, lower double, upper double").withColumn("upper", F.nanvl("upper", F.lit(None).cast("double")))

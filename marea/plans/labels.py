@@ -153,11 +153,28 @@ def anchors(spark, sf):
 def q_time_horizons(spark, sf):
     """Geometry of the path from each tick to the first one at or after 6, 24 and 72 hours; ticks without such a one are censored and left out."""
     return L.time_horizons(anchors(spark, sf), (6, 24, 72)).select(
-        "entity_id", "seq", "horizon", "n", F.round("hours", 4).alias("hours"), F.round(F.col("hours") - F.col("horizon"), 4).alias("overshoot"), r6("displacement").alias("displacement"), r6("slope").alias("slope"), F.round("quadratic_slope", 4).alias("quadratic_slope"), F.round("acceleration", 4).alias("acceleration"),
+        "entity_id", "seq", F.col("requested").cast("int").alias("horizon"), "n", F.round("hours", 4).alias("hours"), F.round(F.col("hours") - F.col("requested"), 4).alias("overshoot"), r6("displacement").alias("displacement"), r6("slope").alias("slope"), F.round("quadratic_slope", 4).alias("quadratic_slope"), F.round("acceleration", 4).alias("acceleration"),
         r6("path_length").alias("path_length"), r6("efficiency").alias("efficiency"), F.round("deviation", 4).alias("deviation"), r6("max_progress").alias("max_progress"), r6("terminal_progress").alias("terminal_progress"), "category",
     )
 
 
+_LENGTHS = {"half_life_0.5x": "half_life * 0.5", "half_life_1x": "half_life", "half_life_2x": "half_life * 2", "interval_1x": "interval"}
+
+
+@query(C.STATE + _ANCHOR[len(TICKS):] + f""", q AS (SELECT g.*, unnest([{', '.join(f"{{'name': '{k}', 'x': m.{x} / 60}}" for k, x in _LENGTHS.items())}]) AS z FROM g JOIN m USING (entity_id, seq)),
+  e AS (SELECT q.entity_id, q.seq, q.z, min(b.i) AS last_ FROM q JOIN g b ON b.entity_id = q.entity_id AND b.i > q.i AND b.h >= q.h + q.z.x GROUP BY 1, 2, 3),
+  p AS (SELECT e.entity_id, e.seq, e.z, a.claim, list({{'x': b.h - a.h, 'y': b.y - a.y}} ORDER BY b.i) AS p FROM e JOIN g a USING (entity_id, seq) JOIN g b ON b.entity_id = a.entity_id AND b.i > a.i AND b.i <= e.last_ GROUP BY 1, 2, 3, 4),
+  r AS (SELECT *, len(p) AS n, p[len(p)].x AS hours, p[len(p)].y AS dy, list_sum(list_transform(p, lambda r: r.x * r.y)) / list_sum(list_transform(p, lambda r: r.x * r.x)) AS slope, list_max(list_transform(p, lambda r: claim * r.y)) AS best,
+    list_sum(list_transform(range(1, len(p) + 1), lambda k: abs(p[k].y - CASE WHEN k > 1 THEN p[k - 1].y ELSE 0 END))) AS length FROM p)
+  SELECT entity_id, seq, z.name AS horizon, n, round(hours, 4) AS hours, round(dy, 6) AS displacement, round(slope, 3) AS slope, round(CASE WHEN length = 0 THEN 0 ELSE abs(dy) / length END, 6) AS efficiency, round(best, 6) AS max_progress, {_CATEGORY} AS category FROM r""")
+def q_adaptive_horizons(spark, sf):
+    """Geometry of each tick's path over half its half-life, once and twice it, and over its forward interval; here seconds of the model count as minutes, since ticks are hours apart."""
+    own = states(spark, sf).select("entity_id", "seq", *[(F.expr(x) / 60).alias(k) for k, x in _LENGTHS.items()])
+    a = anchors(spark, sf).join(own, ["entity_id", "seq"])
+    made = L.time_horizons(a, named={k: k for k in _LENGTHS})
+    return made.select("entity_id", "seq", "horizon", "n", F.round("hours", 4).alias("hours"), F.round("slope", 3).alias("slope"), *[r6(k).alias(k) for k in ("displacement", "efficiency", "max_progress")], "category")
+
+
 _VALID = _ANCHOR + """, p AS (SELECT a.entity_id, a.seq, a.claim, b.i, b.h - a.h AS x, b.y - a.y AS dy, b.gap, sum((b.h - a.h) * (b.y - a.y)) OVER k / sum((b.h - a.h) * (b.h - a.h)) OVER k AS slope, lag(b.h - a.h) OVER k AS before FROM g a JOIN g b ON b.entity_id = a.entity_id AND b.i > a.i WINDOW k AS (PARTITION BY a.entity_id, a.seq ORDER BY b.i)),
   f AS (SELECT entity_id, seq, arg_min({'x': x, 'gap': coalesce(gap, false), 'before': coalesce(before, 0)}, i) FILTER (WHERE claim * dy < 0 AND claim * slope < 0) AS first_, max(x) AS last_ FROM p GROUP BY 1, 2),
   d AS (SELECT g.entity_id, g.seq, g.claim, g.h, CASE WHEN first_ IS NULL THEN 'RIGHT' WHEN first_.gap THEN 'INTERVAL' ELSE 'EXACT' END AS kind, CASE WHEN first_ IS NULL THEN coalesce(last_, 0) WHEN first_.gap THEN first_.before ELSE first_.x END AS lower, first_.x AS upper FROM g LEFT JOIN f USING (entity_id, seq))"""
