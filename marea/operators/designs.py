@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,54 @@ def report(df: DataFrame, columns: list[str], key: str) -> DataFrame:
                 batch_row = {key: row[key], "n": row["n"], "n_columns": len(columns), "matrix_rank": len(kept), "rank_deficiency": len(columns) - len(kept), "retained": ";".join(columns[i] for i in kept), "excluded": ";".join(columns[i] for i in depends)}
                 yield pd.DataFrame([batch_row | {"depends": {columns[i]: columns[d] if d >= 0 else "" for i, d in depends.items()}, "condition": condition, "smallest": float(singular[0]), "largest": float(singular[-1])}])
 
-    import pandas as pd
-
     kind = df.schema[key].dataType.simpleString()
     out = f"{key} {kind}, n long, n_columns int, matrix_rank int, rank_deficiency int, retained string, excluded string, depends map<string,string>, condition double, smallest double, largest double"
     return moments(df, columns, [key]).mapInPandas(work, out)
+
+
+def groups_of(gram: np.ndarray, tolerance: float = 1e-9, least: float = 1e-6) -> list[list[int]]:
+    """Groups of columns tied by linear dependencies: each spanned column with those of the kept ones that it takes part of; groups that share a column are one.
+
+    A kept column counts if it makes least of the spanned one's length or more. A column of zeros is in no group.
+    """
+    kept, depends = independent(gram, tolerance)
+    scale = np.sqrt(np.maximum(np.diag(gram), 0))
+    leader = list(range(len(gram)))
+
+    def find(i: int) -> int:
+        while leader[i] != i:
+            leader[i] = leader[leader[i]]
+            i = leader[i]
+        return i
+
+    for j in (j for j, d in depends.items() if d >= 0):
+        before = [i for i in kept if i < j]
+        own = gram[np.ix_(before, before)] / np.outer(scale[before], scale[before])
+        weights = np.linalg.lstsq(own, gram[before, j] / (scale[before] * scale[j]), rcond=None)[0]
+        for i in np.flatnonzero(np.abs(weights) >= least).tolist():
+            a, b = find(before[i]), find(j)
+            leader[max(a, b)] = min(a, b)
+    found: dict[int, list[int]] = {}
+    for i in range(len(gram)):
+        found.setdefault(find(i), []).append(i)
+    return [g for g in found.values() if len(g) > 1]
+
+
+def dependency_groups(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """key, n, dependency (from 1), members, n_members and surplus (members beyond their rank) of each group of tied columns, by key; keys without any have no row."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                gram = np.zeros((len(columns),) * 2)
+                for i, j in pairs:
+                    gram[i, j] = gram[j, i] = row[f"{columns[i]}_{columns[j]}"]
+                for n, group in enumerate(groups_of(gram), 1):
+                    rank = len(independent(gram[np.ix_(group, group)])[0])
+                    rows.append((row[key], row["n"], n, ";".join(columns[i] for i in group), len(group), len(group) - rank))
+            yield pd.DataFrame(rows, columns=[key, "n", "dependency", "members", "n_members", "surplus"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return moments(df, columns, [key]).mapInPandas(work, f"{key} {kind}, n long, dependency int, members string, n_members int, surplus int")

@@ -151,6 +151,19 @@ def q_design_report(spark, sf):
     return r.select("l_returnflag", "n", "n_columns", "matrix_rank", "rank_deficiency", "retained", "excluded", F.array_join(F.map_keys(F.map_filter("depends", lambda _, v: v == "tax")), ";").alias("depends_on_tax"), S.condition_class(F.col("condition")).alias("classification"))
 
 
+_TIED = {"one": "1.0", "quantity": "l_quantity", "discount": "l_discount * 100", "tax": "CASE WHEN l_linestatus = 'F' THEN l_tax * 100 ELSE l_discount * 300 END", "mix": "l_quantity - 2 * l_discount * 100", "price": "l_extendedprice / 1000"}
+
+
+@query("WITH x AS (SELECT l_linestatus, " + ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in _TIED.items()) + """ FROM lineitem), d AS (SELECT l_linestatus, count(*) AS n, max(abs(mix - quantity + 2 * discount)) < 1e-9 AS mixed, abs(regr_r2(tax, discount) - 1) < 1e-9 AND abs(regr_intercept(tax, discount)) < 1e-9 AS taxed FROM x GROUP BY 1)
+  SELECT l_linestatus, n, 1 AS dependency, CASE WHEN taxed THEN 'quantity;discount;tax;mix' ELSE 'quantity;discount;mix' END AS members, CASE WHEN taxed THEN 4 ELSE 3 END AS n_members, CASE WHEN taxed THEN 2 ELSE 1 END AS surplus FROM d WHERE mixed""")
+def q_dependency_groups(spark, sf):
+    """Columns tied by linear dependencies, by phase: line status F has one, O a second one that shares a column."""
+    from ..operators.designs import dependency_groups
+
+    x = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linestatus", *[F.expr(e).cast("double").alias(k) for k, e in _TIED.items()])
+    return dependency_groups(x, list(_TIED), "l_linestatus")
+
+
 # Baselines and controls
 
 

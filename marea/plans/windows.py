@@ -361,8 +361,16 @@ def q_spearman(spark, sf):
     t = ticks(spark, sf).select("label", "price", "volume")
     pairs = t.groupBy("label", "price", "volume").agg(F.count(F.lit(1)).alias("times"))  # ranks are joined to pairs of values, and these counted again
     ranked = pairs.join(average_ranks(t, ["label"], "price", "a"), ["label", "price"]).join(average_ranks(t, ["label"], "volume", "b"), ["label", "volume"])
-    t = ranked.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return t.groupBy("label").agg(r6(F.corr("a", "b")).alias("spearman"), r6(F.corr("price", "volume")).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    # Moments of pairs weighted by how often they occur, about the mean ranks and near the mean values, so that nothing is repeated.
+    near = t.groupBy("label").agg(F.avg("price").alias("price_0"), F.avg("volume").alias("volume_0"), F.count(F.lit(1)).alias("n"))
+    x = ranked.join(near, "label").withColumns({"a": F.col("a") - (F.col("n") + 1) / 2, "b": F.col("b") - (F.col("n") + 1) / 2, "price": F.col("price") - F.col("price_0"), "volume": F.col("volume") - F.col("volume_0")})
+
+    def corr(u: str, v: str):
+        total = lambda e: F.sum(F.col("times") * e)
+        n, su, sv = F.sum("times"), total(F.col(u)), total(F.col(v))
+        return (n * total(F.col(u) * F.col(v)) - su * sv) / F.sqrt((n * total(F.col(u) * F.col(u)) - su * su) * (n * total(F.col(v) * F.col(v)) - sv * sv))
+
+    return x.groupBy("label").agg(r6(corr("a", "b")).alias("spearman"), r6(corr("price", "volume")).alias("pearson"), F.sum("times").alias("n"))
 
 
 @query(TICKS + f""", r AS (SELECT *, list(label) OVER p AS before FROM t WINDOW p AS (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)) SELECT entity_id, seq, len(before) AS held, array_to_string(before, ',') AS context FROM r WHERE seq > 15""")
