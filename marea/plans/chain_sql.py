@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from ..operators import models as M
 from .registry import TICKS
 
+class M:
+    """Fixed values of the state model, written out once more: the SQL takes nothing from the code it checks."""
+
+    ACCELERATION_BOUND = 200.0
+    COHERENCE_WEIGHTS = {"level": 1.0, "velocity": 1.0, "acceleration": 0.8, "volume": 0.7}
+    CURVATURE_BOUND = 200.0
+    EPSILON = 1e-08
+    GAP_SECONDS = 5.0
+    HALF_LIFE = 120.0
+    HALF_LIFE_LEAST = 15.0
+    HALF_LIFE_MOST = 900.0
+    INTERVAL = 60.0
+    INTERVAL_LEAST = 10.0
+    INTERVAL_MOST = 600.0
+    MULTIPLIER_MOST = 1.5
+    PERSISTENCE_RATE = 0.2
+    QUALITY_FLOOR = 0.5
+    RATE = 0.05
+    RATE_LEARNING = 0.005
+    RATE_LEARNING_LEAST = 0.0001
+    RATE_LEARNING_MOST = 0.05
+    RATE_LEAST = 0.001
+    RATE_MOST = 0.2
+    REVERSAL_WEIGHTS = {"bias": -1.2, "oppose": 1.0, "against": 0.8, "impersistence": 0.7, "extreme": 0.8, "uncertainty": 0.6}
+    STRENGTH_WEIGHTS = {"bias": -0.25, "volume": 0.8, "velocity": 0.35, "acceleration": 0.2, "coherence": 1.0, "uncertainty": -1.1}
+    UNCERTAINTY_WEIGHTS = {"bias": -1.0, "innovation": 1.0, "incoherence": 0.8, "structural": 0.8, "quality": 1.0, "instability": 0.5}
+    VELOCITY_BOUND = 50.0
+    VOLUME_MOST = 3.0
+    VOLUME_RATE = 0.05
+
+
 RECURSIVE_TICKS = TICKS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
 
 

@@ -54,6 +54,31 @@ def q_session_class(spark, sf):
     return e.select("event_id", S.session_class(F.col("ts")).alias("session"), S.minute_of_session(F.col("ts")).cast("long").alias("minute"))
 
 
+@query("""SELECT event_id, CASE WHEN m BETWEEN 570 AND 959 THEN 'REGULAR' WHEN m BETWEEN 240 AND 569 THEN 'PREMARKET' WHEN m BETWEEN 960 AND 1199 THEN 'AFTERHOURS' ELSE 'UNKNOWN' END AS session FROM (SELECT *, hour(date_trunc('hour', ts)) * 60 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE minute(ts) END AS m FROM events)""")
+def q_session_strict(spark, sf):
+    """Sessions that end before 20:00, not with it; each seventh tick is moved to its full hour, so that edges are met."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    ts = F.when(F.col("event_id") % 7 == 0, F.date_trunc("hour", "ts")).otherwise(F.col("ts"))
+    return e.select("event_id", S.session_class(ts, end_inclusive=False).alias("session"))
+
+
+@query(TICKS + " SELECT entity_id, seq, price, volume, CAST(NULL AS DOUBLE) AS bid, true AS has_price, false AS has_bid FROM t WHERE seq >= 5 AND seq < 25")
+def q_replayed(spark, sf):
+    """Rows 5 to 24 of each entity as a replay hands them on: the bid that the table lacks is null, and said to be missing."""
+    from ..sources.ticks import replayed
+
+    r = replayed(ticks(spark, sf), 5, 25, ("price", "bid"))
+    return r.select("entity_id", "seq", "price", "volume", "bid", F.col("available")["price"].alias("has_price"), F.col("available")["bid"].alias("has_bid"))
+
+
+@query(TICKS + " SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY event_time, event_id) AS audit_seq FROM t")
+def q_audit_sequence(spark, sf):
+    """The sequence numbers of an append-only audit sink per label."""
+    from ..sources.ticks import audited
+
+    return audited(ticks(spark, sf), ["label"], ["event_time", "event_id"]).select("label", "event_id", "audit_seq")
+
+
 @query(TICKS + f" SELECT entity_id, CASE WHEN count(*) FILTER (WHERE d < 0) = 0 THEN 'ASC' WHEN count(*) FILTER (WHERE d > 0) = 0 THEN 'DESC' ELSE 'MIXED' END AS chronology FROM (SELECT entity_id, event_id - lag(event_id) OVER {W} AS d FROM t) GROUP BY 1")
 def q_chronology(spark, sf):
     d = ticks(spark, sf).withColumn("d", F.col("event_id") - F.lag("event_id").over(along("entity_id")))
