@@ -33,7 +33,7 @@ def concordance(df: DataFrame, key: str, predictor: str, kind: str, lower: str,
 
     A duration is EXACT (lower), INTERVAL (up to upper) or RIGHT (at least lower). One pair is comparable if one ends
     before the other's lower; equal exact durations count half. Rows with null predictor or lower take no part; a key
-    without comparable pairs has null.
+    with exact durations but no comparable pairs has null, one without either has no row.
 
     Rows are counted by distinct values and dealt into ranges of (key, time), then of (key, predictor). Two values meet in
     one range of time, or in one range of predictors at different times, or in the grid of ranges, each time by sorted
@@ -82,7 +82,7 @@ def concordance(df: DataFrame, key: str, predictor: str, kind: str, lower: str,
     met = blocks.withColumn("beyond", F.coalesce(beyond, F.lit(0))).groupBy("key").agg(F.sum(F.expr("own + k * beyond")).alias("pairs"))
     ties = d.where("kind = 'EXACT'").groupBy("key", "low").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum(F.expr("c * (c - 1) div 2")).alias("ties"))
     kinds_met = d.where("kind IN ('EXACT', 'INTERVAL', 'RIGHT')").select("key").distinct()
-    both = kinds_met.join(met, "key", "left").join(won, "key", "left").join(ties, "key", "left").fillna(0, ["pairs", "halves", "ties"])
+    both = kinds_met.join(met, "key", "left").join(won, "key", "left").join(ties, "key", "left").where("pairs > 0 OR ties IS NOT NULL").fillna(0, ["pairs", "halves", "ties"])
     both = both.select(F.col("key").alias(key), (F.col("pairs") + F.col("ties")).alias("pairs"), ((F.col("halves") + F.col("ties")) / 2).alias("score"))
     return both.withColumn("concordance", F.try_divide("score", F.when(F.col("pairs") > 0, F.col("pairs"))))
 
