@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import labels as L
+from ..operators import scorecard
 from ..operators.exact import quantiles
 from ..operators.folds import fold
 from ..operators.models import gradient_step
@@ -224,6 +225,60 @@ def q_calibration(spark, sf):
     return e.groupBy("perturbation_class").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs(c("uncertainty") - F.least(F.lit(1.0), c("err") * 20)))).alias("calibration"), r6(F.avg(F.abs(c("persistence") - c("p1")))).alias("persistence_error"), F.round(F.avg(F.abs(c("half_life") - c("h1"))), 5).alias("half_life_error"))
 
 
+# Dimensions
+
+_DIMENSIONS = C.STATE + _ANCHOR[len(TICKS):] + """, ze AS (SELECT g.entity_id, g.seq, min(b.i) AS last_ FROM g JOIN g b ON b.entity_id = g.entity_id AND b.i > g.i AND b.h >= g.h + 24 GROUP BY 1, 2),
+  zp AS (SELECT ze.entity_id, ze.seq, list({'x': b.h - a.h, 'y': b.y - a.y} ORDER BY b.i) AS p FROM ze JOIN g a USING (entity_id, seq) JOIN g b ON b.entity_id = a.entity_id AND b.i > a.i AND b.i <= ze.last_ GROUP BY 1, 2),
+  zs AS (SELECT *, len(p) AS n, p[len(p)].y AS dy, list_sum(list_transform(p, lambda r: r.x * r.y)) AS xy, list_sum(list_transform(p, lambda r: r.x * r.x)) AS xx, list_sum(list_transform(p, lambda r: r.y * r.y)) AS yy, list_sum(list_transform(range(1, len(p) + 1), lambda k: abs(p[k].y - CASE WHEN k > 1 THEN p[k - 1].y ELSE 0 END))) AS length FROM zp),
+  zg AS (SELECT zs.*, g.claim, g.h, xy / xx AS slope, CASE WHEN length = 0 THEN 0 ELSE abs(dy) / length END AS efficiency, CASE WHEN length = 0 THEN 0 ELSE sqrt(greatest(0, yy - xy * xy / xx) / n) / length END AS deviation FROM zs JOIN g USING (entity_id, seq)),
+  zc AS (SELECT *, """ + _CATEGORY + """ AS category, CAST(floor(h / 30) AS BIGINT) AS block FROM zg),
+  zr AS (SELECT zc.*, m.strength, m.coherence, m.uncertainty, m.perturbation, m.perturbation_class, m.velocity, ((1 - efficiency) + deviation / (1 + deviation) + CASE WHEN category = 'AMBIGUOUS/INCONCLUSIVE' THEN 1 ELSE 0 END) / 3 AS ambiguity FROM zc JOIN m USING (entity_id, seq)),
+  zo AS (SELECT unnest([{'dimension': 'strength', 'x': strength, 'y': abs(slope) * efficiency}, {'dimension': 'coherence', 'x': coherence, 'y': efficiency}, {'dimension': 'uncertainty', 'x': uncertainty, 'y': ambiguity}, {'dimension': 'perturbation_magnitude', 'x': perturbation, 'y': abs(dy)}]) AS d, block FROM zr),
+  zk AS (SELECT d.dimension AS dimension, block, rank() OVER (PARTITION BY d.dimension ORDER BY d.x) + (count(*) OVER (PARTITION BY d.dimension, d.x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY d.dimension ORDER BY round(d.y * 1048576)) + (count(*) OVER (PARTITION BY d.dimension, round(d.y * 1048576)) - 1) / 2.0 AS b FROM zo),
+  ce AS (SELECT dimension, 'ordinal' AS kind, count(DISTINCT block) AS blocks, corr(a, b) AS effect FROM zk GROUP BY 1
+    UNION ALL SELECT 'state_kinematics', 'agreement', count(DISTINCT block), avg(CASE WHEN claim * slope > 0 THEN 1.0 ELSE 0.0 END) - 0.5 FROM zr WHERE claim * slope <> 0
+    UNION ALL SELECT 'class_weakening', 'contrast', count(DISTINCT block), avg(CASE WHEN category = 'WEAKENING' THEN 1.0 ELSE 0.0 END) FILTER (WHERE perturbation_class = 'CONTRADICTING') - avg(CASE WHEN category = 'WEAKENING' THEN 1.0 ELSE 0.0 END) FILTER (WHERE perturbation_class = 'REINFORCING') FROM zr
+    UNION ALL SELECT 'class_reversal', 'contrast', count(DISTINCT block), avg(CASE WHEN category = 'REVERSAL' THEN 1.0 ELSE 0.0 END) FILTER (WHERE perturbation_class = 'REVERSING') - avg(CASE WHEN category = 'REVERSAL' THEN 1.0 ELSE 0.0 END) FILTER (WHERE perturbation_class = 'REINFORCING') FROM zr)"""
+
+
+def _scored(spark, sf):
+    """Anchors with the state model's dimensions, their path of 24 hours and their duration."""
+    a = anchors(spark, sf)
+    paths = L.time_horizons(a, (24,)).select("entity_id", "seq", "displacement", "slope", "efficiency", "deviation", "category")
+    s = states(spark, sf).select("entity_id", "seq", "strength", "coherence", "uncertainty", "perturbation", "perturbation_class", "persistence", "reversal", "half_life", "interval")
+    return a.select("entity_id", "seq", "claim", F.floor(F.col("h") / 30).alias("block")).join(s, ["entity_id", "seq"]).persist(), paths, a
+
+
+def _block_sums(spark, sf):
+    c = F.col
+    own, paths, _ = _scored(spark, sf)
+    r = own.join(paths, ["entity_id", "seq"]).persist()  # read by each kind of scorer
+    ambiguity = S.ambiguity_index(c("efficiency"), c("deviation"), c("category"))
+    pairs = {"strength": (c("strength"), F.abs("slope") * c("efficiency")), "coherence": (c("coherence"), c("efficiency")), "uncertainty": (c("uncertainty"), ambiguity), "perturbation_magnitude": (c("perturbation"), F.abs("displacement"))}
+    pairs = {k: (x, F.round(y * 1048576)) for k, (x, y) in pairs.items()}  # on a grid, so that ties are ties
+    k = c("perturbation_class")
+    contrasts = {"class_weakening": (k, "REINFORCING", "CONTRADICTING", c("category") == "WEAKENING"), "class_reversal": (k, "REINFORCING", "REVERSING", c("category") == "REVERSAL")}
+    return [scorecard.ordinal(r, pairs, "block"), scorecard.agreement(r, {"state_kinematics": (c("claim"), c("slope"))}, "block"), scorecard.contrast(r, contrasts, "block")]
+
+
+@query(_DIMENSIONS + " SELECT dimension, kind, CAST(blocks AS BIGINT) AS blocks, round(effect, 6) AS effect FROM ce")
+def q_dimension_effects(spark, sf):
+    """Effects of the ordinal, agreement and contrast dimensions over paths of 24 hours."""
+    return scorecard.effects(scorecard.together(*_block_sums(spark, sf))).withColumn("effect", r6("effect"))
+
+
+@query()
+def q_dimension_evidence(spark, sf):
+    """All dimensions, the censored ones too (persistence, reversal, half-life, interval against durations), with intervals over blocks, support and what they allow to say."""
+    own, _, a = _scored(spark, sf)
+    d = own.join(L.validity(a.select("entity_id", "seq", "claim", "h", "y", "gap")), ["entity_id", "seq"])
+    c = F.col
+    whole, inside = scorecard.censored(d, {"persistence": c("persistence"), "reversal_propensity": -c("reversal"), "half_life": c("half_life"), "forward_interval": c("interval")}, "block")
+    made = scorecard.evidence(scorecard.together(*_block_sums(spark, sf), inside)).join(whole.select("dimension", (F.col("concordance") - 0.5).alias("over_all")), "dimension", "left")
+    rounded = made.withColumn("effect", F.coalesce("over_all", "effect")).drop("over_all")
+    return rounded.select("dimension", "kind", "blocks", *[r6(k).alias(k) for k in ("effect", "lo", "hi")], "failures", "support", S.evidence_class(c("effect"), c("lo"), c("hi"), c("support")).alias("evidence"))
+
+
 # Online learning
 
 _GRADIENT = C.RECURSIVE_TICKS + ", o AS (SELECT *, price / 500 AS x1, volume / 100 AS x2, price / 500 * volume / 100 AS x3, CASE WHEN label = 'purchase' THEN 1.0 ELSE 0.0 END AS y FROM t), " + C.recursion(
