@@ -39,7 +39,7 @@ _UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
 #: Below this code point the pattern's classes are the same in every Unicode version; units beyond are cut by the library's own.
 _SETTLED = "\u0530"
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
-_NO_RANK = 1 << 60
+_NO_RANK = 1 << 30
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
@@ -177,8 +177,8 @@ class Merges:
         self.rank = {(vocabulary[a], vocabulary[b]): (k, vocabulary[a + b]) for k, (a, b) in enumerate(pairs)}
         keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
         order = np.argsort(keys)
-        self.pair, self.rank_of_pair = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
-        self.made = np.zeros(len(pairs) + 1, np.int64)
+        self.pair, self.rank_of_pair = keys[order], np.array([r for r, _ in self.rank.values()], np.int32)[order]
+        self.made = np.zeros(len(pairs) + 1, np.int32)
         self.made[[r for r, _ in self.rank.values()]] = [i for _, i in self.rank.values()]
         self.spell_pieces = Spelling([self.pieces.get(i, b"") for i in range(max(self.pieces) + 1)])
         self.spell_numbers = Spelling([b"%d," % i for i in range(max(self.pieces) + 1)])
@@ -196,31 +196,33 @@ class Merges:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.pair):
-            return np.full(left.shape, _NO_RANK)
-        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+            return np.full(left.shape, _NO_RANK, np.int32)
+        key = left.astype(np.int64) << 32 | right  # that of a place beyond the word, -1, is negative and met nowhere
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.rank_of_pair[at], _NO_RANK)
+        return np.where(self.pair[at] == key, self.rank_of_pair[at], np.int32(_NO_RANK))
 
     def _merge_together(self, words: list[bytes], names: list[int], out: list[bytes]) -> None:
         lengths, name = np.array(list(map(len, words))), np.array(names)
-        ids = np.full((len(words), int(lengths.max()) + 1), -1, np.int64)
-        ids[np.arange(ids.shape[1]) < lengths[:, None]] = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
+        ids = np.full((len(words), int(lengths.max()) + 1), -1, np.int32)
+        ids[np.arange(ids.shape[1]) < lengths[:, None]] = np.array(self.single, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
         rank = self._ranks(ids[:, :-1], ids[:, 1:])
         while len(ids):
             at = rank.argmin(1)  # the first of the least
             least = rank[np.arange(len(ids)), at]
             if (done := least == _NO_RANK).any():
-                for k, row in zip(name[done].tolist(), ids[done].astype("<i4"), strict=True):
-                    out[k] = row[row >= 0].tobytes()
+                rows = ids[done]
+                held = rows >= 0
+                raw, ends = rows[held].astype("<i4").tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+                for k, a, z in zip(name[done].tolist(), [0, *ends], ends, strict=False):
+                    out[k] = raw[a:z]
                 ids, rank, at, least, name = ids[~done], rank[~done], at[~done], least[~done], name[~done]
                 if not len(ids):
                     break
             row, n = np.arange(len(ids)), ids.shape[1]
-            cols = np.arange(n - 1)
-            ids = np.take_along_axis(ids, cols + (cols > at[:, None]), 1)
+            cols = np.arange(n, dtype=at.dtype)
+            ids = ids[cols != at[:, None] + 1].reshape(len(row), n - 1)  # the right part goes, the left one is the merged
             ids[row, at] = self.made[least]
-            cols = cols[:-1]
-            rank = np.take_along_axis(rank, cols + (cols >= at[:, None]), 1)
+            rank = rank[cols[:-1] != at[:, None]].reshape(len(row), n - 2)
             before, after = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
             rank[before, at[before] - 1] = self._ranks(ids[before, at[before] - 1], ids[before, at[before]])
             rank[after, at[after]] = self._ranks(ids[after, at[after]], ids[after, at[after] + 1])
@@ -274,7 +276,7 @@ class Encoder:
     def pretokens(self, unit: str) -> list[bytes]:
         head = unit[1:] if unit[0] == " " else unit
         stem = head.rstrip(_TAIL)
-        if stem.isalpha() and max(stem) < _SETTLED:  # a word, perhaps with a run of punctuation
+        if stem.isalpha() and (stem.isascii() or max(stem) < _SETTLED):  # a word, perhaps with a run of punctuation
             cut = len(unit) - len(head) + len(stem)
             return [unit.encode()] if cut == len(unit) else [unit[:cut].encode(), unit[cut:].encode()]
         if max(unit) < _SETTLED:
@@ -289,6 +291,8 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of new units; the short ones are remembered."""
+        if not units:
+            return {}
         split = {u: self.pretokens(u) for u in units}
         words = list({w for ws in split.values() for w in ws})
         known = dict(zip(words, self.lexicon.lookup(words) if self.lexicon else [None] * len(words), strict=True))
@@ -306,12 +310,11 @@ class Encoder:
                 self.memo.clear()
             self.memo.update(added)
             split = [self.units(t) for t in texts[at : at + 128]]
-            memo = self.memo
-            if new := set().union(*split).difference(memo):
-                made = self._learn(list(new))
-                if any(len(u) > LONG for u in made):
-                    memo = memo | made
-            out += [b"".join(map(memo.__getitem__, units)) for units in split]
+            known = [list(map(self.memo.get, units)) for units in split]
+            some = [None in ids for ids in known]
+            made = self._learn(list({u for units, ids, new in zip(split, known, some, strict=True) if new for u, x in zip(units, ids, strict=True) if x is None}))
+            for units, ids, new in zip(split, known, some, strict=True):
+                out.append(b"".join([made[u] if x is None else x for u, x in zip(units, ids, strict=True)] if new else ids))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
