@@ -62,7 +62,7 @@ def test_sql(spark, tmp_path, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/q")
     c.execute(f"CREATE TABLE wanted AS {ORACLE_SQL[name]}")
