@@ -7,7 +7,7 @@ import numpy as np
 #: Bytes of a generation of a worker's memo, about; of the one before, words met again are carried over. No result depends on it.
 MEMO = 64 << 20
 #: What a word takes beside its own bytes and those of its ids: two byte strings and an entry of a table.
-_ENTRY = 160
+_ENTRY = 180
 
 #: Punctuation that, after a word and before white space, is a token run of its own; no quote and nothing that begins a special token.
 _TAIL = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
@@ -36,18 +36,18 @@ class WordTokenizer:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.size = 0
+        self.bytes = 0
 
     def forget(self) -> None:
         """Drops all words: called as a task ends, since a worker goes on to other work."""
-        self.memo, self.before, self.size = {}, {}, 0
+        self.memo, self.before, self.bytes = {}, {}, 0
 
     def _learn(self, words: set[bytes], split: list[list[bytes]]) -> None:
         """Puts new words, and after a change of generation all words of split, into the memo."""
-        if self.size > MEMO:
-            self.memo, self.before, self.size = {}, self.memo, 0
+        if (size := self.bytes + _ENTRY * len(self.memo)) > MEMO:
+            self.memo, self.before, self.bytes = {}, self.memo, 0
             words = set().union(*split)
-        elif self.size > MEMO // 2:
+        elif size > MEMO // 2:
             self.before = {}
         memo, stems, plain, tails, other = self.memo, [], set(), set(), []
         for w in [w for w in words if w in self.before]:
@@ -73,7 +73,7 @@ class WordTokenizer:
             memo[text.encode()] = np.array(made.ids, "<u4").tobytes()
         for w, stem, tail in stems:
             memo[w] = memo[stem] + memo[tail]
-        self.size += 5 * sum(map(len, words)) + _ENTRY * (len(words) + len(plain) + len(tails))  # ids: a word's bytes four times at most
+        self.bytes += 5 * sum(map(len, words))  # ids: a word's bytes four times at most
 
     @staticmethod
     def _words(text: str) -> list[bytes]:
