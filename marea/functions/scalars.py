@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: over 0 it is infinite with the sign of both, and 0 / 0 is not a number."""
+    b = b.cast("double")
+    return F.when(b == 0, a * F.when(b.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 

@@ -28,7 +28,7 @@ def q_tumbling_ohlcv(spark, sf):
 def q_bar_features(spark, sf):
     before = F.lag("close").over(Window.partitionBy("entity_id").orderBy("day"))
     b = bars(ticks(spark, sf))
-    return b.select("entity_id", "day", r6(F.col("close") / before - 1).alias("close_return"), r6(F.col("high") - F.col("low")).alias("high_low_range"), r6((F.col("high") - F.col("low")) / F.col("close")).alias("high_low_range_fraction"), r6(F.col("close") - F.col("open")).alias("open_close_change"), r6(F.col("close") / F.nullif("open", F.lit(0.0)) - 1).alias("open_close_return"))
+    return b.select("entity_id", "day", r6(S.ratio(F.col("close"), before) - 1).alias("close_return"), r6(F.col("high") - F.col("low")).alias("high_low_range"), r6(S.ratio(F.col("high") - F.col("low"), F.col("close"))).alias("high_low_range_fraction"), r6(F.col("close") - F.col("open")).alias("open_close_change"), r6(F.col("close") / F.nullif("open", F.lit(0.0)) - 1).alias("open_close_return"))
 
 
 @query(TICKS + f""" SELECT entity_id, seq, CASE WHEN row_number() OVER {W} >= 15 THEN round(quantile_cont(volume, 0.5) OVER (PARTITION BY entity_id ORDER BY seq ROWS 14 PRECEDING), 6) END AS median_15,
