@@ -227,7 +227,7 @@ def q_next_open_fill(spark, sf):
 @query(TICKS + " SELECT entity_id, seq, " + ", ".join(f"round(lead(price, {h}) OVER {W} / price - 1, 6) AS return_{h}" for h in (1, 5, 15)) + " FROM t")
 def q_forward_returns(spark, sf):
     t = ticks(spark, sf)
-    return t.select("entity_id", "seq", *[r6(F.lead("price", h).over(along("entity_id")) / F.col("price") - 1).alias(f"return_{h}") for h in (1, 5, 15)])
+    return t.select("entity_id", "seq", *[r6(S.ratio(F.lead("price", h).over(along("entity_id")), F.col("price")) - 1).alias(f"return_{h}") for h in (1, 5, 15)])
 
 
 @query(TICKS + """, f AS (SELECT entity_id, seq, price, list(price) OVER n AS later, count(*) OVER n AS k FROM t WINDOW n AS (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
