@@ -12,6 +12,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.when(b.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(F.try_divide(a, b))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """x to digits places as SQL's double arithmetic tells them: scaled, rounded half away from 0, scaled back. F.round reads a double's decimal text, which is a tie more often."""
+    scale = float(10**digits)
+    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * scale) / scale
+
+
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
