@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
+#: Rows of a task that are worked on at once, and the longest entity of which many are.
+AT_ONCE, SHORT = 32_768, 1_024
+
 
 def category(claim: Column, displacement: Column, slope: Column) -> Column:
     """How a path agrees with the direction claimed for it."""
@@ -21,9 +26,10 @@ MOMENTS = ("xy", "xx", "xq", "qq", "qy", "yy", "length", "best")
 
 
 def path_moments(h: np.ndarray, y: np.ndarray, claim: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
-    """Sums over each path, rows start + 1 to end of one entity, about its row start: of x, dy and q = x x / 2, the path's length and its best progress.
+    """Sums over each path, rows start + 1 to end, about its row start: of x, dy and q = x x / 2, the path's length and its best progress.
 
-    Short paths are laid out end to end and summed; long ones are differences of running sums about the middle of some
+    Short paths, of any entities, are laid out end to end and summed row by row, in the order and with the products that
+    SQL has, since fits of rows close in time tell any other order; long ones, of one entity, are differences of running sums about the middle of some
     tens of path lengths, so that what cancels stays small, and their extremes come from a table of powers of two.
     """
     out = {k: np.zeros(len(start)) for k in MOMENTS}
@@ -37,7 +43,9 @@ def path_moments(h: np.ndarray, y: np.ndarray, claim: np.ndarray, start: np.ndar
         first = np.cumsum(n[at]) - n[at]
         x, dy = h[row] - h[start[at]][own], y[row] - y[start[at]][own]
         q = x * x / 2
-        for k, v in zip(MOMENTS, (x * dy, x * x, x * q, q * q, q * dy, dy * dy, step[row]), strict=False):
+        steps = np.diff(dy, prepend=0.0)
+        steps[first] = dy[first]
+        for k, v in zip(MOMENTS, (x * dy, x * x, x * q, x * x * x * x / 4, q * dy, dy * dy, np.abs(steps)), strict=False):
             out[k][at] = np.add.reduceat(v, first)
         out["best"][at] = np.maximum.reduceat(claim[at][own] * dy, first)
     rest = np.flatnonzero(~direct)
@@ -91,12 +99,45 @@ def _extremes(v: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _stops(key: np.ndarray) -> np.ndarray:
+    """For each row the place after the last one of its entity."""
+    edge = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    return np.repeat(edge, np.diff(edge, prepend=0))
+
+
+def first_at(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each of many searches the first place from lo on, up to hi, where rising h has reached least; hi if none."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) // 2
+        before = h[mid] < least[live]
+        lo[live[before]] = mid[before] + 1
+        hi[live[~before]] = mid[~before]
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def _of_each(key: np.ndarray, h: np.ndarray, y: np.ndarray, claim: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """path_moments of rows of several entities: short paths of all at once, long ones entity by entity."""
+    long = end - start > 64
+    out = path_moments(h, y, claim[start], start, np.where(long, start + 1, end))
+    for k in np.unique(key[start[long]]):
+        own = np.flatnonzero(key == k)
+        at = np.flatnonzero(long & (key[start] == k))
+        a, z = own[0], own[-1] + 1
+        for name, v in path_moments(h[a:z], y[a:z], claim[start[at]], start[at] - a, end[at] - a).items():
+            out[name][at] = v
+    return out
+
+
 def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None) -> DataFrame:
     """For rows (entity_id, seq, h, y, claim) and each horizon in the units of h: the path from a row to the first one at or after it.
 
     horizons are fixed lengths; named gives columns of anchors that hold each row's own length, by name (null, not finite
-    or not positive: none). Rows without an end are left out. An entity's rows stream by in the order of h; those whose
-    paths have no end yet are held, and work is done when as many again have come, so it grows with the rows.
+    or not positive: none). Rows without an end are left out. Rows stream by in the order of entity and h, and many entities
+    are worked on at once; those of one whose paths have no end yet are held, and work is done when as many again have
+    come, so it grows with the rows.
     """
     named = named or {}
     columns = [str(x) for x in horizons] + list(named)
@@ -104,50 +145,53 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
     names = ["entity_id", "seq", "horizon", "requested", "n", "hours", "displacement", *MOMENTS, "claim"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, todo = None, 0  # rows of one entity; from todo on their paths have not been told
+        held, size, waiting = [], 0, 0  # waiting: rows of the entity that goes on whose paths had no end yet
 
-        def told(rows: pd.DataFrame, key: int, final: bool) -> tuple[list[pd.DataFrame], int]:
-            """What is known of the rows from todo on, and up to which row nothing more will come."""
-            h, y, claim, seq = (rows[c].to_numpy() for c in ("h", "y", "claim", "seq"))
+        def told(rows: pd.DataFrame, final: bool) -> tuple[list[pd.DataFrame], int]:
+            """What is known of the rows of some entities, or of one that goes on, and up to which row nothing more will come."""
+            key, h, y, claim, seq = (rows[c].to_numpy() for c in ("entity_id", "h", "y", "claim", "seq"))
+            place, stop = np.arange(len(h)), _stops(key)
             ends, made = [], []
             for k in range(len(columns)):
                 t = rows[f"t{k}"].to_numpy()
-                fine = np.isfinite(t) & (t > 0)
-                end = np.maximum(np.searchsorted(h, h + np.where(fine, t, 0.0)), np.arange(len(h)) + 1)
-                ends.append(np.where(fine, end, 0))
-            last = np.max(ends, axis=0)
-            upto = len(h) if final else int(np.argmax(last[todo:] >= len(h))) + todo if (last[todo:] >= len(h)).any() else len(h)
+                fine = np.isfinite(t) & (t > 0) & np.isfinite(h)
+                ends.append(np.where(fine, first_at(h, place + 1, stop, h + np.where(fine, t, 0.0)), 0))
+            open_ = (np.max(ends, axis=0) >= stop) & (not final)
+            upto = int(np.argmax(open_)) if open_.any() else len(h)
             for k, end in enumerate(ends):
-                at = todo + np.flatnonzero((end[todo:upto] > 0) & (end[todo:upto] < len(h)))
+                at = np.flatnonzero((end[:upto] > 0) & (end[:upto] < stop[:upto]))
                 if len(at):
-                    m = path_moments(h, y, claim[at], at, end[at])
-                    made.append(pd.DataFrame({"entity_id": key, "seq": seq[at], "horizon": columns[k], "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
+                    m = path_moments(h, y, claim[at], at, end[at]) if key[0] == key[-1] else _of_each(key, h, y, claim, at, end[at])
+                    made.append(pd.DataFrame({"entity_id": key[at], "seq": seq[at], "horizon": columns[k], "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
             return made, upto
 
         for batch in batches:
-            for key, rows in batch.groupby("entity_id", sort=False):
-                if held is not None and held["entity_id"].iloc[0] != key:
-                    yield from told(held, held["entity_id"].iloc[0], True)[0]
-                    held, todo = None, 0
-                if held is None:
-                    held, waiting = rows, 0
-                else:
-                    held = pd.concat([held, rows], ignore_index=True)
-                if len(held) - waiting >= max(4096, waiting):
-                    made, todo = told(held, key, False)
-                    yield from made
-                    held, todo = held.iloc[todo:].reset_index(drop=True), 0
-                    waiting = len(held)
-        if held is not None and len(held):
-            yield from told(held, held["entity_id"].iloc[0], True)[0]
+            held.append(batch)
+            size += len(batch)
+            if size < max(AT_ONCE, 2 * waiting):
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            key = rows["entity_id"].to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # the last entity may go on
+            if cut:
+                yield from told(rows.iloc[:cut], True)[0]
+                rows, waiting = rows.iloc[cut:].reset_index(drop=True), 0
+            if len(rows) >= max(AT_ONCE, 2 * waiting):
+                made, upto = told(rows, False)
+                yield from made
+                rows = rows.iloc[upto:].reset_index(drop=True)
+                waiting = len(rows)
+            held, size = [rows], len(rows)
+        if size:
+            yield from told(pd.concat(held, ignore_index=True), True)[0]
 
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lengths.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
     kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
     a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon string, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + ", claim double")
     c = F.col
-    dy, slope, det = c("displacement"), c("xy") / c("xx"), c("xx") * c("qq") - c("xq") * c("xq")
-    two = lambda x: F.when(c("n") >= 2, x / det)
+    dy, slope, det = c("displacement"), S.ratio(c("xy"), c("xx")), c("xx") * c("qq") - c("xq") * c("xq")
+    two = lambda x: F.when(c("n") >= 2, S.ratio(x, det))
     share = lambda x: F.when(c("length") == 0, 0.0).otherwise(x / c("length"))
     left = F.greatest(F.lit(0.0), c("yy") - 2 * slope * c("xy") + slope * slope * c("xx"))
     return a.select(
@@ -232,24 +276,73 @@ def validity(anchors: DataFrame) -> DataFrame:
             ended = pd.DataFrame({"entity_id": key, "seq": np.concatenate([all_["seq"].to_numpy()[done], idle]).astype(np.int64), "kind": np.concatenate([np.where(gap[where], "INTERVAL", "EXACT"), np.full(len(idle), "INCONCLUSIVE")]), "lower": np.concatenate([np.where(gap[where], before, x), np.zeros(len(idle))]), "upper": np.concatenate([x, np.full(len(idle), np.nan)])})
             return ended, all_.assign(sum=sums)[~done].reset_index(drop=True), h[-1]
 
+        def many(f: pd.DataFrame) -> pd.DataFrame:
+            """All rows of some short entities: their claims step from row to row together."""
+            entity, claim, h, y, gap = f["entity_id"].to_numpy(), f["claim"].to_numpy(np.float64), f["h"].to_numpy(np.float64), f["y"].to_numpy(np.float64), f["gap"].fillna(False).to_numpy(bool)
+            stop, at = _stops(entity), np.full(len(f), -1)
+            live, total, ahead = np.flatnonzero(claim != 0), np.zeros(len(f)), 1
+            while len(live := live[live + ahead < stop[live]]):
+                to = live + ahead
+                dy = y[to] - y[live]
+                total[live] += (h[to] - h[live]) * dy
+                back = (claim[live] * dy < 0) & (claim[live] * total[live] < 0)
+                at[live[back]] = to[back]
+                live, ahead = live[~back], ahead + 1
+            met, hidden = at >= 0, np.where(at >= 0, gap[at], False)
+            before = np.where(at - 1 > np.arange(len(f)), h[at - 1] - h, 0.0)  # an anchor's own row is at 0
+            lower = np.where(claim == 0, 0.0, np.where(met, np.where(hidden, before, h[at] - h), h[stop - 1] - h))
+            kind = np.where(claim == 0, "INCONCLUSIVE", np.where(met, np.where(hidden, "INTERVAL", "EXACT"), "RIGHT"))
+            return pd.DataFrame({"entity_id": entity, "seq": f["seq"].astype(np.int64), "kind": kind, "lower": lower, "upper": np.where(met, h[at] - h, np.nan)})
+
         def right() -> pd.DataFrame:
             return pd.DataFrame({"entity_id": key, "seq": standing["seq"].astype(np.int64), "kind": "RIGHT", "lower": last - standing["h"], "upper": np.nan})
 
+        def each(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """What becomes of whole entities, short ones together and long ones by blocks."""
+            nonlocal key, rows, standing, last
+            if not len(f):
+                return
+            sizes = f.groupby("entity_id")["seq"].transform("size").to_numpy()
+            if (sizes <= SHORT).any():
+                yield many(f[sizes <= SHORT].reset_index(drop=True))
+            for k, part in f[sizes > SHORT].groupby("entity_id", sort=False):
+                key, standing, last = k, none, np.nan
+                for a in range(0, len(part), 4096):
+                    rows = [part.iloc[a : a + 4096]]
+                    ended, standing, last = block()
+                    yield ended
+                yield right()
+            key, rows, standing, last = None, [], none, np.nan
+
+        held, size = [], 0  # rows of whole short entities, and the first ones of the last
         for batch in batches:
-            for k, part in batch.groupby("entity_id", sort=False):
-                if k != key:
+            if key is not None:  # a long entity goes on
+                end = int(np.argmax(np.append(batch["entity_id"].to_numpy() != key, True)))
+                own, batch = batch.iloc[:end], batch.iloc[end:]
+                rows, waiting = ([*rows, own] if end else rows), waiting + end
+                if len(batch):
                     if rows:
                         ended, standing, last = block()
                         yield ended
-                    if key is not None:
-                        yield right()
-                    key, rows, waiting, standing, last = k, [], 0, none, np.nan
-                rows.append(part)
-                waiting += len(part)
-                if waiting >= max(4096, len(standing) // 4):
-                    ended, standing, last = block()
-                    yield ended
-                    rows, waiting = [], 0
+                    yield right()
+                    key, rows, waiting, standing, last = None, [], 0, none, np.nan
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= AT_ONCE:
+                f = pd.concat(held, ignore_index=True)
+                edge = np.append(0, np.flatnonzero(np.diff(f["entity_id"].to_numpy())) + 1)
+                long = len(f) - edge[-1] > SHORT
+                yield from each(f.iloc[: edge[-1]])
+                held, size = ([], 0) if long else ([f.iloc[edge[-1] :]], len(f) - edge[-1])
+                if long:
+                    key, rows, waiting = f["entity_id"].iloc[-1], [f.iloc[edge[-1] :]], len(f) - edge[-1]
+            if waiting >= max(4096, len(standing) // 4):
+                ended, standing, last = block()
+                yield ended
+                rows, waiting = [], 0
+        if size:
+            yield from each(pd.concat(held, ignore_index=True))
         if rows:
             ended, standing, last = block()
             yield ended
