@@ -77,6 +77,7 @@ def evidence(sums: DataFrame, replicates: int = 400, seed: int = 11) -> DataFram
     from pyspark.sql import Window
 
     own = Window.partitionBy("dimension")
+    sums = sums.persist()  # a row for each dimension and block, read by the effects and twice by the draws
     full = sums.select("dimension", "kind", "block", *_SUMS).withColumns({"at": F.row_number().over(own.orderBy("block")) - 1, "blocks": F.count(F.lit(1)).over(own)})
     draws = full.select("dimension", "blocks", F.col("at").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     draws = draws.groupBy("dimension", "rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "draw"), "blocks").cast("int").alias("at")).agg(F.count(F.lit(1)).cast("double").alias("times"))
