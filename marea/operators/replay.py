@@ -50,6 +50,14 @@ def manifest(seals: DataFrame, every: int) -> DataFrame:
     return told.where((F.col("accepted") % every == 0) | F.col("complete")).select("entity_id", "seq", "accepted", F.col("logical").alias("prefix"), "semantic", "complete")
 
 
+def resumed_states(parts: list[DataFrame], step: Step, columns: list[str]) -> DataFrame:
+    """entity_id, seq, state after the last of parts, each begun from the states after the one before: what `resumed` ends with, one row an entity."""
+    states = None
+    for part in parts:
+        states = final_states(part, step, columns, restored=states)
+    return states
+
+
 def resumed(parts: list[DataFrame], step: Step, columns: list[str], out: str, carry: list[str] | None = None) -> DataFrame:
     """The fold of all parts, each begun from the states after the one before: the rows of one fold over everything, if each part's rows come after the last one's."""
     states, made = None, None
