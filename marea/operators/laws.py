@@ -120,7 +120,13 @@ def fit(x: np.ndarray, j: np.ndarray, t: np.ndarray, family: str = "affine", rid
     if family == "squares":
         columns.append(z * z)
     design = np.concatenate(columns, -1)
-    singular = np.linalg.svd(design, compute_uv=False) if len(at) else np.zeros((0, design.shape[-1]))
+    left = right = None
+    if not len(at):
+        singular = np.zeros((0, design.shape[-1]))
+    elif ridge:
+        singular = np.linalg.svd(design, compute_uv=False)
+    else:
+        left, singular, right = np.linalg.svd(design, full_matrices=False)
     with np.errstate(divide="ignore"):
         condition = singular[:, 0] / singular[:, -1]
     if not ridge:
@@ -130,7 +136,10 @@ def fit(x: np.ndarray, j: np.ndarray, t: np.ndarray, family: str = "affine", rid
         penalty = ridge * np.diag([0.0] + [1.0] * (design.shape[-1] - 1))
         beta = np.linalg.solve(design.transpose(0, 2, 1) @ design + penalty, design.transpose(0, 2, 1) @ j[at][..., None])[..., 0]
     else:
-        beta = (np.linalg.pinv(design) @ j[at][..., None])[..., 0]
+        beta = np.zeros((0, design.shape[-1]))
+        if left is not None:  # the decomposition that gave the condition solves the fit too
+            along_ = (left[full].transpose(0, 2, 1) @ j[at][..., None])[..., 0] / singular[full]
+            beta = (right[full].transpose(0, 2, 1) @ along_[..., None])[..., 0]
     return at, Fits(family, beta, mean[at], scale[at], x[at].min(1), x[at].max(1), tm[at], ts[at], condition)
 
 
@@ -246,42 +255,67 @@ def local_laws(df: DataFrame, window: int = 15, family: str = "affine", ridge: f
     row ahead, exact_* follow the law by its generator (null for squares) and rk_* by project with tolerance (None: not
     projected). Rows whose window has no law are left out. An entity's rows stream by; window - 1 of them are held.
     """
-    rows_in = df.withColumn("jerk", F.col("d2") - F.lag("d2").over(along("entity_id"))).select("entity_id", "seq", "price", "d1", "d2", "jerk")
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return many_laws(df, [(family, window)], ridge, [tolerance]).drop("family", "window", "tolerance")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held = rows.iloc[1 - window :]
-            if len(rows) < window:
+
+def many_laws(df: DataFrame, kinds: list[tuple[str, int]], ridge: float = 0.0, tolerances: list[float | None] = [None], wanted: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """As local_laws for each (family, window) and tolerance, from one pass over the rows: entity_id, seq, carry, family, window, tolerance and wanted of COLUMNS (None: all).
+
+    A law is fitted once for all tolerances. What isn't wanted isn't computed.
+    """
+    carry, described = carry or [], [c.strip() for c in COLUMNS.split(",")]
+    names = [c.split()[0] for c in described]
+    names = [c for c in names if wanted is None or c in wanted]
+    needs = lambda *parts: any(c.startswith(parts) for c in names)
+    rows_in = df.withColumn("jerk", F.col("d2") - F.lag("d2").over(along("entity_id"))).select("entity_id", "seq", "price", "d1", "d2", "jerk", *carry)
+    most = max(w for _, w in kinds)
+
+    def told(rows: pd.DataFrame, keys: np.ndarray, numbers: np.ndarray, begun: int, family: str, window: int) -> Iterator[pd.DataFrame]:
+        """The laws whose last row is at begun or after."""
+        if len(rows) < window:
+            return
+        view = np.lib.stride_tricks.sliding_window_view(numbers, window, axis=0)
+        full = np.flatnonzero(keys[window - 1 :] == keys[: len(keys) - window + 1])
+        full = full[full + window - 1 >= begun]
+        for k in range(0, len(full), 2048):
+            some = full[k : k + 2048]
+            x = view[some].transpose(0, 2, 1)
+            at, laws = fit(x[..., :3], x[..., 3], x[..., 4] - x[:, -1:, 4], family, ridge)
+            if not len(at):
                 continue
-            view = np.lib.stride_tricks.sliding_window_view(rows[["price", "d1", "d2", "jerk", "seq"]].to_numpy(np.float64), window, axis=0)
-            keys = rows["entity_id"].to_numpy()
-            full = np.flatnonzero(keys[window - 1 :] == keys[: len(keys) - window + 1])
-            for k in range(0, len(full), 2048):
-                some = full[k : k + 2048]
-                x = view[some].transpose(0, 2, 1)
-                at, laws = fit(x[..., :3], x[..., 3], x[..., 4] - x[:, -1:, 4], family, ridge)
-                if not len(at):
-                    continue
-                now = x[at, -1, :3]
-                b = laws.slopes(now)
-                jerk = laws.jerk(np.zeros(len(at)), now)
-                made = {"a": jerk - (b * now).sum(1), "b0": b[:, 0], "b1": b[:, 1], "b2": b[:, 2], "condition": laws.condition} | stability(laws, now)
-                made |= {"taylor_p": now[:, 0] + now[:, 1] + now[:, 2] / 2 + jerk / 6, "taylor_p1": now[:, 1] + now[:, 2] + jerk / 2, "taylor_p2": now[:, 2] + jerk}
-                ahead = laws.exact(now) if family != "squares" else np.full((len(at), 3), np.nan)
+            now = x[at, -1, :3]
+            b = laws.slopes(now)
+            jerk = laws.jerk(np.zeros(len(at)), now)
+            made = {"a": jerk - (b * now).sum(1), "b0": b[:, 0], "b1": b[:, 1], "b2": b[:, 2], "condition": laws.condition}
+            if needs("growth", "radius", "amplified"):
+                made |= stability(laws, now)
+            made |= {"taylor_p": now[:, 0] + now[:, 1] + now[:, 2] / 2 + jerk / 6, "taylor_p1": now[:, 1] + now[:, 2] + jerk / 2, "taylor_p2": now[:, 2] + jerk}
+            ahead = laws.exact(now) if family != "squares" and needs("exact") else np.full((len(at), 3), np.nan)
+            last = some[at] + window - 1
+            for tolerance in tolerances:
                 done = project(laws, now, tolerance=tolerance) if tolerance else None
                 for n, s in enumerate(STATE):
                     made[f"exact_{s}"], made[f"rk_{s}"] = ahead[:, n], done["end"][:, n] if done else np.nan
                 for c in ("evaluations", "steps", "failed", "event", "event_time", "exit", "exit_in", "distance"):
                     made[c] = done[c] if done else None
-                out = pd.DataFrame({"entity_id": keys[some[at] + window - 1], "seq": rows["seq"].to_numpy()[some[at] + window - 1], **made})
-                yield out[["entity_id", "seq", *names]]
+                out = pd.DataFrame({"entity_id": keys[last], "seq": rows["seq"].to_numpy()[last], **{c: rows[c].to_numpy()[last] for c in carry}, "family": family, "window": window, "tolerance": tolerance if tolerance else np.nan, **made})
+                yield out[["entity_id", "seq", *carry, "family", "window", "tolerance", *names]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            begun = 0 if held is None else len(held)
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys, numbers = rows["entity_id"].to_numpy(), rows[["price", "d1", "d2", "jerk", "seq"]].to_numpy(np.float64)
+            for family, window in kinds:
+                yield from told(rows, keys, numbers, begun, family, window)
+            held = rows.iloc[1 - most :]
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows_in.schema}
+    types = {f.name: f.dataType.simpleString() for f in rows_in.schema}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows_in.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "seq")
-    out = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, {COLUMNS}")
+    plain = ["entity_id " + types["entity_id"], "seq " + types["seq"], *(f"{c} {types[c]}" for c in carry), "family string", "window int", "tolerance double"]
+    out = dealt.mapInPandas(run, ", ".join([*plain, *(c for c in described if c.split()[0] in names)]))
     gone = F.lit(None).cast("double")
-    return out.withColumns({c: F.nanvl(c, gone) for c in ("exact_p", "exact_p1", "exact_p2", "rk_p", "rk_p1", "rk_p2", "event_time", "exit", "distance")})
+    nullable = ("exact_p", "exact_p1", "exact_p2", "rk_p", "rk_p1", "rk_p2", "event_time", "exit", "distance")
+    return out.withColumns({c: F.nanvl(c, gone) for c in ("tolerance", *(n for n in nullable if n in names))})

@@ -7,7 +7,7 @@ from math import factorial
 from pyspark.sql import functions as F
 
 from ..operators.exact import quantiles
-from ..operators.laws import FAMILIES, local_laws
+from ..operators.laws import FAMILIES, local_laws, many_laws
 from ..operators.ordered import along, quadratic_fit
 from ..sources.ticks import ticks
 from .registry import TICKS, query
@@ -82,27 +82,22 @@ def q_rk_domain(spark, sf):
 @query()
 def q_rk_tolerances(spark, sf):
     """How far projections at each tolerance end from those of the tightest, and how many evaluations they take."""
-    own = {t: ridge_laws(spark, sf, t).select("entity_id", "seq", F.col("rk_p2").alias("x"), "evaluations") for t in (1e-3, 1e-4, 1e-6, 1e-8)}
-    best = own[1e-8].select("entity_id", "seq", F.col("x").alias("best"))
-    made = None
-    for t, d in own.items():
-        one = d.join(best, ["entity_id", "seq"]).groupBy(F.lit(t).alias("tolerance")).agg(F.count("x").alias("n"), F.max(F.abs(F.col("x") - F.col("best"))).alias("largest"), F.avg(F.abs(F.col("x") - F.col("best"))).alias("mean"), F.round(F.avg("evaluations"), 3).alias("evaluations"))
-        made = one if made is None else made.unionByName(one)
-    return made
+    tolerances = (1e-3, 1e-4, 1e-6, 1e-8)  # a row's projections come from one fit, one after the other
+    d = many_laws(derived(spark, sf), [("affine", WINDOW)], RIDGE, list(tolerances), ["rk_p2", "evaluations"])
+    told = lambda x, t: F.max(F.when(F.col("tolerance") == t, F.col(x)))
+    rows = d.groupBy("entity_id", "seq").agg(*[told(c, t).alias(f"{c}_{k}") for c in ("rk_p2", "evaluations") for k, t in enumerate(tolerances)])
+    apart = [F.struct(F.lit(t).alias("tolerance"), F.col(f"rk_p2_{k}").alias("x"), F.col("rk_p2_3").alias("best"), F.col(f"evaluations_{k}").alias("evaluations")) for k, t in enumerate(tolerances)]
+    off = F.abs(F.col("x") - F.col("best"))
+    return rows.select(F.inline(F.array(*apart))).groupBy("tolerance").agg(F.count("x").alias("n"), F.max(off).alias("largest"), F.avg(off).alias("mean"), F.round(F.avg("evaluations"), 3).alias("evaluations"))
 
 
 @query()
 def q_law_families(spark, sf):
     """Each family and window without ridge: laws that could be fitted, their condition and the error of the second derivative one row ahead."""
-    e = derived(spark, sf)
-    after = e.select("entity_id", "seq", F.lead("d2").over(along("entity_id")).alias("came"))
-    made = None
-    for family in FAMILIES:
-        for window in (10, 15, 20):
-            d = local_laws(e, window, family, tolerance=None).join(after, ["entity_id", "seq"]).where("came IS NOT NULL AND condition <= 1e8")
-            one = d.groupBy(F.lit(family).alias("family"), F.lit(window).alias("window")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("taylor_p2") - F.col("came"))).alias("mae"), F.avg(F.col("taylor_p2") - F.col("came")).alias("bias"), F.max("condition").alias("condition"))
-            made = one if made is None else made.unionByName(one)
-    return made
+    e = derived(spark, sf).withColumn("came", F.lead("d2").over(along("entity_id")))
+    d = many_laws(e, [(f, w) for f in FAMILIES for w in (10, 15, 20)], wanted=["condition", "taylor_p2"], carry=["came"]).where("came IS NOT NULL AND condition <= 1e8")
+    off = F.col("taylor_p2") - F.col("came")
+    return d.groupBy("family", "window").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(off)).alias("mae"), F.avg(off).alias("bias"), F.max("condition").alias("condition"))
 
 
 @query()
@@ -115,7 +110,8 @@ def q_law_time(spark, sf):
 @query()
 def q_price_confidence(spark, sf):
     """HIGH, MEDIUM or LOW confidence in each projection: in its window's range, and condition, growth and amplification within their medians or 95 % quantiles over all."""
-    d = ridge_laws(spark, sf, 1e-6).withColumn("amplification", F.greatest("amplified_p", "amplified_p1", "amplified_p2"))
+    d = many_laws(derived(spark, sf), [("affine", WINDOW)], RIDGE, [1e-6], ["condition", "growth", "amplified_p", "amplified_p1", "amplified_p2", "failed", "exit"])
+    d = d.select("entity_id", "seq", "condition", "growth", F.greatest("amplified_p", "amplified_p1", "amplified_p2").alias("amplification"), "failed", "exit").persist()  # read by each limit and by the rows
     limits = None
     for c in ("condition", "growth", "amplification"):
         q = quantiles(d.withColumn("all", F.lit(1)), ["all"], c, {f"{c}_median": 0.5, f"{c}_q95": 0.95})
