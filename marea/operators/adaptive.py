@@ -1,12 +1,13 @@
 """The online model of several outputs: features of price and volume, conditioned by running statistics, a polynomial basis and one linear map learned by clipped gradient steps.
 
-One step serves batch folds and streams. Its state is plain (numbers and lists), so it can be kept as JSON and restored.
+One step serves batch folds and streams. Its state holds numbers, lists and arrays, which `folds.kept` writes as JSON; lists restore it.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -58,6 +59,11 @@ def basis_names(c: Settings, features: tuple[str, ...] = FEATURES) -> list[str]:
     return ["bias", *(name if k == 1 else f"{name}^{k}" for name, most in powers for k in range(1, most + 1))]
 
 
+@cache
+def _size(c: Settings) -> int:
+    return len(basis_names(c))
+
+
 def basis(values: np.ndarray, c: Settings) -> np.ndarray:
     """The basis of conditioned features (in the order of FEATURES)."""
     at = dict(zip(FEATURES, values.tolist(), strict=True))
@@ -71,8 +77,8 @@ def basis(values: np.ndarray, c: Settings) -> np.ndarray:
 def gradient_update(weights: np.ndarray, x: np.ndarray, targets: np.ndarray, rate: float, decay: float, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, errors, hits) of a matrix of weights (outputs x features) after a step down each output's squared error; hits tells outputs with a clipped weight."""
     errors = targets - weights @ x
-    free = weights + rate * (np.outer(errors, x) - decay * weights)
-    new = np.clip(free, -most, most)
+    free = weights + rate * (errors[:, None] * x - decay * weights)
+    new = np.minimum(np.maximum(free, -most), most)
     return new, errors, (new != free).any(1)
 
 
@@ -93,9 +99,9 @@ def adaptive_step(state: dict, row: dict, c: Settings = Settings()) -> tuple[dic
     t, price, volume = row["t"], row["price"], row["volume"]
     if any(x is None or not math.isfinite(x) for x in (t, price, volume)):
         return state, dict.fromkeys((*OUTPUTS, "kind", "expected_magnitude", "favorable", "adverse", "forward_decay", "error", "drift", "learning", "bound_hits")) | {"reasons": "INVALID"}
-    n, size = state.get("n", 0), len(basis_names(c))
-    weights = np.array(state["weights"]) if n else np.zeros((len(OUTPUTS), size))
-    mean, spread = (np.array(state[k]) if n else np.zeros(len(FEATURES)) for k in ("mean", "spread"))
+    n, size = state.get("n", 0), _size(c)
+    weights = np.asarray(state["weights"]) if n else np.zeros((len(OUTPUTS), size))
+    mean, spread = (np.asarray(state[k]) if n else np.zeros(len(FEATURES)) for k in ("mean", "spread"))
     if n:
         dt = t - state["t"]
         if dt <= 0:
@@ -124,7 +130,7 @@ def adaptive_step(state: dict, row: dict, c: Settings = Settings()) -> tuple[dic
     ready = n >= c.warm_up
     scale = np.maximum(np.sqrt(np.maximum(0.0, spread / (n - 1))) if n > 1 else 0.0, c.least_scale)
     free = (raw - mean) / scale if ready else np.zeros(len(FEATURES))
-    conditioned = np.clip(free, -c.bound, c.bound)
+    conditioned = np.minimum(np.maximum(free, -c.bound), c.bound)
     bound_hits = state.get("bound_hits", 0) + int((conditioned != free).sum())
     off = raw - mean
     mean = mean + off / (n + 1)
@@ -168,7 +174,7 @@ def adaptive_step(state: dict, row: dict, c: Settings = Settings()) -> tuple[dic
         favorable, adverse = max(favorable, size_ahead * (1 - unsure) * 0.5), max(adverse, size_ahead * unsure * 0.4)
     h = out["forward_half_life"]
     decay = min(1.0, 2.0 ** (-c.ahead / h)) if h > 0 else None
-    kept = {"n": n + 1, "t": t, "price": price, "velocity": velocity, "direction": toward, "seen": seen, "mean": mean.tolist(), "spread": spread.tolist(), "weights": new.tolist(), "h_seen": h_seen, "h_ahead": h_ahead, "bound_hits": bound_hits}
+    kept = {"n": n + 1, "t": t, "price": price, "velocity": velocity, "direction": toward, "seen": seen, "mean": mean, "spread": spread, "weights": new, "h_seen": h_seen, "h_ahead": h_ahead, "bound_hits": bound_hits}
     return kept, {**out, "kind": kind, "reasons": ";".join(price_why + volume_why), "expected_magnitude": size_ahead, "favorable": favorable, "adverse": adverse, "forward_decay": decay, "error": float(np.abs(errors).sum()), "drift": drift, "learning": learning, "bound_hits": bound_hits}
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.folds import Step, plain
+from ..operators.folds import Step, kept, plain
 
 
 def stream_fold(stream: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq") -> DataFrame:
@@ -31,7 +31,7 @@ def stream_fold(stream: DataFrame, step: Step, columns: list[str], out: str, key
             last = at
             rows.append((keys[0], last, False, *(made[n] for n in names)))
         if last is not None:
-            held.update((last, json.dumps(state)))
+            held.update((last, kept(state)))
         yield pd.DataFrame(rows, columns=[key, order, "late", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
