@@ -118,6 +118,18 @@ def test_evidence_of_decided_pages(spark):
     assert extracted(spark, rows) == wanted
 
 
+def test_every_page_goes_through_the_array(spark, monkeypatch):
+    rows = [(k, f"https://h{k % 2}.example/{k}", f"<nav>Home and garden {k % 2}</nav><article><p>{prose(60, f'w{k // 4}')}</p><p>{prose(30, f'o{k}')}</p></article>") for k in range(8)]
+    ordered, write = [], html.written
+    monkeypatch.setattr(html, "written", lambda df, name: ordered.append((name, write(df, name))) or ordered[-1][1])
+    monkeypatch.setattr(html, "_order", lambda s, *options, order=html._order: ordered.append(("runs", order(s, *options))) or ordered[-1][1])
+    got = extracted(spark, rows)
+    made = dict(ordered)
+    assert made["sequences"].count() == made["suffixes"].select("k1").distinct().count() == 8
+    assert made["runs"].groupBy("k1").agg({"n": "max"}).where("`max(n)` > 1").count() == 8  # the shared passages, of articles too
+    assert got == Counter((k, f"{prose(60, f'w{k // 4}')}\n\n{prose(30, f'o{k}')}") for k in range(8))
+
+
 CASES = {
     "<article>a<span class=ad>x<span>y</span>z</span>b</article>": "a b",
     "<article>a<span class=ad>x never closed</article>": "a x never closed",
