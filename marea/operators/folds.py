@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,20 @@ from pyspark.sql import functions as F
 
 Step = Callable[[dict, dict], tuple[dict, dict]]
 
+#: Rows that a task folds at once where a step is known for many entities, and the least number of entities for which that pays.
+AT_ONCE, FEW = 32_768, 8
+
+
+class Many(NamedTuple):
+    """A step for many entities at once, one row of each: step takes and gives dicts of arrays.
+
+    start has the state before an entity's first row, by the names that the single step's state has once it is not empty;
+    beside them, known tells which states are not empty. Both steps must give the same numbers.
+    """
+
+    start: dict[str, float]
+    step: Callable[[dict, dict], tuple[dict, dict]]
+
 
 def hysteresis_step(state: dict, row: dict, open_at: float = 0.75, close_at: float = 0.55, to_open: int = 3, to_close: int = 2) -> tuple[dict, dict]:
     """CLOSED opens by way of OPENING after to_open rows at open_at or more; OPEN closes by way of CLOSING after to_close rows at close_at or less. A null score is low."""
@@ -109,20 +124,24 @@ def kept(state: dict) -> str:
     return json.dumps(state, sort_keys=True, separators=(",", ":"), default=lambda x: x.tolist() if hasattr(x, "tolist") else list(x))
 
 
-def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False, restored: DataFrame | None = None) -> DataFrame:
-    """Each entity's rows through step, in order: key, order, the columns of carry and those of out.
+def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "entity_id", order: str = "seq", carry: list[str] | None = None, in_order: bool = False, restored: DataFrame | None = None, many: Many | None = None) -> DataFrame:
+    """Each entity's rows through step, in order: key, order, the columns of carry and those of out (doubles and strings, with many).
 
     Rows are sorted by Spark and folded as they stream through, so an entity of any length holds one state in memory.
     in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has; rows of
     an entity that come out of order are an error. restored (key, order, state), as `final_states` gives it, is the state
-    from before an entity's first row; rows up to that order are an error then.
+    from before an entity's first row; rows up to that order are an error then. With many, entities that are sorted into one
+    task take their rows together, AT_ONCE rows at a time; the rest of long ones, where few are left, goes row by row.
     """
     carry = carry or []
     reads = list(dict.fromkeys([*columns, *carry]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     if in_order and restored is not None:
         raise ValueError("states are restored where rows are sorted")
-    run = _folder(step, reads, carry, [f.split()[0] for f in out.split(", ")], key, order, restored is not None)
+    if many is not None and restored is None:
+        run = _together(step, many, columns, carry, dict(f.split() for f in out.split(", ")), key, order)
+    else:
+        run = _folder(step, reads, carry, [f.split()[0] for f in out.split(", ")], key, order, restored is not None)
     carried = "".join(f"{c} {kinds[c]}, " for c in carry)
     return _dealt(df, reads, key, order, in_order, restored).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")
 
@@ -182,3 +201,65 @@ def _folder(step: Step, reads: list[str], carry: list[str], names: list[str] | N
             yield pd.DataFrame([(last, at, kept(state))], columns=[key, order, "state"])
 
     return run
+
+
+def _together(step: Step, many: Many, columns: list[str], carry: list[str], out: dict[str, str], key: str, order: str):
+    """The fold of one task by many: entities of some rows take their first rows at once, then their second ones, and so on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at, held = None, None, {}  # the entity that may go on, its last order and state
+
+        def told(f: pd.DataFrame) -> pd.DataFrame:
+            nonlocal last, at, held
+            keys, orders = f[key].to_numpy(), f[order].to_numpy()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            back = np.r_[at is not None and keys[0] == last and orders[0] < at, (keys[1:] == keys[:-1]) & (orders[1:] < orders[:-1])]
+            if back.any():
+                k = int(np.argmax(back))
+                raise ValueError(f"rows of {key} {keys[k]} are out of order: {orders[k]} after {orders[k - 1] if k else at}")
+            size = np.diff(first, append=len(f))
+            lanes = np.argsort(-size, kind="stable")
+            first, size = first[lanes], size[lanes]
+            state = {k: np.full(len(lanes), v) for k, v in many.start.items()} | {"known": np.zeros(len(lanes), bool)}
+            if keys[0] == last and held:
+                own = int(np.flatnonzero(first == 0)[0])
+                for k in state:
+                    state[k][own] = True if k == "known" else held[k]
+            given = {c: f[c].to_numpy(np.float64, na_value=np.nan) for c in columns}
+            made = {c: np.full(len(f), np.nan) if kind == "double" else np.full(len(f), None, object) for c, kind in out.items()}
+            done = 0
+            while (n := int(np.searchsorted(-size, -done))) >= FEW:
+                rows = first[:n] + done
+                new, row = many.step({k: v[:n] for k, v in state.items()}, {c: v[rows] for c, v in given.items()})
+                for k, v in new.items():
+                    state[k][:n] = v
+                for c, v in made.items():
+                    v[rows] = row[c]
+                done += 1
+            kept_ = lambda i: {k: state[k][i].item() for k in many.start} if state["known"][i] else {}
+            end = int(np.argmax(first))
+            held = kept_(end)
+            for i in range(n):
+                single, rows = kept_(i), range(first[i] + done, first[i] + size[i])
+                values = [plain(f[c].iloc[rows.start : rows.stop]) for c in columns]
+                for r, *x in zip(rows, *values, strict=True):
+                    single, row = step(single, dict(zip(columns, x, strict=True)))
+                    for c, v in made.items():
+                        v[r] = row[c]
+                if i == end:
+                    held = single
+            last, at = keys[-1], orders[-1]
+            return pd.DataFrame({key: f[key], order: f[order], **{c: f[c] for c in carry}, **made})
+
+        waiting, size = [], 0
+        for batch in batches:
+            if len(batch):
+                waiting.append(batch)
+                size += len(batch)
+            if size >= AT_ONCE:
+                yield told(pd.concat(waiting, ignore_index=True))
+                waiting, size = [], 0
+        if size:
+            yield told(pd.concat(waiting, ignore_index=True))
+
+    return run

@@ -131,13 +131,14 @@ def _of_each(key: np.ndarray, h: np.ndarray, y: np.ndarray, claim: np.ndarray, s
     return out
 
 
-def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None) -> DataFrame:
+def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None, in_order: bool = False) -> DataFrame:
     """For rows (entity_id, seq, h, y, claim) and each horizon in the units of h: the path from a row to the first one at or after it.
 
     horizons are fixed lengths; named gives columns of anchors that hold each row's own length, by name (null, not finite
     or not positive: none). Rows without an end are left out. Rows stream by in the order of entity and h, and many entities
     are worked on at once; those of one whose paths have no end yet are held, and work is done when as many again have
-    come, so it grows with the rows.
+    come, so it grows with the rows. in_order spares the shuffle where anchors is made row by row from a fold's result, with
+    seq in the order of h.
     """
     named = named or {}
     columns = [str(x) for x in horizons] + list(named)
@@ -162,7 +163,7 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
                 at = np.flatnonzero((end[:upto] > 0) & (end[:upto] < stop[:upto]))
                 if len(at):
                     m = path_moments(h, y, claim[at], at, end[at]) if key[0] == key[-1] else _of_each(key, h, y, claim, at, end[at])
-                    made.append(pd.DataFrame({"entity_id": key[at], "seq": seq[at], "horizon": columns[k], "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
+                    made.append(pd.DataFrame({"entity_id": key[at], "seq": seq[at], "horizon": k, "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
             return made, upto
 
         for batch in batches:
@@ -186,16 +187,17 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
             yield from told(pd.concat(held, ignore_index=True), True)[0]
 
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lengths.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
+    dealt = lengths if in_order else lengths.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
     kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
-    a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon string, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + ", claim double")
+    a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon int, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + ", claim double")
     c = F.col
+    name = F.element_at(F.array(*map(F.lit, columns)), c("horizon") + 1)
     dy, slope, det = c("displacement"), S.ratio(c("xy"), c("xx")), c("xx") * c("qq") - c("xq") * c("xq")
     two = lambda x: F.when(c("n") >= 2, S.ratio(x, det))
     share = lambda x: F.when(c("length") == 0, 0.0).otherwise(x / c("length"))
     left = F.greatest(F.lit(0.0), c("yy") - 2 * slope * c("xy") + slope * slope * c("xx"))
     return a.select(
-        "entity_id", "seq", "horizon", "requested", "n", "hours", dy.alias("displacement"), slope.alias("slope"), two(c("xy") * c("qq") - c("qy") * c("xq")).alias("quadratic_slope"), two(c("xx") * c("qy") - c("xq") * c("xy")).alias("acceleration"),
+        "entity_id", "seq", name.alias("horizon"), "requested", "n", "hours", dy.alias("displacement"), slope.alias("slope"), two(c("xy") * c("qq") - c("qy") * c("xq")).alias("quadratic_slope"), two(c("xx") * c("qy") - c("xq") * c("xy")).alias("acceleration"),
         c("length").alias("path_length"), share(F.abs(dy)).alias("efficiency"), share(F.sqrt(left / c("n"))).alias("deviation"), F.when(c("claim") == 0, 0.0).otherwise(c("best")).alias("max_progress"), (c("claim") * dy).alias("terminal_progress"), category(c("claim"), dy, slope).alias("category"),
     )
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from .folds import ema_step, hysteresis_step
+import numpy as np
+
+from .folds import Many, ema_step, hysteresis_step
 
 # Fixed values of the state model: bounds, rates, weights.
 EPSILON = 1e-8
@@ -119,6 +122,127 @@ def state_step(state: dict, row: dict) -> tuple[dict, dict]:
     return {**reference, **kept, "t": row["t"], "usual_volume": usual, "gaps": gaps, "clips": clips, "hits": hits}, made
 
 
+def _within(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """within of each value, what is not a number included."""
+    x = np.where(x < hi, x, hi)
+    return np.where(x > lo, x, lo)
+
+
+def _each(f: Callable, *of: np.ndarray) -> np.ndarray:
+    """f of each value by the C library, as single steps have it: numpy's own functions may differ in the last bit."""
+    return np.fromiter(map(f, *(x.tolist() for x in of)), np.float64, len(of[0]))
+
+
+def _total(*terms: np.ndarray) -> np.ndarray:
+    """Sums of floats as Python's sum has them, which carries what is rounded off."""
+    return np.fromiter(map(sum, zip(*(x.tolist() for x in terms), strict=True)), np.float64, len(terms[0]))
+
+
+def _logistics(weights: dict[str, float], values: dict[str, np.ndarray]) -> np.ndarray:
+    return 1 / (1 + _each(math.exp, -weights.get("bias", 0.0) - _total(*(weights[k] * v for k, v in values.items()))))
+
+
+def _sides(x: np.ndarray) -> np.ndarray:
+    return (x > 1e-15).astype(np.int64) - (x < -1e-15)
+
+
+KINDS = np.array(["NONE", "STRUCTURAL/UNKNOWN", "REINFORCING", "REVERSING", "CONTRADICTING"], object)
+_POWER = 1.5
+
+
+def state_steps(state: dict, row: dict) -> tuple[dict, dict]:
+    """state_step for one row each of many entities, to the same bits: state and row hold arrays, missing values are NaN."""
+    with np.errstate(all="ignore"):
+        fine = np.isfinite(row["t"]) & np.isfinite(row["price"]) & np.isfinite(row["volume"])
+        s = state if fine.all() else {k: v[fine] for k, v in state.items()}
+        t, price, volume, quality = (row[c][fine] for c in ("t", "price", "volume", "quality"))
+        known = s["known"]
+        ago = t - s["t"]
+        dt = np.where(known, np.where(ago > 0, ago, 0.0), 1.0)
+        gaps = s["gaps"] + (known & (dt > GAP_SECONDS))
+        quality = _within(np.where(np.isnan(quality), 1.0, quality), 0.0, 1.0)
+        ref = np.where(known, s["ref"] + 0.05 * (price - s["ref"]), price)
+        scale = 0.95 * s["scale"] + 0.05 * np.abs(price - ref)
+        scale = np.where(known, np.where(scale > 1e-4, scale, 1e-4), 1.0)
+
+        before, speed = s["level"], s["velocity"]
+        span = np.where(dt > 1e-6, dt, 1e-6) + EPSILON
+        level = (price - ref) / np.where(EPSILON > scale, EPSILON, scale)
+        raw = (level - before) / span
+        velocity = _within(raw, -VELOCITY_BOUND, VELOCITY_BOUND)
+        clips = s["clips"] + (velocity != raw)
+        raw = (velocity - speed) / span
+        acceleration = _within(raw, -ACCELERATION_BOUND, ACCELERATION_BOUND)
+        clips = clips + (acceleration != raw)
+        raw = acceleration / _each(lambda x: x**_POWER, 1 + velocity * velocity)
+        curvature = _within(raw, -CURVATURE_BOUND, CURVATURE_BOUND)
+        clips = clips + (curvature != raw)
+
+        residual = level - (before + speed * dt)
+        innovation = np.abs(residual) / np.sqrt(np.where(EPSILON > dt + EPSILON, EPSILON, dt + EPSILON))
+        usual = s["usual_volume"] * (1 - VOLUME_RATE) + VOLUME_RATE * volume
+        push = _within(_each(math.log1p, volume / np.where(EPSILON > usual, EPSILON, usual)) + _each(math.log1p, np.where(0.0 > volume, 0.0, volume)) / 10, 0.0, VOLUME_MOST)
+        magnitude = _within(innovation / (1 + innovation), 0.0, 1.0)
+
+        held, evidence, now = _sides(before), _sides(residual), _sides(velocity)
+        held, evidence = np.where(held == 0, _sides(speed), held), np.where(evidence == 0, _sides(velocity - speed), evidence)
+        kind = np.where(held == evidence, 2, np.where(now == evidence, 3, 4))
+        kind = np.where((held == 0) | (evidence == 0), 1, kind)
+        kind = np.where(quality < QUALITY_FLOOR, 1, np.where(magnitude <= math.sqrt(EPSILON), 0, kind))
+        unknown, against = kind == 1, np.isin(KINDS, list(AGAINST))[kind]
+
+        parts = {"level": level, "velocity": velocity, "acceleration": acceleration, "volume": push}
+        mass = _total(*(COHERENCE_WEIGHTS[k] * np.abs(v) for k, v in parts.items()))
+        coherence = _within(np.abs(_total(*(COHERENCE_WEIGHTS[k] * v for k, v in parts.items()))) / (mass + EPSILON), 0.0, 1.0)
+        coherence = np.where(mass > EPSILON, coherence, 0.0)
+        strength = _logistics(STRENGTH_WEIGHTS, {"volume": push, "velocity": np.abs(velocity), "acceleration": np.abs(acceleration), "coherence": coherence, "uncertainty": s["uncertainty"]})
+        agrees = (velocity * speed >= 0) - np.abs(acceleration) / (1 + np.abs(acceleration)) / 4 - 0.4 * against
+        persistence = (1 - PERSISTENCE_RATE) * s["persistence"] + PERSISTENCE_RATE * _within(agrees, 0.0, 1.0)
+        least = np.where(np.abs(residual) < 1.0, np.abs(residual), 1.0)
+        uncertainty = _logistics(UNCERTAINTY_WEIGHTS, {"innovation": innovation, "incoherence": 1 - coherence, "structural": unknown, "quality": 1 - quality, "instability": least})
+        far = np.abs(level) / 4
+        reversal = _logistics(REVERSAL_WEIGHTS, {"oppose": velocity * acceleration < 0, "against": against, "impersistence": 1 - persistence, "extreme": np.where(far < 1.0, far, 1.0), "uncertainty": uncertainty})
+
+        gain = _within(1 + persistence * strength * 0.2, 1.0, 1.35) * _within(1 - uncertainty * 0.35, 0.5, 1.0)
+        half_life = _within(s["half_life"] * gain * np.where(against, 0.75, 1.0), HALF_LIFE_LEAST, HALF_LIFE_MOST)
+        sure = 1 - uncertainty
+        learning = RATE_LEARNING * np.where(sure > 0.2, sure, 0.2) * np.where(strength > 0.5, strength, 0.5) * _within(1 + magnitude * (MULTIPLIER_MOST - 1), 0.8, MULTIPLIER_MOST)
+        proposed = s["rate"] + _within(learning, RATE_LEARNING_LEAST, RATE_LEARNING_MOST) * (strength - uncertainty) * 0.1
+        rate = _within(proposed, RATE_LEAST, RATE_MOST)
+        hits = s["hits"] + (rate != proposed)
+        stretch = (0.7 + 0.6 * persistence) * (0.7 + 0.6 * strength) * (1.1 - 0.8 * uncertainty) * (1 - 0.35 * magnitude)
+        doubt = uncertainty + reversal
+
+        numbers = {
+            "level": level, "velocity": velocity, "acceleration": acceleration, "curvature": curvature, "innovation": innovation,
+            "volume_influence": push, "perturbation": magnitude, "coherence": coherence, "strength": strength, "persistence": persistence,
+            "uncertainty": uncertainty, "reversal": reversal, "half_life": half_life, "rate": rate,
+            "interval": _within(INTERVAL * stretch, INTERVAL_LEAST, INTERVAL_MOST), "support": strength * persistence / np.where(doubt > EPSILON, doubt, EPSILON),
+        }
+        sound = np.all([np.isfinite(v) for v in numbers.values()], axis=0)
+        health = np.select([~sound, gaps > 0, (clips > 0) | (hits > 0), magnitude > 0.7], HEALTHS[:4], HEALTHS[4])
+        new = {"known": np.ones(len(t), bool), "ref": ref, "scale": scale, "t": t, "usual_volume": usual, "gaps": gaps, "clips": clips, "hits": hits}
+        new |= {k: numbers[k] for k in ("level", "velocity", "persistence", "uncertainty", "half_life", "rate")}
+        made = {**numbers, "perturbation_class": KINDS[kind], "health": health}
+    if fine.all():
+        return new, made
+    after, told = {}, {}
+    for k, v in state.items():
+        after[k] = v.copy()
+        after[k][fine] = new[k]
+    for c, v in made.items():
+        told[c] = np.full(len(fine), "INVALID", object) if c == "health" else np.full(len(fine), None, object) if v.dtype == object else np.full(len(fine), np.nan)
+        told[c][fine] = v
+    return after, told
+
+
+HEALTHS = np.array(["INVALID", "DEGRADED_DATA", "DEGRADED_NUMERICAL", "PERTURBED", "HEALTHY"], object)
+STATES = Many(
+    {"ref": 0.0, "scale": 1.0, "t": 0.0, "usual_volume": 1.0, "gaps": 0, "clips": 0, "hits": 0, "level": 0.0, "velocity": 0.0, "persistence": 0.0, "uncertainty": 0.15, "half_life": HALF_LIFE, "rate": RATE},
+    state_steps,
+)
+
+
 ENVELOPE_COLUMNS = "state_before string, state string, aperture_before double, aperture double, safety string, candidate string, candidate_since double, direction string, events array<string>"
 
 

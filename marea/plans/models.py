@@ -33,8 +33,14 @@ def gridded(names, words=()):
 
 def states(spark, sf, carry=()):
     """The state model over ticks; error ticks have quality 0.4."""
-    t = ticks(spark, sf).withColumn("t", F.col("event_time").cast("timestamp").cast("double")).withColumn("quality", F.when(F.col("label") == "error", 0.4).otherwise(1.0))
-    return fold(t, M.state_step, ["t", "price", "volume", "quality"], M.STATE_COLUMNS, carry=list(carry))
+    return states_of(ticks(spark, sf), carry)
+
+
+def states_of(ticks, carry=(), only=None):
+    """States of rows like ticks, with other columns to carry; only names the columns of the model that are wanted, else all are."""
+    out = ", ".join(c for c in M.STATE_COLUMNS.split(", ") if only is None or c.split()[0] in only)
+    t = ticks.withColumn("t", F.col("event_time").cast("timestamp").cast("double")).withColumn("quality", F.when(F.col("label") == "error", 0.4).otherwise(1.0))
+    return fold(t, M.state_step, ["t", "price", "volume", "quality"], out, carry=list(carry), many=M.STATES)
 
 
 def shapes(df):
