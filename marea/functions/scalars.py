@@ -13,14 +13,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def rounded(x: Column | str, digits: int) -> Column:
-    """x to digits places as SQL's double arithmetic tells them: scaled, rounded half away from 0, scaled back. F.round reads a double's decimal text, which is a tie more often."""
-    scale = float(10**digits)
+    """x to digits places as SQL's double arithmetic tells them: scaled, rounded half away from 0, scaled back; what scaling takes out of range stays as it is. F.round reads a double's decimal text, which is a tie more often."""
+    scale, beyond = float(10**digits), float("inf")
     if isinstance(x, str):  # by arithmetic, to the same bits: F.round makes a decimal of each value
         at = F.abs(F.col(x).cast("double") * scale)
         whole = F.floor(at).cast("double")
         near = F.signum(F.col(x).cast("double")) * F.when(at - whole >= 0.5, whole + 1).otherwise(whole) + 0.0
-        return F.when(at < 2.0**52, near).otherwise(F.col(x).cast("double") * scale) / scale
-    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * scale) / scale
+        return F.when(at == beyond, F.col(x).cast("double")).otherwise(F.when(at < 2.0**52, near).otherwise(F.col(x).cast("double") * scale) / scale)
+    near = F.round(x.cast("double") * scale) / scale
+    return F.when(F.abs(near) == beyond, x.cast("double")).otherwise(near)
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
