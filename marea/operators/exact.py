@@ -6,7 +6,8 @@ counts between them give each bucket's place in its group, and only inside bucke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,30 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, buckets
     own = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     at = placed.join(sums.select(*keys, "b", "below"), [*keys, "b"]).withColumn("until", F.col("below") + F.sum("n").over(own))
     return at.select(*keys, F.col("v").alias(value), (F.col("until") - (F.col("n") - 1) / 2).alias(name))
+
+
+def cuts_of(df: DataFrame, columns: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column cut points that part its values into about even buckets, and which of them so many rows share that they are a bucket alone."""
+    at = [k / buckets for k in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(F.col(c) + 0.0, at, 16 * buckets).alias(c) for c in columns]).first()  # buckets - 1 values a column
+    made = []
+    for c in columns:
+        cuts, n = np.unique(np.array([x for x in row[c] or [] if x == x], np.float64), return_counts=True)
+        made.append((cuts, n > 1))
+    return made
+
+
+def bucket_of(v: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each value's bucket, rising with the values; odd buckets hold one value that many rows share."""
+    points, often = cuts
+    if not len(points):
+        return np.zeros(len(v), np.int32)
+    i = np.searchsorted(points, v)
+    at = np.minimum(i, len(points) - 1)
+    return (2 * i + ((points[at] == v) & often[at])).astype(np.int32)
+
+
+def finer(df: DataFrame, *keys: Column) -> DataFrame:
+    """df dealt by keys into more partitions than usual, so that a task sorts its rows in memory."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, min(8 * parts, 256)), *keys)

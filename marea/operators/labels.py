@@ -131,19 +131,21 @@ def _of_each(key: np.ndarray, h: np.ndarray, y: np.ndarray, claim: np.ndarray, s
     return out
 
 
-def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None, in_order: bool = False) -> DataFrame:
+def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: dict[str, str] | None = None, in_order: bool = False, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """For rows (entity_id, seq, h, y, claim) and each horizon in the units of h: the path from a row to the first one at or after it.
 
     horizons are fixed lengths; named gives columns of anchors that hold each row's own length, by name (null, not finite
     or not positive: none). Rows without an end are left out. Rows stream by in the order of entity and h, and many entities
     are worked on at once; those of one whose paths have no end yet are held, and work is done when as many again have
     come, so it grows with the rows. in_order spares the shuffle where anchors is made row by row from a fold's result, with
-    seq in the order of h.
+    seq in the order of h. carry names further columns of anchors to hand on. With whole, rows without an end stay, with n and
+    what is told of the path null; with one horizon rows keep their order then.
     """
     named = named or {}
     columns = [str(x) for x in horizons] + list(named)
-    lengths = anchors.select("entity_id", "seq", F.col("h").cast("double").alias("h"), F.col("y").cast("double").alias("y"), F.col("claim").cast("double").alias("claim"), *[F.lit(float(x)).alias(f"t{k}") for k, x in enumerate(horizons)], *[F.col(f"`{c}`").cast("double").alias(f"t{k}") for k, c in enumerate(named.values(), len(horizons))])
-    names = ["entity_id", "seq", "horizon", "requested", "n", "hours", "displacement", *MOMENTS, "claim"]
+    lengths = anchors.select("entity_id", "seq", F.col("h").cast("double").alias("h"), F.col("y").cast("double").alias("y"), F.col("claim").cast("double").alias("claim"), *[F.lit(float(x)).alias(f"t{k}") for k, x in enumerate(horizons)], *[F.col(f"`{c}`").cast("double").alias(f"t{k}") for k, c in enumerate(named.values(), len(horizons))], *[c for c in carry if c not in ("h", "y", "claim")])
+    handed = ["claim", *[c for c in carry if c != "claim"]]
+    names = ["entity_id", "seq", "horizon", "requested", "n", "hours", "displacement", *MOMENTS, *handed]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, waiting = [], 0, 0  # waiting: rows of the entity that goes on whose paths had no end yet
@@ -161,9 +163,12 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
             upto = int(np.argmax(open_)) if open_.any() else len(h)
             for k, end in enumerate(ends):
                 at = np.flatnonzero((end[:upto] > 0) & (end[:upto] < stop[:upto]))
-                if len(at):
-                    m = path_moments(h, y, claim[at], at, end[at]) if key[0] == key[-1] else _of_each(key, h, y, claim, at, end[at])
-                    made.append(pd.DataFrame({"entity_id": key[at], "seq": seq[at], "horizon": k, "requested": rows[f"t{k}"].to_numpy()[at], "n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m, "claim": claim[at]})[names])
+                if len(at) or (whole and upto):
+                    m = {c: np.empty(0) for c in MOMENTS} if not len(at) else path_moments(h, y, claim[at], at, end[at]) if key[0] == key[-1] else _of_each(key, h, y, claim, at, end[at])
+                    told_of = pd.DataFrame({"n": end[at] - at, "hours": h[end[at]] - h[at], "displacement": y[end[at]] - y[at], **m}, index=at)
+                    at = np.arange(upto) if whole else at
+                    told_of = told_of.reindex(at) if whole else told_of
+                    made.append(told_of.assign(entity_id=key[at], seq=seq[at], horizon=k, requested=rows[f"t{k}"].to_numpy()[at], **{c: rows[c].to_numpy()[at] for c in handed})[names])
             return made, upto
 
         for batch in batches:
@@ -189,7 +194,7 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lengths if in_order else lengths.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
     kinds = {f.name: f.dataType.simpleString() for f in lengths.schema}
-    a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon int, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + ", claim double")
+    a = dealt.mapInPandas(run, f"entity_id {kinds['entity_id']}, seq {kinds['seq']}, horizon int, requested double, n long, hours double, displacement double, " + ", ".join(f"{k} double" for k in MOMENTS) + "".join(f", {k} {kinds[k]}" for k in handed))
     c = F.col
     name = F.element_at(F.array(*map(F.lit, columns)), c("horizon") + 1)
     dy, slope, det = c("displacement"), S.ratio(c("xy"), c("xx")), c("xx") * c("qq") - c("xq") * c("xq")
@@ -198,7 +203,7 @@ def time_horizons(anchors: DataFrame, horizons: tuple[float, ...] = (), named: d
     left = F.greatest(F.lit(0.0), c("yy") - 2 * slope * c("xy") + slope * slope * c("xx"))
     return a.select(
         "entity_id", "seq", name.alias("horizon"), "requested", "n", "hours", dy.alias("displacement"), slope.alias("slope"), two(c("xy") * c("qq") - c("qy") * c("xq")).alias("quadratic_slope"), two(c("xx") * c("qy") - c("xq") * c("xy")).alias("acceleration"),
-        c("length").alias("path_length"), share(F.abs(dy)).alias("efficiency"), share(F.sqrt(left / c("n"))).alias("deviation"), F.when(c("claim") == 0, 0.0).otherwise(c("best")).alias("max_progress"), (c("claim") * dy).alias("terminal_progress"), category(c("claim"), dy, slope).alias("category"),
+        c("length").alias("path_length"), share(F.abs(dy)).alias("efficiency"), share(F.sqrt(left / c("n"))).alias("deviation"), F.when(c("claim") == 0, 0.0).otherwise(c("best")).alias("max_progress"), (c("claim") * dy).alias("terminal_progress"), F.when(c("n").isNotNull(), category(c("claim"), dy, slope)).alias("category"), *carry,
     )
 
 
@@ -248,25 +253,28 @@ def first_reversals(h: np.ndarray, y: np.ndarray, claim: np.ndarray, h0: np.ndar
     return np.minimum(place, n), sums
 
 
-def validity(anchors: DataFrame) -> DataFrame:
-    """entity_id, seq, kind, lower, upper for rows (entity_id, seq, claim, h, y, gap): when the path first reverses a row's claim.
+def validity(anchors: DataFrame, in_order: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """entity_id, seq, the columns of carry, kind, lower, upper for rows (entity_id, seq, claim, h, y, gap): when the path first reverses a row's claim.
 
     An entity's rows stream by in the order of h; claims that stand are held with their running sum. Rows are taken in
     blocks of a quarter of the standing claims at least, and a block is searched by all claims at once in steps of powers
-    of two, so the time of a row doesn't grow with the claims. A claim of 0 is INCONCLUSIVE.
+    of two, so the time of a row doesn't grow with the claims. A claim of 0 is INCONCLUSIVE. in_order is as in
+    time_horizons; carried columns are numbers.
     """
+    kept = ["seq", *carry]
+    names = ["entity_id", *kept, "kind", "lower", "upper"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows, waiting = None, [], 0
-        none = pd.DataFrame({k: np.empty(0) for k in ("seq", "claim", "h", "y", "sum")})
+        none = pd.DataFrame({k: np.empty(0) for k in (*kept, "claim", "h", "y", "sum")})
         standing, last = none, np.nan
 
         def block() -> tuple[pd.DataFrame, pd.DataFrame, float]:
             """(what ends in the rows waiting, what stands after them, their last h)."""
             f = pd.concat(rows, ignore_index=True)
             h, y, gap = f["h"].to_numpy(np.float64), f["y"].to_numpy(np.float64), f["gap"].fillna(False).to_numpy(bool)
-            new = f[f["claim"] != 0]
-            all_ = pd.concat([standing, pd.DataFrame({"seq": new["seq"], "claim": new["claim"].astype(float), "h": new["h"], "y": new["y"], "sum": 0.0})], ignore_index=True) if len(standing) else pd.DataFrame({"seq": new["seq"].to_numpy(), "claim": new["claim"].to_numpy(np.float64), "h": new["h"].to_numpy(np.float64), "y": new["y"].to_numpy(np.float64), "sum": np.zeros(len(new))})
+            new = f.loc[f["claim"] != 0, [*kept, "claim", "h", "y"]].assign(sum=0.0)
+            all_ = pd.concat([standing, new], ignore_index=True) if len(standing) else new.reset_index(drop=True)
             begun = np.concatenate([np.zeros(len(standing), np.int64), np.flatnonzero(f["claim"].to_numpy() != 0) + 1])
             h0 = all_["h"].to_numpy(np.float64)
             at, sums = first_reversals(h, y, np.sign(all_["claim"].to_numpy(np.float64)), h0, all_["y"].to_numpy(np.float64), begun, all_["sum"].to_numpy(np.float64))
@@ -274,8 +282,9 @@ def validity(anchors: DataFrame) -> DataFrame:
             where = at[done]
             x = h[where] - h0[done]
             before = np.where(where > 0, h[where - 1], last) - h0[done]
-            idle = f[f["claim"] == 0]["seq"].to_numpy()
-            ended = pd.DataFrame({"entity_id": key, "seq": np.concatenate([all_["seq"].to_numpy()[done], idle]).astype(np.int64), "kind": np.concatenate([np.where(gap[where], "INTERVAL", "EXACT"), np.full(len(idle), "INCONCLUSIVE")]), "lower": np.concatenate([np.where(gap[where], before, x), np.zeros(len(idle))]), "upper": np.concatenate([x, np.full(len(idle), np.nan)])})
+            idle = f.loc[f["claim"] == 0, kept]
+            ended = pd.concat([all_.loc[done, kept], idle]) if len(idle) else all_.loc[done, kept]
+            ended = ended.assign(entity_id=key, kind=np.concatenate([np.where(gap[where], "INTERVAL", "EXACT"), np.full(len(idle), "INCONCLUSIVE")]), lower=np.concatenate([np.where(gap[where], before, x), np.zeros(len(idle))]), upper=np.concatenate([x, np.full(len(idle), np.nan)]))[names]
             return ended, all_.assign(sum=sums)[~done].reset_index(drop=True), h[-1]
 
         def many(f: pd.DataFrame) -> pd.DataFrame:
@@ -294,10 +303,10 @@ def validity(anchors: DataFrame) -> DataFrame:
             before = np.where(at - 1 > np.arange(len(f)), h[at - 1] - h, 0.0)  # an anchor's own row is at 0
             lower = np.where(claim == 0, 0.0, np.where(met, np.where(hidden, before, h[at] - h), h[stop - 1] - h))
             kind = np.where(claim == 0, "INCONCLUSIVE", np.where(met, np.where(hidden, "INTERVAL", "EXACT"), "RIGHT"))
-            return pd.DataFrame({"entity_id": entity, "seq": f["seq"].astype(np.int64), "kind": kind, "lower": lower, "upper": np.where(met, h[at] - h, np.nan)})
+            return f[["entity_id", *kept]].assign(kind=kind, lower=lower, upper=np.where(met, h[at] - h, np.nan))
 
         def right() -> pd.DataFrame:
-            return pd.DataFrame({"entity_id": key, "seq": standing["seq"].astype(np.int64), "kind": "RIGHT", "lower": last - standing["h"], "upper": np.nan})
+            return standing[kept].assign(entity_id=key, kind="RIGHT", lower=last - standing["h"], upper=np.nan)[names]
 
         def each(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
             """What becomes of whole entities, short ones together and long ones by blocks."""
@@ -352,6 +361,7 @@ def validity(anchors: DataFrame) -> DataFrame:
             yield right()
 
     parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    typed = anchors.select("entity_id", "seq", F.col("claim").cast("double"), F.col("h").cast("double"), F.col("y").cast("double"), "gap")
-    dealt = typed.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
-    return dealt.mapInPandas(run, "entity_id long, seq long, kind string, lower double, upper double").withColumn("upper", F.nanvl("upper", F.lit(None).cast("double")))
+    typed = anchors.select("entity_id", "seq", F.col("claim").cast("double"), F.col("h").cast("double"), F.col("y").cast("double"), "gap", *carry)
+    dealt = typed if in_order else typed.repartition(parts, "entity_id").sortWithinPartitions("entity_id", "h", "seq")
+    kinds = {f.name: f.dataType.simpleString() for f in typed.schema}
+    return dealt.mapInPandas(run, "entity_id long, seq long, " + "".join(f"{k} {kinds[k]}, " for k in carry) + "kind string, lower double, upper double").withColumn("upper", F.nanvl("upper", F.lit(None).cast("double")))

@@ -7,28 +7,59 @@ down to sums by block of time, from which the effect is taken, and its interval
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .exact import average_ranks
-from .survival import concordance
+from .exact import bucket_of, cuts_of, finer
+from .survival import concordances
 
 _SUMS = ["n", "a", "b", "aa", "bb", "ab"]
 
 
-def ordinal(records: DataFrame, pairs: dict[str, tuple[Column, Column]], block: str) -> DataFrame:
-    """Rank correlation of each pair (predictor, outcome). Ranks are those of all records, also where blocks are drawn anew."""
-    listed = F.array(*[F.struct(F.lit(k).alias("dimension"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, (x, y) in pairs.items()])
-    d = records.select(F.col(block).alias("block"), F.explode(listed).alias("d")).select("block", "d.*")
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    d = d.where(finite("x") & finite("y"))
-    counted = d.groupBy("dimension", "block", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    r = counted.join(average_ranks(d, ["dimension"], "x", "a"), ["dimension", "x"]).join(average_ranks(d, ["dimension"], "y", "b"), ["dimension", "y"])
-    n, a, b = F.col("n"), F.col("a"), F.col("b")
-    return r.groupBy("dimension", "block").agg(*[F.sum(e).alias(k) for k, e in zip(_SUMS, (n, n * a, n * b, n * a * a, n * b * b, n * a * b), strict=True)]).withColumn("kind", F.lit("ordinal"))
+def ordinal(records: DataFrame, pairs: dict[str, tuple[Column, Column]], block: str, buckets: int = 256) -> DataFrame:
+    """Rank correlation of each pair (predictor, outcome). Ranks are those of all records, also where blocks are drawn anew.
+
+    Records are dealt by buckets of the predictor, which gives its ranks, then with these by buckets of the outcome, and no
+    join is made. Records of a value that many share are spread over tasks. records is read some times, so it should be kept.
+    """
+    marks = range(len(pairs))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    both = [(x.cast("double"), y.cast("double")) for x, y in pairs.values()]
+    d = records.select(F.col(block).alias("block"), *[F.when(finite(x) & finite(y), v).alias(f"{n}{k}") for k, (x, y) in enumerate(both) for n, v in (("x", x), ("y", y))])
+    cuts = dict(zip([f"{n}{k}" for n in "xy" for k in marks], cuts_of(d, [f"{n}{k}" for n in "xy" for k in marks], buckets), strict=True))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for k in marks:
+                own = f.loc[f[f"x{k}"].notna(), ["block", f"x{k}", f"y{k}"]].set_axis(["block", "x", "y"], axis=1).sort_values("x")  # neighbours alike take less room in shuffles
+                x, y = own["x"].to_numpy() + 0.0, own["y"].to_numpy() + 0.0
+                yield own.assign(k=k, xb=bucket_of(x, cuts[f"x{k}"]), yb=bucket_of(y, cuts[f"y{k}"]), x=x, y=y)[["k", "xb", "yb", "block", "x", "y"]]
+
+    dealt = d.mapInPandas(deal, "k int, xb int, yb int, block long, x double, y double")
+    c, sides = F.col, F.array(F.struct(F.lit("x").alias("side"), F.col("xb").alias("b")), F.struct(F.lit("y").alias("side"), F.col("yb").alias("b")))
+    sizes = dealt.select("k", F.inline(sides)).groupBy("k", "side", "b").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.withColumn("below", F.sum("m").over(Window.partitionBy("k", "side").orderBy("b")) - c("m")).persist()  # a row for each bucket
+
+    def ranked(rows: DataFrame, side: str, value: str, name: str, salt: Column) -> DataFrame:
+        """rows with the mean rank of value instead of it and its bucket."""
+        at = sizes.where(c("side") == side).select("k", c("b").alias(f"{side}b"), "m", "below")
+        own = Window.partitionBy("k", f"{side}b", "salt").orderBy(value)
+        rows = finer(rows.withColumn("salt", F.when(c(f"{side}b") % 2 == 1, salt)), c("k"), c(f"{side}b"), c("salt"))
+        until = F.count(F.lit(1)).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = rows.withColumn("mean", (F.rank().over(own) + until) / 2).join(F.broadcast(at), ["k", f"{side}b"])
+        rank = c("below") + F.when(c(f"{side}b") % 2 == 1, (c("m") + 1) / 2).otherwise(c("mean"))
+        return placed.withColumn(name, rank).drop("mean", "salt", "m", "below", f"{side}b", value)
+
+    r = ranked(dealt, "x", "x", "a", F.pmod(F.xxhash64("y", "block"), F.lit(64)))
+    r = ranked(r, "y", "y", "b", F.pmod(F.xxhash64("a"), F.lit(64)))
+    one, a, b = F.lit(1.0), c("a"), c("b")
+    sums = r.groupBy("k", "block").agg(*[F.sum(e).alias(n) for n, e in zip(_SUMS, (one, a, b, a * a, b * b, a * b), strict=True)])
+    return sums.withColumns({"dimension": F.element_at(F.array(*map(F.lit, pairs)), c("k") + 1), "kind": F.lit("ordinal")}).drop("k")
 
 
 def agreement(records: DataFrame, pairs: dict[str, tuple[Column, Column]], block: str) -> DataFrame:
@@ -46,13 +77,11 @@ def contrast(records: DataFrame, pairs: dict[str, tuple[Column, str, str, Column
 
 
 def censored(records: DataFrame, predictors: dict[str, Column], block: str) -> tuple[DataFrame, DataFrame]:
-    """(whole, by block): pairs and score of each predictor with the records' durations (kind, lower, upper), over all records, and of pairs inside a block."""
-    listed = F.array(*[F.struct(F.lit(k).alias("dimension"), x.cast("double").alias("x")) for k, x in predictors.items()])
-    d = records.where("kind <> 'INCONCLUSIVE'").select(F.col(block).alias("block"), "kind", "lower", "upper", F.explode(listed).alias("d")).select("block", "kind", "lower", "upper", "d.*")
-    whole = concordance(d, "dimension", "x", "kind", "lower", "upper")
-    own = concordance(d.withColumn("key", F.concat_ws("/", "dimension", F.col("block").cast("string"))), "key", "x", "kind", "lower", "upper")
-    own = own.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("dimension"), F.split_part("key", F.lit("/"), F.lit(2)).cast("long").alias("block"), F.col("pairs").cast("double").alias("n"), F.col("score").alias("a"))
-    return whole, own.withColumn("kind", F.lit("censored"))
+    """(whole, by block): pairs and score of each predictor with the records' durations (kind, lower, upper), over all records, and of pairs inside a block. records is read some times."""
+    d = records.where("kind <> 'INCONCLUSIVE'").select(F.col(block).alias("block"), "kind", "lower", "upper", *[x.cast("double").alias(k) for k, x in predictors.items()])
+    whole, own = concordances(d, list(predictors), "block", "kind", "lower", "upper")
+    own = own.select(F.col("predictor").alias("dimension"), "block", F.col("pairs").cast("double").alias("n"), F.col("score").alias("a"))
+    return whole.withColumnRenamed("predictor", "dimension"), own.withColumn("kind", F.lit("censored"))
 
 
 def _effect() -> Column:
@@ -74,8 +103,6 @@ def evidence(sums: DataFrame, replicates: int = 400, seed: int = 11) -> DataFram
 
     Draws come from hashes of (seed, replicate, draw), so a task run again draws the same.
     """
-    from pyspark.sql import Window
-
     own = Window.partitionBy("dimension")
     sums = sums.persist()  # a row for each dimension and block, read by the effects and twice by the draws
     full = sums.select("dimension", "kind", "block", *_SUMS).withColumns({"at": F.row_number().over(own.orderBy("block")) - 1, "blocks": F.count(F.lit(1)).over(own)})

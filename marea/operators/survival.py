@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exact import bucket_of, cuts_of, finer
+
 
 def later_and_larger(t: np.ndarray, p: np.ndarray, k: np.ndarray, m: np.ndarray) -> int:
     """Sum of k[i] m[j] over t[j] > t[i], twice where p[j] > p[i] and once where equal; n log n sorted look-ups.
@@ -87,6 +92,125 @@ def concordance(df: DataFrame, key: str, predictor: str, kind: str, lower: str,
     return both.withColumn("concordance", F.try_divide("score", F.when(F.col("pairs") > 0, F.col("pairs"))))
 
 
+def later_pairs(t: np.ndarray, k: np.ndarray, m: np.ndarray) -> int:
+    """Sum of k[i] m[j] over t[j] > t[i]."""
+    order = np.argsort(t, kind="stable")
+    sums = np.concatenate([[0], np.cumsum(m[order])])
+    return int((k * (sums[-1] - sums[np.searchsorted(t[order], t, "right")])).sum())
+
+
+def concordances(df: DataFrame, predictors: list[str], block: str, kind: str, lower: str, upper: str) -> tuple[DataFrame, DataFrame]:
+    """(predictor, pairs, score, concordance) over all rows and (predictor, block, pairs, score) of pairs inside a block: as `concordance` of each predictor, and of each predictor and block.
+
+    For many rows: a row is dealt once into buckets of time, with all predictors, and once for each predictor into buckets of its
+    values, and both serve the whole and the blocks. A value that many rows share is a bucket of its own: such times are only
+    counted, such predictors counted before they are dealt. df is read some times, so it should be kept. Predictors that are not
+    a number count as missing.
+    """
+    parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = range(len(predictors))
+    names = [f"p{d}" for d in marks]
+    c = F.col
+    end = F.when(c(kind) == "EXACT", c(lower)).when(c(kind) == "INTERVAL", c(upper))
+    rows = df.where(c(lower).isNotNull() & c(block).isNotNull()).select(c(block).cast("long").alias("block"), c(lower).cast("double").alias("low"), end.cast("double").alias("end"), (c(kind) == "EXACT").alias("exact"), c(kind).isin("EXACT", "INTERVAL", "RIGHT").alias("told"), *[c(p).cast("double").alias(n) for p, n in zip(predictors, names, strict=True)])
+    t_cuts, *p_cuts = cuts_of(rows, ["low", *names], parts)
+
+    def sides(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their times, k, m): exact ones, which end where they begin to be outlived, then starts and ends of the others."""
+        low, last, exact = f["low"].to_numpy(np.float64) + 0.0, f["end"].to_numpy(np.float64) + 0.0, f["exact"].fillna(False).to_numpy(bool)
+        for at, t, k, m in ((exact, low, 1, 1), (~exact, low, 0, 1), (~exact & ~np.isnan(last), last, 1, 0)):
+            yield np.flatnonzero(at), t[at], np.full(at.sum(), k), np.full(at.sum(), m)
+
+    def timed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for at, t, k, m in sides(f):
+                tb = bucket_of(t, t_cuts)
+                made = f.iloc[at][["block", *names]].assign(tb=tb, t=t, side=(2 * k + m).astype(np.int32))
+                yield made[tb % 2 == 0][["tb", "t", "side", "block", *names]].sort_values("t")  # neighbours alike take less room in shuffles
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Exact rows of times that many share, counted for each predictor."""
+        for f in batches:
+            at, t, _, _ = next(sides(f))
+            tb, own = bucket_of(t, t_cuts), f.iloc[at]
+            for d in marks:
+                hot = (tb % 2 == 1) & own[names[d]].notna().to_numpy()
+                yield pd.DataFrame({"d": d, "tb": tb[hot], "block": own["block"].to_numpy()[hot], "c": 1}).groupby(["d", "tb", "block"], as_index=False)["c"].sum()
+
+    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, few = ["d", "pb", "p", "tb", "block"], []
+
+        def counted() -> pd.DataFrame:
+            return pd.concat(few).groupby(keys, as_index=False)[["k", "m"]].sum()
+
+        for f in batches:
+            for at, t, k, m in sides(f):
+                tb, own = bucket_of(t, t_cuts), f.iloc[at]
+                for d in marks:
+                    p = own[names[d]].to_numpy(np.float64) + 0.0
+                    there = ~np.isnan(p)
+                    made = pd.DataFrame({"d": d, "pb": bucket_of(p[there], p_cuts[d]), "p": p[there], "tb": tb[there], "block": own["block"].to_numpy()[there], "k": k[there], "m": m[there]})
+                    often = made["pb"].to_numpy() % 2 == 1
+                    few.append(made[often])
+                    yield made[~often].sort_values("p")
+            if sum(map(len, few)) > 100_000:
+                few = [counted()]
+                if len(few[0]) > 50_000:
+                    yield few.pop()
+        if few:
+            yield counted()
+
+    def over(f: pd.DataFrame, d: int) -> Iterator[tuple[int | None, pd.DataFrame]]:
+        """All rows with predictor d, and those of each block."""
+        yield None, f
+        yield from f.groupby("block")
+
+    def made_of(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["d", "block", "halves", "pairs", "ties", "exact"]).astype({"block": "Int64"})
+
+    def inside(f: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for d in marks:
+            for b, own in over(f[f[names[d]].notna()], d):
+                t, p, side = own["t"].to_numpy(), own[names[d]].to_numpy(), own["side"].to_numpy()
+                k, m = side // 2, side % 2
+                often = np.unique(t[side == 3], return_counts=True)[1].astype(np.int64)
+                found.append((d, b, later_and_larger(t, p, k, m), later_pairs(t, k, m), int((often * (often - 1) // 2).sum()), int(often.sum())))
+        return made_of(found)
+
+    def beside(f: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one bucket of a predictor at different times, and the grid's cells of that bucket."""
+        d, pb = int(f["d"].iloc[0]), int(f["pb"].iloc[0])
+        found = [(d, b, later_and_larger(*(own[c].to_numpy() for c in ("tb", "p", "k", "m"))), None, 0, 0, 0) for b, own in over(f, d)]
+        cells = f.groupby(["block", "tb"], as_index=False)[["k", "m"]].sum()
+        cells = cells.assign(d=d, pb=pb, halves=0)[["d", "block", "halves", "tb", "pb", "k", "m"]]
+        halves = pd.DataFrame(found, columns=["d", "block", "halves", "tb", "pb", "k", "m"]).astype({"block": "Int64", "tb": "Int64"})
+        return pd.concat([halves, cells.astype({"block": "Int64", "tb": "Int64"})])
+
+    def apart(f: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different buckets of the predictor, and all pairs of different buckets of time."""
+        t, p, k, m = (f[c].to_numpy() for c in ("tb", "pb", "k", "m"))
+        same = sum(later_pairs(t[p == x], k[p == x], m[p == x]) for x in np.unique(p))
+        b = f["block"].iloc[0]
+        return made_of([(int(f["d"].iloc[0]), None if pd.isna(b) else int(b), later_and_larger(t, p, k, m) - same, later_pairs(t, k, m), 0, 0)])
+
+    schema = "d int, block long, halves long, pairs long, ties long, exact long"
+    listed = ", ".join(f"{n} double" for n in names)
+    near = finer(rows.where("told").mapInPandas(timed, f"tb int, t double, side int, block long, {listed}"), c("tb")).groupBy("tb").applyInPandas(inside, schema)
+    dealt = rows.where("told").mapInPandas(valued, "d int, pb int, p double, tb int, block long, k long, m long")
+    met = finer(dealt, c("d"), c("pb")).groupBy("d", "pb").applyInPandas(beside, "d int, block long, halves long, tb int, pb int, k long, m long").persist()  # cells, bounded by the numbers of buckets and blocks
+    cells = met.where("tb IS NOT NULL").select("d", "block", "tb", "pb", "k", "m")
+    cells = cells.unionByName(cells.groupBy("d", "tb", "pb").agg(F.sum("k").alias("k"), F.sum("m").alias("m")).withColumn("block", F.lit(None).cast("long")))
+    far = cells.groupBy("d", "block").applyInPandas(apart, schema)
+    often = rows.where("told").mapInPandas(shared, "d int, tb int, block long, c long").groupBy("d", "tb", "block").agg(F.sum("c").alias("c"))
+    often = often.unionByName(often.groupBy("d", "tb").agg(F.sum("c").alias("c")).withColumn("block", F.lit(None).cast("long")))
+    none = F.lit(0).cast("long")
+    parts_ = [near, far, met.where("tb IS NULL").select("d", "block", "halves", none.alias("pairs"), none.alias("ties"), none.alias("exact")), often.select("d", "block", none.alias("halves"), none.alias("pairs"), F.expr("c * (c - 1) div 2").alias("ties"), c("c").alias("exact"))]
+    sums = reduce(DataFrame.unionByName, parts_).groupBy("d", "block").agg(*[F.sum(x).alias(x) for x in ("halves", "pairs", "ties", "exact")]).where("pairs > 0 OR exact > 0").persist()  # a row for each predictor and block
+    told = sums.select(F.element_at(F.array(*map(F.lit, predictors)), c("d") + 1).alias("predictor"), "block", (c("pairs") + c("ties")).alias("pairs"), ((c("halves") + c("ties")) / 2).alias("score"))
+    return told.where("block IS NULL").drop("block").withColumn("concordance", F.try_divide("score", F.when(c("pairs") > 0, c("pairs")))), told.where("block IS NOT NULL")
+
+
 def block_bootstrap(df: DataFrame, key: str, block: str, value: Column, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """key, blocks, mean, lo, hi: the mean of value and its 95 % percentile interval over resampled blocks.
 
