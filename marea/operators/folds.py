q_state_resumed: resumed parts step many entities at once

Symptom: the state model over three resumed parts spent two thirds of its CPU in Python, one call of the step a row, and the first two parts are stepped twice (rows and final states).
Evidence: on 100,000 ticks of sf0.1, warm, Python took 683 CPU seconds per input GB of 1,039 in all (JVM 284, GC 23); a fold that restores states, and the one that tells final states, always went row by row, while the plain fold has a step for many entities.
Fix: the fold of many entities now takes restored states and tells final ones as well; resumed passes it on, so q_state_resumed uses the step the state model already has. Rows, states and errors stay those of one row after the other.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 680 -> 392 s, shuffle 0.30 -> 0.30 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 12 -> 9 s, most memory of a task 235 -> 235 MB; at 6 GB of input CPU 3030 -> 953 s, shuffle 1.81 -> 1.81 GB, spill 0.00 -> 0.00 GB, read 0.67 -> 0.67 GB, longest task 45 -> 11 s, most memory of a task 436 -> 436 MB; with hot keys, at 1 GB of input CPU 700 -> 355 s, shuffle 0.30 -> 0.29 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 34 -> 19 s, most memory of a task 403 -> 403 MB.

@@ -131,28 +131,31 @@ def fold(df: DataFrame, step: Step, columns: list[str], out: str, key: str = "en
     in_order spares the shuffle where df is made row by row from another fold's result, whose order it still has; rows of
     an entity that come out of order are an error. restored (key, order, state), as `final_states` gives it, is the state
     from before an entity's first row; rows up to that order are an error then. With many, entities that are sorted into one
-    task take their rows together, AT_ONCE rows at a time; the rest of long ones, where few are left, goes row by row.
+    task take their rows together, AT_ONCE rows at a time, restored or not; the rest of long ones, where few are left, goes row by row.
     """
     carry = carry or []
     reads = list(dict.fromkeys([*columns, *carry]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     if in_order and restored is not None:
         raise ValueError("states are restored where rows are sorted")
-    if many is not None and restored is None:
-        run = _together(step, many, columns, carry, dict(f.split() for f in out.split(", ")), key, order)
+    if many is not None:
+        run = _together(step, many, columns, carry, dict(f.split() for f in out.split(", ")), key, order, restored is not None)
     else:
         run = _folder(step, reads, carry, [f.split()[0] for f in out.split(", ")], key, order, restored is not None)
     carried = "".join(f"{c} {kinds[c]}, " for c in carry)
     return _dealt(df, reads, key, order, in_order, restored).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {carried}{out}")
 
 
-def final_states(df: DataFrame, step: Step, columns: list[str], key: str = "entity_id", order: str = "seq", restored: DataFrame | None = None) -> DataFrame:
+def final_states(df: DataFrame, step: Step, columns: list[str], key: str = "entity_id", order: str = "seq", restored: DataFrame | None = None, many: Many | None = None) -> DataFrame:
     """key, order, state: the order of each entity's last row and the state after it as JSON, which `fold` restores.
 
-    Entities of restored without rows in df keep their state.
+    Entities of restored without rows in df keep their state. many is as in `fold`.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    run = _folder(step, list(dict.fromkeys(columns)), [], None, key, order, restored is not None)
+    if many is not None:
+        run = _together(step, many, columns, [], None, key, order, restored is not None)
+    else:
+        run = _folder(step, list(dict.fromkeys(columns)), [], None, key, order, restored is not None)
     return _dealt(df, list(dict.fromkeys(columns)), key, order, False, restored).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state string")
 
 
@@ -203,30 +206,44 @@ def _folder(step: Step, reads: list[str], carry: list[str], names: list[str] | N
     return run
 
 
-def _together(step: Step, many: Many, columns: list[str], carry: list[str], out: dict[str, str], key: str, order: str):
-    """The fold of one task by many: entities of some rows take their first rows at once, then their second ones, and so on."""
+def _together(step: Step, many: Many, columns: list[str], carry: list[str], out: dict[str, str] | None, key: str, order: str, restored: bool = False):
+    """The fold of one task by many: entities of some rows take their first rows at once, then their second ones, and so on. Without out, each entity's last order and state."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, at, held = None, None, {}  # the entity that may go on, its last order and state
+        last, at, held, begun = None, None, {}, False  # the entity that may go on, its last order and state, and whether that is as it was restored
 
         def told(f: pd.DataFrame) -> pd.DataFrame:
-            nonlocal last, at, held
+            nonlocal last, at, held, begun
             keys, orders = f[key].to_numpy(), f[order].to_numpy()
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            back = np.r_[at is not None and keys[0] == last and orders[0] < at, (keys[1:] == keys[:-1]) & (orders[1:] < orders[:-1])]
+            texts = f["__state"].to_numpy() if restored else None
+            stored = f["__state"].notna().to_numpy() if restored else np.zeros(len(f), bool)
+            same = keys[1:] == keys[:-1]
+            back = np.r_[at is not None and keys[0] == last and (orders[0] < at or begun and orders[0] == at), same & ((orders[1:] < orders[:-1]) | stored[:-1] & (orders[1:] == orders[:-1]))]
             if back.any():
                 k = int(np.argmax(back))
                 raise ValueError(f"rows of {key} {keys[k]} are out of order: {orders[k]} after {orders[k - 1] if k else at}")
-            size = np.diff(first, append=len(f))
+            first = np.flatnonzero(np.r_[True, ~same])
+            ends = np.r_[first[1:], len(f)] - 1
+            heads = np.add.reduceat(stored, first, dtype=np.int64)  # states are sorted before the rows of their entity
+            size = ends + 1 - first - heads
             lanes = np.argsort(-size, kind="stable")
-            first, size = first[lanes], size[lanes]
+            first, size, heads, ends = first[lanes], size[lanes], heads[lanes], ends[lanes]
             state = {k: np.full(len(lanes), v) for k, v in many.start.items()} | {"known": np.zeros(len(lanes), bool)}
-            if keys[0] == last and held:
-                own = int(np.flatnonzero(first == 0)[0])
-                for k in state:
-                    state[k][own] = True if k == "known" else held[k]
+
+            def begin(lane: int, single: dict) -> None:
+                for k in state if single else ():
+                    state[k][lane] = True if k == "known" else single[k]
+
+            before = (last, at, held)
+            if keys[0] == last:
+                begin(int(np.flatnonzero(first == 0)[0]), held)
+                before = (None, None, {})
+            for lane in np.flatnonzero(heads):
+                state["known"][lane] = False
+                begin(lane, json.loads(texts[first[lane] + heads[lane] - 1]))
+            first = first + heads
             given = {c: f[c].to_numpy(np.float64, na_value=np.nan) for c in columns}
-            made = {c: np.full(len(f), np.nan) if kind == "double" else np.full(len(f), None, object) for c, kind in out.items()}
+            made = {c: np.full(len(f), np.nan) if kind == "double" else np.full(len(f), None, object) for c, kind in (out or {}).items()}
             done = 0
             while (n := int(np.searchsorted(-size, -done))) >= FEW:
                 rows = first[:n] + done
@@ -237,8 +254,6 @@ def _together(step: Step, many: Many, columns: list[str], carry: list[str], out:
                     v[rows] = row[c]
                 done += 1
             kept_ = lambda i: {k: state[k][i].item() for k in many.start} if state["known"][i] else {}
-            end = int(np.argmax(first))
-            held = kept_(end)
             for i in range(n):
                 single, rows = kept_(i), range(first[i] + done, first[i] + size[i])
                 values = [plain(f[c].iloc[rows.start : rows.stop]) for c in columns]
@@ -246,10 +261,14 @@ def _together(step: Step, many: Many, columns: list[str], carry: list[str], out:
                     single, row = step(single, dict(zip(columns, x, strict=True)))
                     for c, v in made.items():
                         v[r] = row[c]
-                if i == end:
-                    held = single
-            last, at = keys[-1], orders[-1]
-            return pd.DataFrame({key: f[key], order: f[order], **{c: f[c] for c in carry}, **made})
+                begin(i, single)
+            end = int(np.argmax(ends))
+            last, at, held, begun = keys[-1], orders[-1], kept_(end), bool(stored[-1])
+            if out is not None:
+                rows = pd.DataFrame({key: f[key], order: f[order], **{c: f[c] for c in carry}, **made})
+                return rows[~stored] if restored else rows
+            ended = [before, *((keys[z], orders[z], kept_(i)) for i, z in enumerate(ends) if i != end)]
+            return pd.DataFrame([(k, o, kept(s)) for k, o, s in ended if k is not None], columns=[key, order, "state"])
 
         waiting, size = [], 0
         for batch in batches:
@@ -261,5 +280,7 @@ def _together(step: Step, many: Many, columns: list[str], carry: list[str], out:
                 waiting, size = [], 0
         if size:
             yield told(pd.concat(waiting, ignore_index=True))
+        if out is None and last is not None:
+            yield pd.DataFrame([(last, at, kept(held))], columns=[key, order, "state"])
 
     return run

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import Step, final_states, fold
+from .folds import Many, Step, final_states, fold
 
 SEAL_COLUMNS = "accepted long, logical string, semantic string"
 
@@ -58,12 +58,12 @@ def resumed_states(parts: list[DataFrame], step: Step, columns: list[str]) -> Da
     return states
 
 
-def resumed(parts: list[DataFrame], step: Step, columns: list[str], out: str, carry: list[str] | None = None) -> DataFrame:
-    """The fold of all parts, each begun from the states after the one before: the rows of one fold over everything, if each part's rows come after the last one's."""
+def resumed(parts: list[DataFrame], step: Step, columns: list[str], out: str, carry: list[str] | None = None, many: Many | None = None) -> DataFrame:
+    """The fold of all parts, each begun from the states after the one before: the rows of one fold over everything, if each part's rows come after the last one's. many is as in `fold`."""
     states, made = None, None
     for n, part in enumerate(parts):
-        rows = fold(part, step, columns, out, carry=carry, restored=states)
+        rows = fold(part, step, columns, out, carry=carry, restored=states, many=many)
         made = rows if made is None else made.unionByName(rows)
         if n + 1 < len(parts):
-            states = final_states(part, step, columns, restored=states)
+            states = final_states(part, step, columns, restored=states, many=many)
     return made

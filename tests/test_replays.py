@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from marea.operators import folds
 from marea.operators import labels as L
 from marea.operators.adaptive import ADAPTIVE_OUT, FEATURES, OUTPUTS, Settings, adaptive_step, basis_names, gradient_update
 from marea.operators.folds import final_states, fold
@@ -199,3 +202,54 @@ def test_validity_over_blocks(spark, monkeypatch):
             before = h2 - h
         want = ("INCONCLUSIVE", 0.0, None) if not claim else want if want[0] != "RIGHT" else ("RIGHT", before, None)
         assert got[e, s][0] == want[0] and all((x is None) == (w is None) and (x is None or abs(x - w) < 1e-9) for x, w in zip(got[e, s][1:], want[1:], strict=True))
+
+
+@pytest.mark.parametrize("at_once", [16, 400, 100_000])
+def test_resumed_many_entities_at_once(monkeypatch, at_once):
+    """Restored entities take their rows together too, with the rows, states and errors of one row after the other; entities without rows, without a key or without a valid row included."""
+    from marea.operators import models as M
+
+    r = np.random.default_rng(8)
+    columns, names = ["t", "price", "volume", "quality"], [c.split()[0] for c in M.STATE_COLUMNS.split(", ")]
+    out = dict(c.split() for c in M.STATE_COLUMNS.split(", "))
+    rows = pd.DataFrame({"entity_id": np.repeat(np.arange(120.0), 20), "seq": np.tile(np.arange(20), 120), "t": np.tile(np.arange(20) * 2.5, 120), "price": r.choice([0.0, 250.0, 1e-9, 1e308, np.nan], 2400), "volume": r.choice([0.0, 70.0, np.nan], 2400, p=[0.3, 0.65, 0.05]), "quality": r.choice([0.4, 1.0, np.nan], 2400)})
+    rows.loc[rows["entity_id"] == 5, "price"] = np.nan
+    rows = pd.concat([rows.iloc[:60].assign(entity_id=np.nan), rows], ignore_index=True)
+    parts = [rows[rows["seq"] < 9], rows[(rows["seq"] >= 9) & (rows["entity_id"] != 7) & (rows["seq"] < 15)], rows[rows["seq"] >= 15]]
+    singles = []
+
+    def counted(state, row):
+        singles.append(1)
+        return M.state_step(state, row)
+
+    def ran(many):
+        states, told = None, []
+        for n, part in enumerate(parts):
+            x = part if n == 0 else pd.concat([part.assign(__state=None), states.rename(columns={"state": "__state"})]).sort_values(["entity_id", "__state", "seq"], na_position="last")
+            fed = lambda x=x: (x.iloc[a : a + 57] for a in range(0, len(x), 57))
+            of = lambda o, n=n: folds._together(counted, M.STATES, columns, [], o, "entity_id", "seq", n > 0) if many else folds._folder(M.state_step, columns, [], o and names, "entity_id", "seq", n > 0)
+            made = pd.concat([*of(out)(fed())], ignore_index=True)
+            told.append([tuple(None if pd.isna(v) else v for v in row) for row in made[["entity_id", "seq", *names]].itertuples(index=False)])
+            states = pd.concat([*of(None)(fed())], ignore_index=True)
+            told.append(sorted(states.astype(str).itertuples(index=False, name=None)))
+        return told, x
+
+    monkeypatch.setattr(folds, "AT_ONCE", at_once)
+    (alone, _), (together, x) = ran(False), ran(True)
+    assert alone == together and len(together[1]) == 120 + 27 and any(s == "{}" for _, _, s in together[1])
+    assert at_once < 1_000 or len(singles) < 200
+    late = x[x["entity_id"] == 3].assign(seq=lambda d: d["seq"].where(d["__state"].isna(), d["seq"][d["__state"].isna()].min()))
+    with pytest.raises(ValueError, match="out of order"):
+        list(folds._together(M.state_step, M.STATES, columns, [], out, "entity_id", "seq", True)(iter([late])))
+
+
+def test_state_resumed_is_the_state_model(spark, tmp_path):
+    """q_state_resumed steps its parts many entities at once and has the rows of the state model over everything."""
+    from marea.plans.registry import QUERIES
+
+    r = random.Random(3)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=r.randrange(90_000)), r.choice([None, *range(1, 30)]), r.choice(["view", "error"]), r.choice([None, 0.0, r.uniform(-5, 400)]), f'{{"k": {r.randrange(90)}}}') for k in range(1_500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    resumed_, whole = (QUERIES[q](spark, str(tmp_path)) for q in ("q_state_resumed", "q_state_model"))
+    known = "entity_id IS NOT NULL"
+    assert sorted(map(str, resumed_.where(known).collect())) == sorted(map(str, whole.where(known).collect())) and resumed_.count() == 1_500
