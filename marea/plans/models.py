@@ -19,7 +19,7 @@ def r6(x):
 
 def q20(x):
     """On a grid of 2 ** -20, as chain_sql.q20: true values, told alike by engines that differ in the last bits."""
-    return F.round((F.col(x) if isinstance(x, str) else x) * 1048576.0) / 1048576.0
+    return S.whole((F.col(x) if isinstance(x, str) else x) * 1048576.0) / 1048576.0
 
 
 def grid(df):
