@@ -76,7 +76,8 @@ _AFTER = {"tau": "taus[k]", "level": "level + paths[k]", "velocity": "velocity *
 
 @query(C.SHAPES + ", k AS (SELECT *, unnest(range(1, 9)) AS k FROM d), x AS (SELECT *, pow(2.0, -taus[k] / half_life) AS part FROM k) SELECT entity_id, seq, CAST(k - 1 AS INTEGER) AS k, " + ", ".join(f"{C.q20(x)} AS {n}" for n, x in _AFTER.items()) + " FROM x")
 def q_forward_samples(spark, sf):
-    return grid(shapes(states(spark, sf)).select("entity_id", "seq", F.posexplode("samples").alias("k", "s")).select("entity_id", "seq", "k", "s.*"))
+    """Outer, as samples are never missing or empty: else Spark makes them twice, once to leave out rows without."""
+    return grid(shapes(states(spark, sf)).select("entity_id", "seq", F.posexplode_outer("samples").alias("k", "s")).select("entity_id", "seq", "k", "s.*"))
 
 
 SHAPE = ["interval", "half_life", "terminal", "largest", "direction", "decay", "geometry", "score", "support"]
