@@ -245,11 +245,46 @@ def test_resumed_many_entities_at_once(monkeypatch, at_once):
 
 def test_state_resumed_is_the_state_model(spark, tmp_path):
     """q_state_resumed steps its parts many entities at once and has the rows of the state model over everything."""
-    from marea.plans.registry import QUERIES
+    from marea.plans.models import q_state_model
+    from marea.plans.replays import q_state_resumed
 
     r = random.Random(3)
     rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=r.randrange(90_000)), r.choice([None, *range(1, 30)]), r.choice(["view", "error"]), r.choice([None, 0.0, r.uniform(-5, 400)]), f'{{"k": {r.randrange(90)}}}') for k in range(1_500)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    resumed_, whole = (QUERIES[q](spark, str(tmp_path)) for q in ("q_state_resumed", "q_state_model"))
+    resumed_, whole = (q(spark, str(tmp_path)) for q in (q_state_resumed, q_state_model))
     known = "entity_id IS NOT NULL"
     assert sorted(map(str, resumed_.where(known).collect())) == sorted(map(str, whole.where(known).collect())) and resumed_.count() == 1_500
+
+
+def test_manifest_of_odd_seals(spark):
+    """Checkpoints of seals in any order, of entities or rows that are missing or come twice, are those of a join with each entity's last row."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(9)]), r.choice([None, *range(60)]), r.choice([None, *range(1, 90)]), r.choice("abc"), r.choice(["d", None])) for _ in range(900)]
+    rows += sorted(((e, s, s, f"{s}", "x") for e in range(9, 40) for s in range(1, r.randrange(2, 70))), key=lambda x: (x[0] % 3, x))
+    df = spark.createDataFrame(rows, f"entity_id long, seq long, {SEAL_COLUMNS}")
+    last = df.groupBy("entity_id").agg(F.max("seq").alias("seq")).withColumn("complete", F.lit(True))
+    told = df.join(last, ["entity_id", "seq"], "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    for every in (1, 7, 25):
+        wanted = told.where((F.col("accepted") % every == 0) | F.col("complete")).select("entity_id", "seq", "accepted", F.col("logical").alias("prefix"), "semantic", "complete")
+        got = manifest(df.repartition(3), every)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.columns == wanted.columns
+    assert manifest(df.limit(0), 7).count() == 0
+
+
+def test_manifest_shuffles_what_may_be_a_checkpoint(spark, tmp_path):
+    """q_replay_manifest deals ticks once and then only checkpoints: no texts of rows, no seals to join."""
+    import pyarrow as pa
+
+    from marea.operators.replay import _candidates
+    from marea.plans.replays import q_replay_manifest
+
+    rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=k), k % 3, "view", 1.0 * k, '{"k": 1}') for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    made = q_replay_manifest(spark, str(tmp_path))
+    assert sorted((x.entity_id, x.accepted, x.complete) for x in made.collect()) == [(e, k, k == 100) for e in range(3) for k in (25, 50, 75, 100)]
+    plan = made._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2] or made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and plan.count("MapInPandas") == 2
+    batch = pa.RecordBatch.from_pydict({"entity_id": [1] * 50 + [2] * 30 + [None, None], "seq": [*range(50), *range(30), 1, 2], "due": [k % 25 == 24 for k in range(50)] + [False] * 32})
+    assert [x.num_rows for x in _candidates(iter([batch, batch.slice(0, 0)]))] == [2 + 1 + 2, 0]
